@@ -6,8 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
+from plumbline.llm.embed_dedup import embedding_near_dedup
 from plumbline.llm.line_dedup import line_dedup
 from plumbline.llm.simhash import simhash_components
+from plumbline.llm.topk_product import top_products
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP4_SQL = """
+with ok as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from ok q join ok c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored
+qualify rank <= 5
+"""
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +64,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op5_simhash": op5_simhash}
-ORACLES = {"op2_line_dedup": OP2_SQL}
+QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_simhash": op5_simhash,
+}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op4_exact_top_k": OP4_SQL}
