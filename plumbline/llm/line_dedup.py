@@ -28,16 +28,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     doc, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     n_lines, n_dropped = "n_lines", "n_dropped"
 
-    def tag(line: Column) -> Column:
-        """Null for short lines; two seeds make accidental equality of different keys negligible."""
-        key = line_key(line)
-        return F.when(F.length(line) >= min_chars, F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(key, F.lit(1)).alias("g"))))
-
-    tags = (
-        docs.select(doc.alias("d"), F.xxhash64(text).alias("row"), F.posexplode(F.transform(F.split(text, "\n", -1), tag)).alias("at", "t"))
-        .where("t is not null")
-        .select("d", "row", "at", "t.h", "t.g")
-    )
+    # One projection computes each key once; two seeds make accidental equality of different keys negligible.
+    lines = docs.select(doc.alias("d"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    keys = lines.where(F.length("line") >= min_chars).select("d", "row", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    tags = keys.select("d", "row", "at", F.xxhash64("key").alias("h"), F.xxhash64("key", F.lit(1)).alias("g"))
     held = tags.groupBy("h", "g").agg(F.count_distinct(F.coalesce(F.col("d"), F.lit(-(2**63)))).alias("n"), F.max("d").alias("last")).where(F.col("n") >= min_docs)
     gone = tags.join(held, ["h", "g"]).where(~F.col("d").eqNullSafe(F.col("last"))).groupBy("d", "row").agg(F.collect_set("at").alias("gone"))
 
