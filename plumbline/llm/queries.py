@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 from plumbline.llm.embed_dedup import embedding_near_dedup
 from plumbline.llm.line_dedup import line_dedup
+from plumbline.llm.pii import BASE, find_pii, span_list
+from plumbline.llm.secrets import find_secrets
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.topk_product import top_products
 
@@ -64,10 +66,31 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _spans(found, "pii", BASE)
+
+
+def _spans(found: DataFrame, column: str, base: tuple[str, ...]) -> DataFrame:
+    kept = F.filter(column, lambda x: x["kind"].isin(*base))
+    counts = [F.size(F.filter(column, _of_kind(k))).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(span_list(kept), 256).alias("base_sha256"), span_list(F.col(column)).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]), "secrets", ("assign", "access", "hex"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL, "op4_exact_top_k": OP4_SQL}
