@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 from plumbline.llm.embed_dedup import embedding_near_dedup
+from plumbline.llm.langid import held_out, identify, train_profiles
 from plumbline.llm.line_dedup import line_dedup
+from plumbline.llm.mixing import mix
+from plumbline.llm.pieces import encode_texts, load_pieces
 from plumbline.llm.pii import BASE, find_pii, span_list
 from plumbline.llm.secrets import find_secrets
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.topk_product import top_products
 
+#: The public piece model; a parameter wherever it is used.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op3_nbest_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), load_pieces(model), ["doc_id"], n=3)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -85,12 +95,25 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]), "secrets", ("assign", "access", "hex"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = train_profiles(docs, ~held_out(F.col("doc_id")))
+    return identify(docs, profiles, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_nbest_pieces": op3_nbest_pieces,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
+    "op9_language_id": op9_language_id,
+    "op10_source_mix": op10_source_mix,
 }
 ORACLES = {"op2_line_dedup": OP2_SQL, "op4_exact_top_k": OP4_SQL}
