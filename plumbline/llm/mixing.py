@@ -74,8 +74,8 @@ def solve_tilt(cells: Column, target: Column, steps: int = 60) -> Column:
     def move(s: Column) -> Column:
         lo = F.when(s["g"] < 0, s["t"]).otherwise(s["lo"])
         hi = F.when(s["g"] > 0, s["t"]).otherwise(s["hi"])
-        newton = s["t"] - s["g"] / s["h"]
-        inside = (s["h"] > 0) & (newton > lo) & (newton < hi)
+        newton = s["t"] - F.try_divide(s["g"], s["h"])
+        inside = F.coalesce((newton > lo) & (newton < hi), F.lit(False))
         t = F.when(s["g"] == 0, s["t"]).when(inside, newton).otherwise((lo + hi) / 2)
         return F.struct(t.alias("t"), lo.alias("lo"), hi.alias("hi"), s["g"].alias("g"), s["h"].alias("h"))
 

@@ -15,6 +15,7 @@ from plumbline.llm.pii import BASE, find_pii, span_list
 from plumbline.llm.secrets import find_secrets
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.topk_product import top_products
+from plumbline.llm.urls import judge_urls
 
 #: The public piece model; a parameter wherever it is used.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -95,6 +96,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(find_secrets(table(spark, sf_dir, "documents"), ["doc_id"]), "secrets", ("assign", "access", "hex"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = train_profiles(docs, ~held_out(F.col("doc_id")))
@@ -113,6 +118,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
+    "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,
 }
