@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: The white space that the contracts name: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
@@ -41,12 +43,15 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns plus what ``one()(text)`` gives per row, as a tuple in the order of ``schema``.
 
-    ``one`` is called once a task and returns the function for a text (None stays None).
+    ``one`` is called once a task and returns the function for a text (None stays None). A name of ``schema`` that
+    ``keep`` has gets an underscore.
     """
     small_batches(df.sparkSession)
-    fields = df.select(*keep).schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), schema])
-    columns = [x.strip().split(" ", 1)[0].strip("`") for x in _split_fields(schema)]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
+    made_fields = _parse_datatype_string(schema).fields
+    columns = [fresh(source.select(*[F.col(f"`{c}`") for c in keep]), f.name) for f in made_fields]
+    out = StructType([*source.schema.fields[: len(keep)], *(StructField(c, f.dataType) for c, f in zip(columns, made_fields, strict=True))])
+    kinds = [to_arrow_type(f.dataType) for f in made_fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = one()
@@ -55,22 +60,7 @@ def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "tex
             made = [pa.array([x[i] for x in found], type=kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *columns])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
-    return df.select(*keep, F.col(text)).mapInArrow(run, out)
-
-
-def _split_fields(schema: str) -> list[str]:
-    parts, depth = [""], 0
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts
+    return source.mapInArrow(run, out)
 
 
 def block_pairs(df: DataFrame, key: str, spread: str, cap: int) -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from plumbline.llm.common import map_texts, small_batches
+from plumbline.llm.common import fresh, map_texts, small_batches
 
 SPACE = "▁"
 #: Stands for a literal U+2581, which spaces would otherwise swallow: no text holds a lone surrogate.
@@ -335,6 +336,7 @@ def encode_texts(docs: DataFrame, pieces: list[tuple[str, float, str]], keep: li
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # bounded by the vocabulary
     small_batches(docs.sparkSession)
+    names = [fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), x) for x in ("ids", "score", "alternatives", "round_trip")]
     edit = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
     more = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))]))
 
@@ -349,11 +351,11 @@ def encode_texts(docs: DataFrame, pieces: list[tuple[str, float, str]], keep: li
             others = [[{"score": t, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in e]} for t, e in f[2]] for f in found]
             again = [None if t is None else s.decode(f[0]) == t for t, f in zip(texts, found, strict=True)]
             made = [ids, pa.array([f[1] for f in found], pa.float64()), pa.array(others, more), pa.array(again, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "ids", "score", "alternatives", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = "ids array<int>, score double, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, round_trip boolean"
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, ", ".join(x for x in (own, schema) if x))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`"))
+    kinds = _parse_datatype_string("ids array<int>, score double, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, round_trip boolean").fields
+    return source.mapInArrow(run, StructType([*source.schema.fields[: len(keep)], *(StructField(c, f.dataType) for c, f in zip(names, kinds, strict=True))]))
 
 
 def decode_ids(rows: DataFrame, pieces: list[tuple[str, float, str]], keep: list[str], ids_col: str = "ids") -> DataFrame:
