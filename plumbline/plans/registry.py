@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "leaderboard"
+import importlib
+import importlib.util
+
+from plumbline.plans.catalog import ORACLES, QUERIES
+
+FLAGSHIP = "flagship_leaderboard"
+MODULES = ("scoring", "statistics", "text", "records", "similarity", "sampling", "ledgers", "gates", "views", "models")
+
+for _name in MODULES:
+    if importlib.util.find_spec(f"plumbline.plans.{_name}"):
+        importlib.import_module(f"plumbline.plans.{_name}")
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
