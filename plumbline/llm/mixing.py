@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
 from plumbline.llm.common import fresh
 from plumbline.session import cut_lineage
 
@@ -112,7 +113,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mean = F.col("source_size") / F.col("docs")
     scaled = F.transform(F.filter("cells", lambda c: c["tokens"] > 0), lambda c: F.struct((c["tokens"] / c["n"] / mean).alias("x"), c["tokens"].alias("tokens")))
     full = F.col("target") >= MOST * F.col("source_size")
-    solved = solved.withColumn("scaled", scaled).withColumn("t", F.when(full | (F.col("source_size") == 0), F.lit(0.0)).otherwise(solve_tilt(F.col("scaled"), F.col("target"))))
+    tilt = F.when(full | (F.col("source_size") == 0), F.lit(0.0)).otherwise(let(scaled, lambda c: solve_tilt(c, F.col("target"))))
+    # One row a source, held: later expressions must not solve it again for every cell.
+    solved = cut_lineage(solved.withColumn("t", tilt))
 
     def give(s: Column, c: Column) -> Column:
         each = c["tokens"] / c["n"]
