@@ -1 +1 @@
-
+"""Append-only run ledgers as streams."""
