@@ -73,7 +73,7 @@ def version_alignment(spark, sf):
     return a.join(b, "row_id", "full").select("row_id", side.alias("side"), "old_score", "new_score")
 
 
-@query("join_13_frozen_completion", "select f.row_id, s.system, coalesce(case when not l.ok then 'failed' when l.score is null then 'no_decision' when l.row_id is not null then 'decided' end, 'not_logged') as outcome from (select id as row_id from records where expected is not null) f cross join systems s left join (select * from latest where row_id % 37 <> 0) l on l.row_id = f.row_id and l.system = s.system")
+@query("join_13_frozen_completion", "select f.row_id, s.system, case when l.row_id is null then 'not_logged' when not l.ok then 'failed' when l.score is null then 'no_decision' else 'decided' end as outcome from (select id as row_id from records where expected is not null) f cross join systems s left join (select * from latest where row_id % 37 <> 0) l on l.row_id = f.row_id and l.system = s.system")
 def frozen_completion(spark, sf):
     """Every row of a frozen list for every system: rows never logged count as failures of their own kind."""
     frozen = proxy(spark, sf, "records").where("expected is not null").select(F.col("id").alias("row_id"))
