@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,24 @@ def local_session(cpus: int = 8, app: str = "plumbline") -> SparkSession:
     )
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once an application, unless PYTHONPATH has it for driver and executors alike."""
+    home = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _sent or str(home.parent) in os.environ.get("PYTHONPATH", "").split(":"):
+        return spark
+    archive = f"{tempfile.mkdtemp(prefix='plumbline-package-')}/plumbline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    spark.sparkContext.addPyFile(archive)
+    _sent.add(app)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses ``spark.checkpoint.dir``; sets a folder of its own only for a local master without that setting."""
     context = spark.sparkContext
