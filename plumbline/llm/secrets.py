@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 
@@ -15,7 +14,7 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates of the method: signed tokens, and runs of base64 (lines of one block included) or hex long enough for a key.
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_.-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]{1,})*={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 KINDS = ("assign", "access", "hex", "signed_token", "key_base64", "key_hex")
@@ -80,6 +79,40 @@ def key_material(data: bytes) -> bool:
     return (data[0] == 0x30 and _der(data, 0, len(data)) == len(data) and _first_inner(data) in (0x02, 0x30)) or _ssh(data)
 
 
+def _key_sizes(data: bytes) -> set[int]:
+    """The lengths at which a beginning of the bytes is key material: where a DER sequence or a field of an SSH key ends."""
+    if data[0] == 0x30:
+        head = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
+        ends = {head + int.from_bytes(data[2:head], "big") if head > 2 else 2 + data[1]}
+        return {n for n in ends if n <= len(data) and key_material(data[:n])}
+    if data.startswith(b"openssh-key-v1\0"):
+        return {len(data)}
+    ends, at = set(), 0
+    while at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        ends.add(at)
+        if len(ends) == 1 and (at > len(data) or not _ssh(data[:at] + b"\0\0\0\0")):
+            return set()
+    return {n for n in ends - {min(ends)} if 24 <= n <= len(data)} if ends else set()
+
+
+def _key_end(t: str, start: int, end: int) -> int | None:
+    """Where the key ends that a block of base64 lines holds, or begins with: the most lines that parse as a whole."""
+    raw = re.sub(r"[\r\n=]", "", t[start:end])
+    data = base64.b64decode(raw[: len(raw) - (len(raw) % 4 == 1)] + "=" * (-len(raw) % 4 % 3))
+    sizes = _key_sizes(data)
+    if not sizes:
+        return None
+    stops, n = [], 0
+    for line in re.finditer(r"[A-Za-z0-9+/]+", t[start:end]):
+        n += len(line[0])
+        if n % 4 != 1:
+            stops.append((n * 3 // 4, start + line.end()))
+    if stops and stops[-1][0] in sizes and n % 4 != 1:
+        return end
+    return next((stop for size, stop in reversed(stops) if size in sizes), None)
+
+
 def _first_inner(data: bytes) -> int:
     skip = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
     return data[skip] if skip < len(data) else -1
@@ -92,16 +125,14 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in t:
         out += [("access", *m.span()) for m in ACCESS.finditer(t) if len(m[0]) >= 18]
     out += [("hex", *m.span()) for m in HEX.finditer(t)]
-    if "." in t and "ey" in t:
+    if "." in t:
         out += [("signed_token", *m.span()) for m in TOKEN.finditer(t) if signed_token(m[1], m[2])]
-    for m in ENCODED.finditer(t):
-        raw = re.sub(r"[\r\n=]", "", m[0])
-        if raw[0] in "MAb" and len(raw) % 4 != 1:  # what 0x30, a length field and the magic begin with
-            try:
-                if key_material(base64.b64decode(raw + "=" * (-len(raw) % 4))):
-                    out.append(("key_base64", *m.span()))
-            except binascii.Error:
-                pass
+    at = 0
+    while (m := ENCODED.search(t, at)) is not None:
+        at = m.end()
+        if t[m.start()] in "MAb" and (stop := _key_end(t, *m.span())) is not None:  # what 0x30, a length field and the magic begin with
+            out.append(("key_base64", m.start(), stop))
+            at = stop  # lines that are not of this key may be the next one
     out += [("key_hex", *m.span()) for m in HEX_KEY.finditer(t) if key_material(bytes.fromhex(m[0]))]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
