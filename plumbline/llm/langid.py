@@ -23,6 +23,10 @@ def _letters() -> np.ndarray:
     return _tables["letters"]
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, (text or "").lower()))
+
+
 class Encoder:
     """Binds permuted random letter vectors into n-gram vectors and bundles these into document vectors.
 
