@@ -130,39 +130,36 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _word_print(text: str | None):
-    """(hash of the word sequence, two halves of a 128-bit SimHash over the distinct words)."""
-    from xxhash import xxh3_128_digest, xxh3_128_hexdigest
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; fewer words than that are one shingle, none are none."""
+    from xxhash import xxh3_64_digest
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return xxh3_128_hexdigest(b""), 0, 0
-    h = np.frombuffer(b"".join([xxh3_128_digest(x) for x in set(w)]), np.uint8).reshape(-1, 16)
-    counts = np.zeros(4096, np.int64)
-    for k in range(0, len(h), 16384):
-        counts += np.bincount((h[k : k + 16384] + _COLUMN16).ravel(), minlength=4096)
-    ones = np.einsum("kb,bj->kj", counts.reshape(16, 256), _BITS).ravel()
-    data = np.packbits(2 * ones > len(h)).tobytes()
-    return xxh3_128_hexdigest(b" ".join(w)), int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:], "big", signed=True)
+    runs = zip(*(w[k:] for k in range(words)), strict=False) if len(w) >= words else [w] if w else []
+    return np.unique(np.frombuffer(b"".join([xxh3_64_digest(b" ".join(s)) for s in runs]), np.uint64))
 
 
-_COLUMN16 = np.arange(16, dtype=np.int64) * 256
+def _min_hasher(words: int, bands: int, rows: int):
+    """(hash of the word sequence, a key for each band of ``rows`` min-hashes of the shingles, one bit of each of the
+    first 128 min-hashes in two halves)."""
+    from xxhash import xxh3_128_hexdigest
 
+    salt, odd, weight, mix = np.random.default_rng(42).integers(0, 2**64, (4, bands * rows), np.uint64)
+    odd, mix = odd | np.uint64(1), mix | np.uint64(1)
 
-def wide_variants(prints: DataFrame, segments: int = 5) -> DataFrame:
-    """A row per segment of the 128 bits and bit of the segment: (key, hi, lo, rep), the bit deleted from the key."""
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    masks = []
-    cuts = [128 * k // segments for k in range(segments + 1)]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        for bit in range(lo, hi):
-            m = ((1 << hi) - (1 << lo)) & ~(1 << bit)
-            masks.append((signed(m >> 64), signed(m & (2**64 - 1))))
-    made = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in masks])
-    out = prints.select("hi", "lo", "rep", F.posexplode(made).alias("variant", "mask"))
-    # A clash of hashes only adds rows to a comparison.
-    key = F.xxhash64("variant", F.col("hi").bitwiseAND(F.col("mask.a")), F.col("lo").bitwiseAND(F.col("mask.b")))
-    return out.select(key.alias("key"), "hi", "lo", "rep")
+    def one(text: str | None):
+        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        content, found = xxh3_128_hexdigest(b" ".join(w)), shingle_set(text, words)
+        if not len(found):
+            return content, [], 0, 0
+        low = np.full(bands * rows, 2**64 - 1, np.uint64)
+        for k in range(0, len(found), 256):  # stays in the cache
+            np.minimum(low, ((found[k : k + 256, None] ^ salt) * odd).min(axis=0), out=low)
+        keys = (low * weight).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
+        data = np.packbits(((low * mix)[:128] >> np.uint64(63)).astype(np.uint8)).tobytes()
+        return content, keys.view(np.int64).tolist(), int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:16], "big", signed=True)
+
+    return one
 
 
 def _close(distance: int):
@@ -193,15 +190,6 @@ def _close(distance: int):
     return run
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; fewer words than that are one shingle, none are none."""
-    from xxhash import xxh3_64_digest
-
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    runs = zip(*(w[k:] for k in range(words)), strict=False) if len(w) >= words else [w] if w else []
-    return np.unique(np.frombuffer(b"".join([xxh3_64_digest(b" ".join(s)) for s in runs]), np.uint64))
-
-
 def _alike(similarity: float):
     """A forest of the pairs of a group whose shingle sets have at least that Jaccard similarity, computed exactly.
 
@@ -243,27 +231,27 @@ def _alike(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 5, distance: int = 24, cap: int = 1024,
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 32, cap: int = 1024,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every document that has a copy: shingle sets of Jaccard ``similarity`` or more.
 
-    Equal word sequences collapse first. A 128-bit SimHash over the distinct words is cut into ``segments``; documents
-    that agree in a segment but for one bit meet there. A word that changes alters one of the distinct words but five
-    shingles of five words, so at a shingle similarity of 0.8 about 9 bits differ, and with 5 segments some segment
-    has at most one of them in 96 % of such pairs, all pairs of at most 9 bits, and nearly all of 0.85 and more. Pairs
-    within ``distance`` bits join loose components, and inside these, in blocks of about ``cap`` rows that meet
-    pairwise, exact similarities decide.
+    Equal word sequences collapse first. Two shingle sets share each of their min-hashes with a probability equal to
+    their similarity J, wherever the copy was changed and however long it is. ``bands`` of ``rows`` min-hashes are an
+    index: a pair meets in none with probability (1 - J^rows)^bands, 5 in 10^8 at 0.8. One bit of each of 128
+    min-hashes is a sketch, of which a pair differs in (1 - J) / 2 of the bits, 12.8 at 0.8, and in more than
+    ``distance`` less than once in 10^6. Pairs within ``distance`` bits join loose components, and inside these, in
+    blocks of about ``cap`` rows that meet pairwise, exact similarities decide.
 
     Defined cases: texts without words are copies of one another; fewer words than a shingle count as one shingle;
     null ids take no part; an empty table gives an empty table; other columns are ignored.
     """
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    own = cut_lineage(map_texts(rows, lambda: _word_print, "content string, hi bigint, lo bigint", ["id"]))
-    prints = own.groupBy("content").agg(F.min("id").alias("rep"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
-    grouped = block_pairs(wide_variants(prints, segments), "key", "rep", 2 * cap)
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = cut_lineage(map_texts(texts, lambda: _min_hasher(words, bands, rows), "content string, keys array<bigint>, hi bigint, lo bigint", ["id"]))
+    prints = own.groupBy("content").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    grouped = block_pairs(prints.select(F.explode("keys").alias("key"), "hi", "lo", "rep"), "key", "rep", 2 * cap)
     loose = connected_components(sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "hi", "lo", "rep").mapInArrow(_close(distance), "a long, b long"))
     wanted = bounded(loose)
-    sets = map_texts(rows.join(wanted, rows["id"] == wanted["node"]).select("id", "root", "text"), lambda: lambda t: (shingle_set(t, words).tobytes(),), "shingles binary", ["id", "root"])
+    sets = map_texts(texts.join(wanted, texts["id"] == wanted["node"]).select("id", "root", "text"), lambda: lambda t: (shingle_set(t, words).tobytes(),), "shingles binary", ["id", "root"])
     # A repeated id with several texts is compared by each of them.
     blocks = block_pairs(sets.select(F.col("id").alias("rep"), "root", "shingles").dropDuplicates(["rep", "shingles"]), "root", "rep", cap)
     edges = sorted_groups(blocks, ["root", "bi", "bj"]).select("root", "bi", "bj", "side", "rep", "shingles").mapInArrow(_alike(similarity), "a long, b long")
