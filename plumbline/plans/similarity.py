@@ -179,6 +179,20 @@ def quote_join(spark, sf):
     return q.groupBy("quote").agg(F.count(F.lit(1)).alias("n_conversations")).where("n_conversations > 1")
 
 
+@query(
+    "join_19_quotes_anywhere",
+    r"""with t as (select distinct conv_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) as t from conversations where text is not null), w as (select conv_id, t from t where t <> ''),
+    q as (select distinct substr(t, i, 50) as quote from (select t, unnest(list_append(range(1, greatest(1, length(t) - 49) + 1, 25), greatest(1, length(t) - 49))) as i from w)),
+    o as (select conv_id, substr(t, i, 50) as quote from (select conv_id, t, unnest(range(1, length(t) - 49 + 1)) as i from w where length(t) >= 50)),
+    h as (select q.quote, o.conv_id from q join o on q.quote = o.quote union select q.quote, w.conv_id from q join w on w.t = q.quote union select q.quote, w.conv_id from (select quote from q where length(quote) between 16 and 49) q join w on contains(w.t, q.quote))
+    select quote, count(distinct conv_id) as n_conversations from h group by 1 having count(distinct conv_id) > 1""",
+)
+def quotes_anywhere(spark, sf):
+    """Windows of conversations that others hold too, at whatever offset; the rule of the reference's ``_quotes``."""
+    q = similarity.quotes(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text"))
+    return q.groupBy("quote").agg(F.count(F.lit(1)).alias("n_conversations")).where("n_conversations > 1")
+
+
 @query(
     "join_20_leak_scan",
     r"""with n as (select item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' as needle from benchmark), d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') || ' ' as hay from documents)
