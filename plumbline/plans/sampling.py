@@ -70,7 +70,7 @@ def round_robin_settled(spark, sf):
 def bucketed_targets(spark, sf):
     """A sequential choice a source: targets by length bucket, two rows a first word, one a group."""
     r = proxy(spark, sf, "records").where("expected is not null")
-    word = F.coalesce(F.element_at(X.words(F.substring("text", 1, 80)), 1), F.lit(""))
+    word = F.coalesce(F.regexp_extract(F.lower("text"), X.WORD, 0), F.lit(""))
     c = r.select("id", "source", "grp", F.when(F.length("text") < 500, "short").when(F.length("text") < 2500, "medium").otherwise("long").alias("bucket"), word.alias("word"), S.order_key("bt", "id").alias("ord"))
     return S.greedy_buckets(c, "source", "id long, source string, grp long, bucket string, word string", {"short": 2, "medium": 3, "long": 2}, 2)
 
@@ -80,7 +80,7 @@ def top_up(spark, sf):
     """A second round over what the first left: other groups, the shortfall by bucket."""
     first = bucketed_targets(spark, sf)
     r = proxy(spark, sf, "records").where("expected is not null").join(first.select("grp").distinct(), "grp", "left_anti")
-    c = r.select("id", "source", "grp", F.lit("any").alias("bucket"), F.coalesce(F.element_at(X.words(F.substring("text", 1, 80)), 1), F.lit("")).alias("word"), S.order_key("tu", "id").alias("ord"))
+    c = r.select("id", "source", "grp", F.lit("any").alias("bucket"), F.coalesce(F.regexp_extract(F.lower("text"), X.WORD, 0), F.lit("")).alias("word"), S.order_key("tu", "id").alias("ord"))
     return S.greedy_buckets(c, "source", "id long, source string, grp long, bucket string, word string", {"any": 2}, 1)
 
 

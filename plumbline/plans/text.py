@@ -95,6 +95,12 @@ def field_shingles(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(X.field_shingles([F.col("url"), F.substring("html", 1, 400)], 3)), "|").alias("value"))
 
 
+@query("str_06_whole_field_shingles")
+def whole_field_shingles(spark, sf):
+    """The same over whole pages, as ``row_shingles`` of the reference has it; a test holds it against plain Python."""
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(X.field_shingles([F.col("url"), F.col("html")], 3)), "|").alias("value"))
+
+
 @query("mth_01_salted_order")
 def salted_order(spark, sf):
     """HMAC order keys; SQL has no HMAC, tests hold them against the standard library."""
