@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 
 def order_key(seed: str, *parts: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(p).cast("string") for p in parts]))
@@ -97,19 +99,42 @@ def greedy_buckets(df: DataFrame, key: str, columns: str, targets: dict[str, int
                 keep.append(row.Index)
         return pdf.loc[keep].drop(columns="ord")
 
+    # What is chosen can't lie further back: fewer than ``most`` rows are chosen before it, and each row passed over has
+    # the group of one of them or a word that they used up.
+    most = sum(targets.values())
+    for cell, n in ((["bucket", "word", "grp"], 1), (["bucket", "word"], most), (["bucket", "grp"], most), (["bucket"], 2 * most * most)):
+        df = cap_per_cell(df, [key, *cell], n, F.col("ord"), F.col("id"))
     return df.groupBy(key).applyInPandas(choose, columns)
 
 
 def balanced_folds(groups: DataFrame, group: str, size: str, folds: int) -> DataFrame:
-    """Groups to folds, largest first to the smallest fold: a fold over the sizes, in each of a few strata apart."""
-    empty = F.array().cast("array<struct<g:bigint,fold:int>>")
-    items = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("minus"), F.col(group).alias("g")))).alias("items"))
-
-    def place(s: Column, x: Column) -> Column:
-        fold = F.array_position(s["sizes"], F.array_min(s["sizes"])).cast("int") - 1
-        return F.struct(
-            F.transform(s["sizes"], lambda v, i: F.when(i == fold, v - x["minus"]).otherwise(v)).alias("sizes"), F.concat(s["out"], F.array(F.struct(x["g"].alias("g"), fold.alias("fold")))).alias("out")
-        )
-
-    start = F.struct(F.array(*[F.lit(0).cast("long") for _ in range(folds)]).alias("sizes"), empty.alias("out"))
-    return items.select(F.explode(F.aggregate("items", start, place, lambda s: s["out"])).alias("x")).select(F.col("x.g").alias(group), F.col("x.fold").alias("fold"))
+    """Groups to folds, largest first to the smallest fold, groups of a size by their ids.
+
+    The groups are sorted over many tasks and numbered by their partitions' counts. The driver sees how many groups
+    there are of each size and partition, no group: once the folds differ by less than a size, groups of that size go
+    to them in turns.
+    """
+    ranked = groups.select(F.col(group), F.col(size).cast("long").alias(size)).orderBy(F.desc(size), F.asc(group))
+    ranked = cut_lineage(ranked.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    cells = sorted(((r["_p"], -r[size], r["_n"], r["_m"]) for r in ranked.groupBy("_p", size).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_m")).collect()), key=lambda c: (c[1], c[0]))
+    sums, seen, plan = [0] * folds, {}, []
+    for _, minus, n, _ in cells:
+        seen[-minus] = seen.get(-minus, 0) + n
+    lead, ring = {}, {}
+    for value in sorted(seen, reverse=True):
+        left, lead[value] = seen[value], []
+        while left and max(sums) - min(sums) >= value:
+            lead[value].append(sums.index(min(sums)))
+            sums[lead[value][-1]] += value
+            left -= 1
+        ring[value] = sorted(range(folds), key=lambda k: (sums[k], k))
+        sums = [v + value * (left // folds + (ring[value].index(k) < left % folds)) for k, v in enumerate(sums)]
+    before = dict.fromkeys(seen, 0)
+    for part, minus, n, first in cells:
+        plan.append((part, -minus, before[-minus] - first, lead[-minus], ring[-minus]))
+        before[-minus] += n
+    known = groups.sparkSession.createDataFrame(plan, "_p int, _s long, _off long, _lead array<int>, _ring array<int>")
+    at = F.col("_i") + F.col("_off")
+    fold = F.when(at < F.size("_lead"), F.get("_lead", at.cast("int"))).otherwise(F.get("_ring", ((at - F.size("_lead")) % folds).cast("int")))
+    placed = ranked.join(F.broadcast(known.withColumnRenamed("_p", "_q")), (F.col("_p") == F.col("_q")) & (F.col(size) == F.col("_s")))
+    return placed.select(group, fold.alias("fold"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -308,12 +312,32 @@ def row_ids(spark, sf):
 def dataset_hash(spark, sf):
     """A hash of each split that doesn't depend on the order of its rows.
 
-    For splits of up to some millions of rows: their 16-digit row digests are sorted in one task a split. See
-    ``dataset_fingerprint`` for one without that limit.
+    Its definition hashes the sorted row digests one after the other, so one task reads the 16-digit digests of a
+    split; these are sorted on disk and streamed, never held. See ``dataset_fingerprint`` for one that aggregates in parts.
     """
     d = F.substring(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "subtask", "source", F.coalesce("expected", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)), 256), 1, 16)
-    r = proxy(spark, sf, "records").select("split", d.alias("d"))
-    return r.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("digest"))
+    return joined_digest(proxy(spark, sf, "records").select("split", d.alias("d")), "split")
+
+
+def joined_digest(rows, key):
+    """(key, n, digest): SHA-256 of each key's sorted ``d``, joined by line ends, in bounded memory."""
+
+    def run(batches):
+        now, h, n = None, None, 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([n], pa.int64()), pa.array([h.hexdigest()], pa.string())], names=[key, "n", "digest"])
+        for batch in batches:
+            for k, part in itertools.groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda x: x[0]):
+                if h is None or k != now:
+                    if h is not None:
+                        yield made()
+                    now, h, n = k, hashlib.sha256(), 0
+                ds = [x[1] for x in part]
+                h.update(("\n" * (n > 0) + "\n".join(ds)).encode())
+                n += len(ds)
+        if h is not None:
+            yield made()
+
+    return rows.select(key, "d").repartition(key).sortWithinPartitions(key, "d").mapInArrow(run, f"{key} string, n long, digest string")
 
 
 @query("idn_03_dataset_fingerprint", "select split, count(*) as n, bit_xor(('0x' || substr(d, 1, 15))::bigint) as fingerprint, sum(('0x' || substr(d, 16, 8))::bigint)::bigint as checksum from (select split, sha256(concat_ws('|', id, source, coalesce(expected, ''), sha256(coalesce(text, '')))) as d from records) group by split")
