@@ -63,6 +63,15 @@ def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "tex
     return source.mapInArrow(run, out)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``left`` joined to ``right`` (one row for each value of ``on``), the rows of one hot value dealt over ``salts``
+    tasks by a hash of ``spread``. For small right sides only: each of its rows is sent ``salts`` times."""
+    salt = fresh(left, "_salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(F.lit(3), F.col(spread)), F.lit(salts)).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, salt], how).drop(salt)
+
+
 def block_pairs(df: DataFrame, key: str, spread: str, cap: int) -> DataFrame:
     """Rows of every ``key`` that has two rows or more, dealt into groups of bounded size that still meet pairwise.
 
