@@ -5,88 +5,123 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import let
-from plumbline.llm.common import fresh
+from plumbline.llm.common import fresh, salted_join
+from plumbline.operators.ranges import row_numbers
 from plumbline.session import cut_lineage
 
 #: A rate and a number of copies never exceed this.
 MOST = 3
-#: Sizes below 2 ** EXACT_BITS have bins of their own; above, bins keep that many leading bits. So a source has at
-#: most about 2 ** (EXACT_BITS - 1) bins for each doubling of the largest size, however many documents it has.
-EXACT_BITS = 8
-#: Cells up to this size hand out their extra copies by exact rank, larger ones by a threshold on the hash.
-RANKED = 5000
-UNITS = 1 << 40
+#: Newton's method ends when every source's tokens are this near to its target, relative to it; what is left goes in
+#: the rounding. Steps of it between two written states: few, since a step reads its state twice.
+NEAR, STEPS, ROUNDS = 1e-7, 2, 40
+#: How often the words that rounding leaves over are handed to a cell of smaller documents.
+HANDED = 3
+#: Leading bits of a document's hash by which the documents of a cell are counted to find the last with a copy more.
+PREFIX = 16
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def size_bin(size: Column) -> Column:
-    """The size itself while small, else its leading bits followed by zeros."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(size)) - EXACT_BITS))
-    return (F.floor(size / step) * step).cast("long")
-
-
 def targets(by_source: DataFrame) -> DataFrame:
-    """(source, source_size) plus ``target``: sources by code point, null last, weigh 1, 2, 3 in turn and share 100 %
-    of all sizes; what a source can't take at ``MOST`` times its size is shared anew by weight among the others.
+    """``by_source`` (source, source_size, ...) plus ``sid``, the place of the source, and ``target``: sources by code
+    point, null last, weigh 1, 2, 3 in turn and share 100 % of all sizes; what a source can't take at ``MOST`` times
+    its size is shared anew by weight among the others.
 
-    One row a source: the table is bounded by the number of sources, and only its totals meet in one task. The level
-    of the sharing is found by ordering sources by size per weight: those that fill up first are capped first.
-    """
-    ranked = by_source.withColumn("at", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))))
-    ranked = ranked.withColumn("weight", ((F.col("at") - 1) % 3 + 1).cast("double")).withColumn("room", (MOST * F.col("source_size")).cast("double"))
-    order = Window.orderBy(F.col("room") / F.col("weight"), "at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # If exactly the sources before this one were full, this would be what a unit of weight gets.
-    level = (F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    with_level = ranked.withColumn("level", level).withColumn("full", F.col("room") <= F.col("level") * F.col("weight"))
-    # Full sources come first in this order; the first that isn't sets the level for the rest.
-    last = F.min(F.when(~F.col("full"), F.struct(F.col("room") / F.col("weight"), F.col("at"), F.col("level")).alias("x"))).over(everything)
-    shared = with_level.withColumn("shared", last.getField("level"))
-    return shared.select("source", "source_size", F.when(F.col("full"), F.col("room")).otherwise(F.col("shared") * F.col("weight")).alias("target"))
-
-
-def _rate(lam: Column, x: Column) -> Column:
-    return F.least(F.lit(float(MOST)), F.exp(F.least(lam * x, F.lit(50.0))))
-
-
-def solve_tilt(cells: Column, target: Column, steps: int = 60) -> Column:
-    """The tilt t with sum of min(MOST, exp(t * x)) * tokens = target over (x, tokens) cells: the dual's gradient.
-
-    The dual is convex and this gradient rises in t, so Newton steps are held inside a bracket that every step
-    narrows, and a step that leaves it is a bisection. Starts from rate 1 for all.
+    A round of the sharing is one aggregate of one row; the sources that are full only grow, so a few rounds end it.
     """
+    ranked = row_numbers(by_source, [F.col("source").isNull().asc(), F.col("source").asc()], "sid")
+    ranked = cut_lineage(ranked.withColumn("weight", (F.col("sid") - 1) % 3 + 1))
+    room, total = MOST * F.col("source_size"), ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, seen = 0.0, None
+    while True:
+        full = F.lit(False) if seen is None else room <= level * F.col("weight")
+        now = tuple(ranked.agg(F.sum(F.when(~full, F.col("weight"))), F.sum(F.when(full, room))).first())
+        if now == seen or not now[0]:
+            break
+        level, seen = (total - (now[1] or 0)) / now[0], now
+    share = level * F.col("weight")
+    return ranked.withColumn("target", F.when(room <= share, room.cast("double")).otherwise(share)).drop("weight")
+
 
-    def step(s: Column, _: Column) -> Column:
-        def add(acc: Column, c: Column) -> Column:
-            r = _rate(s["t"], c["x"])
-            free = F.when(r < MOST, r * c["x"] * c["tokens"]).otherwise(F.lit(0.0))
-            return F.struct((acc["g"] + r * c["tokens"]).alias("g"), (acc["h"] + free).alias("h"))
+def _rate(t: Column, x: Column) -> Column:
+    return F.least(F.lit(float(MOST)), F.exp(F.least(t * x, F.lit(50.0))))
 
-        sums = F.aggregate(cells, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), add)
-        return F.struct(s["t"].alias("t"), s["lo"].alias("lo"), s["hi"].alias("hi"), (sums["g"] - target).alias("g"), sums["h"].alias("h"))
 
-    def move(s: Column) -> Column:
-        lo = F.when(s["g"] < 0, s["t"]).otherwise(s["lo"])
-        hi = F.when(s["g"] > 0, s["t"]).otherwise(s["hi"])
-        newton = s["t"] - F.try_divide(s["g"], s["h"])
-        inside = F.coalesce((newton > lo) & (newton < hi), F.lit(False))
-        t = F.when(s["g"] == 0, s["t"]).when(inside, newton).otherwise((lo + hi) / 2)
-        return F.struct(t.alias("t"), lo.alias("lo"), hi.alias("hi"), s["g"].alias("g"), s["h"].alias("h"))
+def _exact(x: Column) -> Column:
+    """A term of a sum as a decimal: the sum is then the same in whatever order tasks add it up."""
+    return F.sum(x.cast("decimal(30,8)")).cast("double")
 
-    def both(s: Column, i: Column) -> Column:
-        return F.when(F.abs(s["g"]) <= 1e-9 * target, s).otherwise(F.element_at(F.transform(F.array(step(s, i)), move), 1))
 
-    zero = F.lit(0.0)
-    # x is at least 1 / mean size: a bracket of +-1e9 holds every solution below the full rate.
-    start = F.struct(zero.alias("t"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"), F.lit(float("inf")).alias("g"), zero.alias("h"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, both, lambda s: s["t"])
+def solve_tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
+    """(sid, t) for cells (sid, x, n, tokens) and sources (sid, source_size, target): the tilt with the sum of
+    min(MOST, exp(t * x)) * tokens equal to the target, for all sources at once.
+
+    The dual is convex and this sum, its gradient, rises in t. A Newton step is a grouped sum over the cells; steps
+    are held inside a bracket that each of them narrows, and one that leaves it is a bisection. The bracket begins at
+    the tilts that give every cell the wanted mean rate or more, and the full rate or less, by the smallest x.
+    """
+    least = cells.groupBy("sid").agg(F.min("x").alias("low_x"))
+    share = F.col("target") / F.col("source_size")
+    fixed = (share >= MOST) | (share <= 0)
+    begin = sources.where("source_size > 0").join(least, "sid").select(
+        "sid", "target", F.lit(0.0).alias("t"),
+        F.when(share < 1, F.log(share) / F.col("low_x")).otherwise(0.0).alias("lo"),
+        F.when(share > 1, F.log(F.lit(float(MOST))) / F.col("low_x")).otherwise(0.0).alias("hi"), fixed.alias("done"),
+    )
+
+    def step(state: DataFrame) -> DataFrame:
+        r = _rate(F.col("t"), F.col("x"))
+        free = F.when(r < MOST, r * F.col("x") * F.col("tokens")).otherwise(F.lit(0.0))
+        open_ = state.where("not done").select("sid", "t")
+        sums = cells.join(open_, "sid").groupBy("sid").agg(_exact(r * F.col("tokens")).alias("g"), _exact(free).alias("h"))
+        g = F.col("g") - F.col("target")
+        lo, hi = F.when(g < 0, F.col("t")).otherwise(F.col("lo")), F.when(g > 0, F.col("t")).otherwise(F.col("hi"))
+        newton = F.col("t") - F.try_divide(g, F.col("h"))
+        moved = F.when(F.coalesce((newton > lo) & (newton < hi), F.lit(False)), newton).otherwise((lo + hi) / 2)
+        done = F.col("done") | F.coalesce(F.abs(g) <= NEAR * F.col("target"), F.lit(False))
+        return state.join(sums, "sid", "left").select("sid", "target", F.when(done, F.col("t")).otherwise(moved).alias("t"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
+
+    state = cut_lineage(begin)
+    for _ in range(ROUNDS):
+        if state.where("not done").isEmpty():
+            break
+        for _ in range(STEPS):
+            state = step(state)
+        state = cut_lineage(state)
+    return state.select("sid", "t")
+
+
+def _hand_over(cells: DataFrame) -> DataFrame:
+    """``cells`` (sid, size, n, copies, target) with what a source's copies miss its target by made up for, as far as
+    one cell can: by copies of the largest size that fits in what is missing or too much."""
+    off = cells.groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
+    joined = cells.join(off, "sid")
+    fits = (F.col("size") > 0) & (F.col("size") <= F.abs("off")) & F.when(F.col("off") > 0, F.col("copies") < MOST * F.col("n")).otherwise(F.col("copies") > 0)
+    chosen = joined.where(fits).groupBy("sid").agg(F.max("size").alias("take"), F.max("off").alias("by"))
+    out = cells.join(chosen, "sid", "left")
+    times = F.floor(F.abs("by") / F.col("take"))
+    new = F.when(F.col("by") > 0, F.least(F.col("copies") + times, MOST * F.col("n"))).otherwise(F.greatest(F.col("copies") - times, F.lit(0)))
+    return out.withColumn("copies", F.when(F.col("size") == F.col("take"), new).otherwise(F.col("copies")).cast("long")).drop("take", "by")
+
+
+def _last_with_more(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """(sid, size, cut): the hash of the last document of each cell that gets a copy more, the ``extra``-th smallest.
+
+    Documents are counted by the leading bits of their hashes; where the count passes ``extra``, and only there, they
+    are ranked. One rule for cells of every size, exact, and no task ranks more than a 65,536th of a cell.
+    """
+    on = ["source_", "none_", "size"]
+    wanted = plan.where("extra > 0").select(*on, "sid", "extra")
+    prefix = F.shiftrightunsigned("u", 63 - PREFIX).cast("int")
+    counts = base.groupBy(*on, prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).join(wanted, on)
+    upto = F.sum("c").over(Window.partitionBy("sid", "size").orderBy("p"))
+    at = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("c") < F.col("extra")))
+    at = at.select(*on, "p", "sid", (F.col("extra") - F.col("upto") + F.col("c")).alias("rest"))
+    inside = base.withColumn("p", prefix).join(at, [*on, "p"])
+    ranked = inside.withColumn("k", F.row_number().over(Window.partitionBy("sid", "size").orderBy("u")))
+    return ranked.where("k = rest").select("sid", "size", F.col("u").alias("cut"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -94,56 +129,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words. Within a source, rates minimise the relative entropy to one copy each under the
     constraint that tokens meet the target, with at most ``MOST`` a document: rate = min(MOST, exp(t * size / mean)).
-    The documents are reduced, before their shuffle, to cells (source, bin of size) of count and tokens, of which a
-    source has a bounded number; Newton's method runs over these, for all sources at once. Rates become copies by
-    carrying the rounding error of a cell over to the next smaller size, so a source ends about half a small document
-    from its target; inside a cell, documents with the smallest hashes of their ids get the copy more.
+    The documents are counted, before their shuffle, by cells (source, size), and Newton's iterations are grouped sums
+    over these for all sources at once; see ``solve_tilts``. Rates become copies by rounding the running sum of copies
+    from the largest size down, which leaves at most half the largest document; that is handed to cells of smaller
+    ones a few times. Inside a cell, documents with the smallest hashes of their ids get the copy more, in cells of
+    every size by one exact rule.
 
     Defined cases: a null text has size 0; documents of size 0 have one copy and take no words; null is a source of
     its own; a source without words has target 0; rows that repeat an id are decided alike and may miss the rounding by
-    that; an empty table gives an empty table; other columns are ignored. Reruns agree.
+    that; an empty table gives an empty table; other columns are ignored. Reruns agree, under whatever partitioning:
+    the sums that decide are of whole numbers or decimals.
     """
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    # The only pass over the texts; what later steps need of them is three numbers a row.
-    base = cut_lineage(base.withColumn("bin", size_bin(F.col("size"))).withColumn("u", F.pmod(F.xxhash64("id", F.lit(10)), F.lit(UNITS))))
-    cells = base.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
-    sources = cells.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("n").alias("docs"), F.collect_list(F.struct("bin", "n", F.col("tokens").cast("double").alias("tokens"))).alias("cells"))
-    aims = targets(sources.select("source", "source_size"))
-    solved = sources.drop("source_size").join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    mean = F.col("source_size") / F.col("docs")
-    scaled = F.transform(F.filter("cells", lambda c: c["tokens"] > 0), lambda c: F.struct((c["tokens"] / c["n"] / mean).alias("x"), c["tokens"].alias("tokens")))
+    source = F.col(f"`{source_col}`")
+    base = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.coalesce(source.cast("string"), F.lit("")).alias("source_"), source.isNull().alias("none_"), word_count(F.col(f"`{text_col}`")).alias("size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(10), F.col(f"`{id_col}`")), 1).alias("u"),
+    )
+    base = cut_lineage(base)  # the only pass over the texts
+    cells = cut_lineage(base.groupBy("source_", "none_", "size").agg(F.count(F.lit(1)).alias("n")))
+    sources = cells.groupBy("source_", "none_").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
+    aims = cut_lineage(targets(sources.withColumn("source", F.when(~F.col("none_"), F.col("source_")))).drop("source"))
+    tokens = (F.col("n") * F.col("size")).cast("double")
+    cells = cut_lineage(cells.join(aims, ["source_", "none_"]).withColumn("x", F.try_divide(F.col("size").cast("double") * F.col("docs"), F.col("source_size"))).withColumn("tokens", tokens))
+    tilts = solve_tilts(cells.where("size > 0").select("sid", "x", "n", "tokens"), aims)
+
     full = F.col("target") >= MOST * F.col("source_size")
-    tilt = F.when(full | (F.col("source_size") == 0), F.lit(0.0)).otherwise(let(scaled, lambda c: solve_tilt(c, F.col("target"))))
-    # One row a source, held: later expressions must not solve it again for every cell.
-    solved = cut_lineage(solved.withColumn("t", tilt))
-
-    def give(s: Column, c: Column) -> Column:
-        each = c["tokens"] / c["n"]
-        rate = F.when(full, F.lit(float(MOST))).otherwise(_rate(F.col("t"), each / mean))
-        want = rate * c["tokens"] + s["carry"]
-        copies = F.when(each > 0, F.greatest(F.lit(0.0), F.least(MOST * c["n"].cast("double"), F.round(want / each)))).otherwise(c["n"].cast("double"))
-        out = F.struct(c["bin"].alias("bin"), c["n"].alias("n"), rate.alias("rate"), copies.cast("long").alias("copies"))
-        return F.struct(F.when(each > 0, want - copies * each).otherwise(s["carry"]).alias("carry"), F.concat(s["out"], F.array(out)).alias("out"))
-
-    empty = F.array().cast("array<struct<bin:bigint,n:bigint,rate:double,copies:bigint>>")
-    descending = F.reverse(F.array_sort(F.col("cells")))
-    given = solved.withColumn("given", F.aggregate(descending, F.struct(F.lit(0.0).alias("carry"), empty.alias("out")), give, lambda s: s["out"]))
-    plan = given.select(F.col("source").alias("s"), "source_size", "target", F.explode("given").alias("c")).select("s", "source_size", "target", "c.*")
-    plan = plan.withColumn("base", F.floor(F.col("copies") / F.col("n"))).withColumn("extra", F.col("copies") - F.col("base") * F.col("n"))
-    plan = cut_lineage(plan.withColumnRenamed("bin", "b"))
-    # The hash that the last document with an extra copy has: exact for small cells, by share for large ones.
-    some = plan.where((F.col("extra") > 0) & (F.col("n") <= RANKED)).select("s", "b", "extra")
-    on = F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))
-    ranks = base.join(some, on).groupBy("s", "b").agg(F.element_at(F.sort_array(F.collect_list("u")), F.first("extra").cast("int")).alias("exact"))
-    ranks = ranks.select(F.col("s").alias("rs"), F.col("b").alias("rb"), "exact")
-    plan = plan.join(ranks, F.col("s").eqNullSafe(F.col("rs")) & (F.col("b") == F.col("rb")), "left").drop("rs", "rb")
-    cut = F.when(F.col("extra") == 0, F.lit(-1)).otherwise(F.coalesce("exact", F.floor(UNITS * F.col("extra") / F.col("n")) - 1))
-    plan = plan.select("s", "b", "source_size", "target", "rate", "base", cut.alias("cut"))
-    copies = F.col("base") + (F.col("u") <= F.col("cut")).cast("int")
-    out = base.join(plan, on)
-    return out.select(
-        F.col("id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+    rate = F.when(F.col("size") == 0, 1.0).when(full, float(MOST)).otherwise(_rate(F.col("t"), F.col("x")))
+    plan = cells.join(tilts, "sid", "left").withColumn("rate", rate)
+    down = Window.partitionBy("sid").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(F.col("n") * F.col("rate")).over(down)
+    plan = plan.withColumn("upto", upto).withColumn("upto_before", F.coalesce(F.lag("upto").over(Window.partitionBy("sid").orderBy(F.desc("size"))), F.lit(0.0)))
+    rounded = F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto_before") + 0.5)
+    copies = F.when((F.col("size") == 0), F.col("n")).otherwise(F.greatest(F.lit(0), F.least(MOST * F.col("n"), rounded))).cast("long")
+    plan = plan.select("source_", "none_", "sid", "size", "n", "source_size", "target", "rate", copies.alias("copies"))
+    for _ in range(HANDED):
+        plan = cut_lineage(_hand_over(plan))
+    plan = plan.withColumn("each", F.floor(F.col("copies") / F.col("n"))).withColumn("extra", F.col("copies") % F.col("n"))
+
+    plan = plan.join(_last_with_more(base, plan), ["sid", "size"], "left").select("source_", "none_", "size", "source_size", "target", "rate", "each", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    out = salted_join(base, plan, ["source_", "none_", "size"], "u")
+    made = F.col("each") + (F.col("u") <= F.col("cut")).cast("int")
+    return out.select(F.col("id").alias(id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", made.cast("int").alias("copies"), (made * F.col("size")).cast("long").alias("taken"))
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
