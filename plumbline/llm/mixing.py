@@ -16,8 +16,8 @@ MOST = 3
 NEAR, STEPS, ROUNDS = 1e-7, 2, 40
 #: How often the words that rounding leaves over are handed to a cell of smaller documents.
 HANDED = 3
-#: Leading bits of a document's hash by which the documents of a cell are counted to find the last with a copy more.
-PREFIX = 16
+#: Bits of a document's hash by which the documents of a cell are counted, twice, to find the last with a copy more.
+PREFIX = 8
 
 
 def word_count(text: Column) -> Column:
@@ -109,18 +109,20 @@ def _hand_over(cells: DataFrame) -> DataFrame:
 def _last_with_more(base: DataFrame, plan: DataFrame) -> DataFrame:
     """(sid, size, cut): the hash of the last document of each cell that gets a copy more, the ``extra``-th smallest.
 
-    Documents are counted by the leading bits of their hashes; where the count passes ``extra``, and only there, they
-    are ranked. One rule for cells of every size, exact, and no task ranks more than a 65,536th of a cell.
+    Documents are counted by ``PREFIX`` bits of their hashes, and those of the value where the count passes ``extra``
+    by the next bits; what is left, a 65,536th of the cell, is ranked. One exact rule for cells of every size, and no
+    task ranks a cell.
     """
-    on = ["source_", "none_", "size"]
-    wanted = plan.where("extra > 0").select(*on, "sid", "extra")
-    prefix = F.shiftrightunsigned("u", 63 - PREFIX).cast("int")
-    counts = base.groupBy(*on, prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).join(wanted, on)
-    upto = F.sum("c").over(Window.partitionBy("sid", "size").orderBy("p"))
-    at = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("c") < F.col("extra")))
-    at = at.select(*on, "p", "sid", (F.col("extra") - F.col("upto") + F.col("c")).alias("rest"))
-    inside = base.withColumn("p", prefix).join(at, [*on, "p"])
-    ranked = inside.withColumn("k", F.row_number().over(Window.partitionBy("sid", "size").orderBy("u")))
+    on, rows = ["source_", "none_", "size"], base
+    want = plan.where("extra > 0").select(*on, "sid", F.col("extra").alias("rest"))
+    for level in (1, 2):
+        rows = rows.withColumn("p", F.shiftrightunsigned("u", 63 - level * PREFIX).bitwiseAND(F.lit((1 << PREFIX) - 1)).cast("int"))
+        counts = rows.groupBy(*on, "p").agg(F.count(F.lit(1)).alias("c")).join(want, on)
+        upto = F.sum("c").over(Window.partitionBy("sid", "size").orderBy("p"))  # at most 2 ** PREFIX rows
+        found = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("c") < F.col("rest")))
+        found = found.select(*on, "p", "sid", (F.col("rest") - F.col("upto") + F.col("c")).alias("rest"))
+        rows, want = cut_lineage(rows.join(found.select(*on, "p"), [*on, "p"]).drop("p")), found.drop("p")
+    ranked = rows.join(want, on).withColumn("k", F.row_number().over(Window.partitionBy("sid", "size").orderBy("u")))
     return ranked.where("k = rest").select("sid", "size", F.col("u").alias("cut"))
 
 
