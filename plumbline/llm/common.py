@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from plumbline.session import cut_lineage
+
 #: The white space that the contracts name: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,6 +74,17 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     return dealt.join(copies, [*on, salt], how).drop(salt)
 
 
+#: Right sides of up to this many rows of a few numbers each are broadcast; larger ones are salted.
+BROADCAST_ROWS = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to a narrow ``right`` with one row for each value of ``on``, without the rows of one value
+    meeting in one task: broadcast if ``right`` (written first) is counted small, salted by ``spread`` otherwise."""
+    right = cut_lineage(right)
+    return left.join(F.broadcast(right), on, how) if right.count() <= BROADCAST_ROWS else salted_join(left, right, on, spread, how)
+
+
 def block_pairs(df: DataFrame, key: str, spread: str, cap: int) -> DataFrame:
     """Rows of every ``key`` that has two rows or more, dealt into groups of bounded size that still meet pairwise.
 
@@ -80,11 +93,11 @@ def block_pairs(df: DataFrame, key: str, spread: str, cap: int) -> DataFrame:
     bi = bj, or the rows of ``bi`` to compare with those of ``bj``. So no task holds more than about ``2 * cap`` rows
     of a key, and every pair of rows of a key meets exactly once. Added columns: bi, bj, side (which block it is of).
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")  # the keys that meet, dealt salted
     blocks = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
     mine = F.pmod(F.xxhash64(spread), blocks).cast("int")
     return (
-        df.join(counts, key)
+        salted_join(df, counts, [key], spread)
         .withColumn("_b", F.when(blocks == 1, F.lit(0)).otherwise(mine))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("bi", F.least("_b", "_o"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import block_pairs, forest, sorted_groups, stream_groups
+from plumbline.llm.common import block_pairs, forest, sorted_groups, spread_join, stream_groups
 from plumbline.llm.graph import connected_components
 from plumbline.session import cut_lineage
 
@@ -45,93 +45,157 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+#: Bits of a component where a vector is the query of an estimate.
+LEVELS = 4
+
+
+def quantise(turned: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, float, float]:
+    """(bit planes, lowest, step) of a rotated vector in ``LEVELS`` bits a component, rounded at random, so that the
+    estimates made with it stay unbiased."""
+    low = float(turned.min())
+    step = float(turned.max() - low) / (2**LEVELS - 1) or 1.0
+    dither = np.random.default_rng([seed, bits]).random(bits)
+    u = np.clip(np.floor((turned - low) / step + dither), 0, 2**LEVELS - 1).astype(np.uint8)
+    return np.packbits((u[None, :] >> np.arange(LEVELS, dtype=np.uint8)[:, None]) & 1, axis=1), low, step
+
+
 def _encode(bits: int, width: int, bands: int, seed: int, kind: str):
-    """(id, vector as bytes, dim, code, factor, band keys) per row; null but for the id where it takes no part."""
+    """(id, vector as bytes, dim, code, factor, planes, lowest, step, band keys) per row; null but for the id where it
+    takes no part."""
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.float32(), pa.binary(), pa.float32(), pa.float32(), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
             rows = []
             for i, v in zip(batch.column(0).to_pylist(), to_vectors(batch, batch.schema.names[1]), strict=True):
                 if v is None or not v.any():
-                    rows.append((i, None, None, None, None, None))
+                    rows.append((i, *[None] * 8))
                     continue
                 turned = rotation(len(v), bits, seed) @ units(v[None, :])[0]
                 code = turned > 0
                 factor = float(np.abs(turned).sum() / math.sqrt(bits))  # <code, vector>
+                planes, low, step = quantise(turned, bits, seed)
                 keys = [int(k) for k in code[: width * bands].reshape(bands, width) @ (1 << np.arange(width, dtype=np.int64))]
-                rows.append((i, (v + 0.0).astype(kind).tobytes(), len(v), np.packbits(code).tobytes(), factor, keys))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["id", "raw", "dim", "code", "factor", "keys"])
+                rows.append((i, (v + 0.0).astype(kind).tobytes(), len(v), np.packbits(code).tobytes(), factor, planes.tobytes(), low, step, keys))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["id", "raw", "dim", "code", "factor", "planes", "low", "step", "keys"])
 
     return run
 
 
-def _compare(bits: int, width: int, bands: int, threshold: float, epsilon: float, seed: int, kind: str, count: dict | None = None):
-    """Within each group of a band: estimates from codes, exact cosines where the bound can't decide.
+class Codes:
+    """The codes of a group's rows, and which of its pairs their estimates leave open."""
+
+    def __init__(self, t: dict, s: slice, bits: int, width: int, bands: int, threshold: float, epsilon: float):
+        n = s.stop - s.start
+        self.bits, self.threshold, self.epsilon = bits, threshold, epsilon
+        packed = np.frombuffer(b"".join(t["code"][s]), np.uint8).reshape(n, -1)
+        self.code = packed.view(np.uint64)
+        self.planes = np.frombuffer(b"".join(t["planes"][s]), np.uint64).reshape(n, LEVELS, -1)
+        self.factor, self.low, self.step = (t[c][s].astype(np.float64) for c in ("factor", "low", "step"))
+        self.ones = np.bitwise_count(self.code).sum(axis=1, dtype=np.int64)
+        self.total = np.bitwise_count(self.planes).sum(axis=2, dtype=np.int64) @ (1 << np.arange(LEVELS))
+        key_bits = np.unpackbits(packed, axis=1)[:, : width * bands].reshape(n, bands, width)
+        self.keys = key_bits @ (1 << np.arange(width, dtype=np.int64))
+
+    def estimates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate, slack) of the inner products of ``a`` (as codes) and ``b`` (as queries).
+
+        <code, query> / factor is unbiased; its standard error is about sqrt(1 - f^2) / f / sqrt(bits - 1), and that of
+        the query's rounding at most half a step. Products are counts of common bits: no vector is touched.
+        """
+        common = np.zeros((len(a), len(b)), np.int32)
+        for w in range(self.code.shape[1]):
+            for level in range(LEVELS):
+                common += np.bitwise_count(self.code[a, w][:, None] & self.planes[b, level, w][None, :]).astype(np.int32) << level
+        f = self.factor[a][:, None]
+        signs = self.low[b][None, :] * (2 * self.ones[a] - self.bits)[:, None] + self.step[b][None, :] * (2 * common - self.total[b][None, :])
+        error = np.sqrt(np.maximum(0, 1 - f**2) / max(1, self.bits - 1) + (self.step[b][None, :] / 2) ** 2) / f
+        return signs / math.sqrt(self.bits) / f, self.epsilon * error + 1e-5
+
+    def open_pairs(self, a: np.ndarray, b: np.ndarray, cross: bool, band: int, count: dict | None):
+        """Pairs (one of ``a``, one of ``b``; each once where they are the same rows) that the bound can't rule out and
+        whose first common band is ``band``, so that no pair counts in two; a part of ``a`` at a time."""
+        rows = max(1, 2**20 // max(1, len(b)))
+        for k in range(0, len(a), rows):
+            guess, slack = self.estimates(a[k : k + rows], b)
+            may = guess + slack >= self.threshold
+            if not cross:
+                may &= np.arange(k, k + len(may))[:, None] < np.arange(len(b))[None, :]
+            i, j = np.nonzero(may)
+            i, j = a[k + i], b[j]
+            if count is not None:
+                count["pairs"] = count.get("pairs", 0) + (may.size if cross else int((np.arange(k, k + len(may))[:, None] < np.arange(len(b))[None, :]).sum()))
+                count["exact"] = count.get("exact", 0) + len(i)
+            for c in range(0, len(i), 65536):  # bounded memory
+                p, q = i[c : c + 65536], j[c : c + 65536]
+                first = (self.keys[p] == self.keys[q]).argmax(axis=1) == band
+                yield p[first], q[first]
+
+
+GROUP = ["bucket", "bi", "bj"]
+
+
+def _sides(t: dict, s: slice) -> tuple[np.ndarray, np.ndarray, bool, int]:
+    """(rows of one side, of the other, whether these differ, number of the band) of a group."""
+    cross = bool(t["bi"][s.start] != t["bj"][s.start])
+    mine = np.flatnonzero(t["side"][s] == 0) if cross else np.arange(s.stop - s.start)
+    return mine, np.flatnonzero(t["side"][s] == 1) if cross else mine, cross, int(t["bucket"][s.start] >> 30) & 0x3FFF
+
+
+def _screen(make, count: dict | None = None):
+    """The rows of each group that have an open pair in it: only these fetch their vectors."""
+    names = [*GROUP, "side", "row"]
+
+    def run(batches):
+        for t, at in stream_groups(batches, GROUP):
+            stay = np.zeros(len(t["row"]), bool)
+            for lo, hi in zip(at, np.append(at[1:], len(stay)), strict=True):
+                mine, other, cross, band = _sides(t, slice(lo, hi))
+                for i, j in make(t, slice(lo, hi)).open_pairs(mine, other, cross, band, count):
+                    stay[lo + i] = stay[lo + j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t[c][stay]) for c in names], names=names)
+
+    return run
 
-    Emits (id, peer, links): peer is the first vector of the id's component in this group, links the copies linked
-    by pairs whose first common band is this one, so that no pair counts twice.
+
+def _verify(make, threshold: float, kind: str, count: dict | None = None):
+    """Exact cosines of each group's open pairs.
+
+    Emits (row, id, peer, links): peer is the id of the first vector of the row's component in this group, links the
+    copies linked by its pairs.
     """
 
     def run(batches):
-        for t, at in stream_groups(batches, ["bucket", "bi", "bj"]):
-            ends = np.append(at[1:], len(t["id"]))
+        for t, at in stream_groups(batches, GROUP):
             out = []
-            for lo, hi in zip(at, ends, strict=True):
-                out += group(t, lo, hi)
-            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["id", "peer", "links"])
-
-    def group(t, lo, hi):
-        s = slice(lo, hi)
-        x = units(np.frombuffer(b"".join(t["raw"][s]), kind).reshape(hi - lo, -1).astype(np.float64))
-        code = np.unpackbits(np.frombuffer(b"".join(t["code"][s]), np.uint8).reshape(hi - lo, -1), axis=1)[:, :bits]
-        cross = t["bi"][lo] != t["bj"][lo]
-        mine = np.flatnonzero(t["side"][s] == 0) if cross else np.arange(hi - lo)
-        other = np.flatnonzero(t["side"][s] == 1) if cross else mine
-        if not len(mine) or not len(other):
+            for lo, hi in zip(at, np.append(at[1:], len(t["row"])), strict=True):
+                out += group(t, slice(lo, hi))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["row", "id", "peer", "links"])
+
+    def group(t, s):
+        n = s.stop - s.start
+        x = units(np.frombuffer(b"".join(t["raw"][s]), kind).reshape(n, -1).astype(np.float64))
+        mine, other, cross, band = _sides(t, s)
+        links, copies, local = np.zeros(n, np.int64), t["copies"][s], np.zeros((n, n), bool)
+        for i, j in make(t, s).open_pairs(mine, other, cross, band, count):
+            ok = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            p, q = i[ok], j[ok]
+            np.add.at(links, p, copies[q])
+            np.add.at(links, q, copies[p])
+            local[p, q] = local[q, p] = True
+        touched = np.flatnonzero(links)
+        if not len(touched):
             return []
-        # Unbiased estimate of each inner product from a code, its factor and the other's rotated vector.
-        factor = t["factor"][s][mine]
-        turned = (x[other] @ rotation(x.shape[1], bits, seed).T).astype(np.float32)
-        signs = (code[mine].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(bits))
-        guess = signs @ turned.T / factor[:, None]
-        slack = epsilon * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, bits - 1)) + 1e-5
-        unsure = guess + slack[:, None] >= threshold
-        if not cross:
-            unsure = np.triu(unsure, 1)
-        a, b = np.nonzero(unsure)
-        if count is not None:
-            count["pairs"] = count.get("pairs", 0) + unsure.size
-            count["exact"] = count.get("exact", 0) + len(a)
-        ok = np.zeros(len(a), bool)
-        for k in range(0, len(a), 65536):  # bounded memory
-            i, j = mine[a[k : k + 65536]], other[b[k : k + 65536]]
-            ok[k : k + 65536] = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-        i, j = mine[a[ok]], other[b[ok]]
-        if not len(i):
-            return []
-        keys = code[:, : width * bands].reshape(hi - lo, bands, width) @ (1 << np.arange(width, dtype=np.int64))
-        links, band = np.zeros(hi - lo, np.int64), int(t["band"][lo])
-        copies = t["copies"][s]
-        for k in range(0, len(i), 65536):
-            p, q = i[k : k + 65536], j[k : k + 65536]
-            first = (keys[p] == keys[q]).argmax(axis=1) == band
-            np.add.at(links, p[first], copies[q[first]])
-            np.add.at(links, q[first], copies[p[first]])
-        touched = np.unique(np.concatenate([i, j]))
-        local = np.zeros((len(touched),) * 2, bool)
-        p, q = np.searchsorted(touched, i), np.searchsorted(touched, j)
-        local[p, q] = local[q, p] = True
         ids = t["id"][s]
-        return [(ids[touched], ids[touched][forest(local)], links[touched])]
+        return [(t["row"][s][touched], ids[touched], ids[touched][forest(local[np.ix_(touched, touched)])], links[touched])]
 
     return run
 
 
 def embedding_near_dedup(
-    vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, bucket: int = 256, cap: int = 2048, epsilon: float = 3.0, seed: int = 42,
+    vectors: DataFrame, threshold: float = 0.9, recall: float = 0.98, bucket: int = 1024, cap: int = 2048, epsilon: float = 3.0, seed: int = 42,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
@@ -139,10 +203,11 @@ def embedding_near_dedup(
     Each unit vector is padded and rotated at random; the signs are its code, and the inner product of code and
     vector its stored correction factor. Bands of the code's bits propose pairs: their width grows with the logarithm
     of the number of vectors (so buckets of spread-out vectors keep their size), and their number is what brings a
-    pair at the threshold together with probability ``recall``; closer pairs meet more surely. In a bucket the
-    estimate <code, other> / factor is unbiased with a standard error of about sqrt(1 - f^2) / f / sqrt(bits - 1);
-    pairs whose estimate plus ``epsilon`` such errors stays below the threshold are passed over, all others are
-    computed exactly in double precision. A link found is therefore never false.
+    pair at the threshold together with probability ``recall``; closer pairs meet more surely. In a bucket only codes,
+    factors and four bits a component meet: the estimate <code, other> / factor, counted from common bits, is
+    unbiased, and pairs whose estimate plus ``epsilon`` standard errors stays below the threshold are passed over. The
+    vectors of rows that have an open pair are fetched, once for the pair's first common band, and decide it exactly
+    in double precision. A link found is therefore never false.
 
     Equal vectors collapse to one row with a number of copies before anything is compared; buckets over ``cap``
     rows are cut into blocks that meet pairwise. A pair counts in the first band that its codes share, and a group
@@ -153,32 +218,37 @@ def embedding_near_dedup(
     and the id gets a row for each; a null id counts as a link of others but never names a component unless alone;
     an empty table gives an empty table; other columns are ignored.
     """
-    n = vectors.count()
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size(vector_col))).first()
     width, bands = plan_bands(n, threshold, recall, bucket)
-    dim = vectors.agg(F.max(F.size(vector_col))).first()[0] or 1
+    dim = max(1, dim or 1)
     kind = "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8"
     bits = 64 * math.ceil(max(dim, width * bands) / 64)
     coded = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(
-        _encode(bits, width, bands, seed, kind), "id long, raw binary, dim int, code binary, factor double, keys array<long>"
-    )
-    coded = cut_lineage(coded.withColumn("same", F.md5("raw")))
-    distinct = coded.where("same is not null").groupBy("same").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("raw", "dim", "code", "factor", "keys")]
+        _encode(bits, width, bands, seed, kind), "id long, raw binary, dim int, code binary, factor float, planes binary, low float, step float, keys array<long>"
     )
-    banded = distinct.where("id is not null").select("id", "copies", "raw", "code", "factor", "dim", F.posexplode("keys").alias("band", "value"))
+    coded = cut_lineage(coded.withColumns({"same": F.md5("raw"), "row": F.monotonically_increasing_id()}))
+    # Of equal vectors the row with the smallest id stands for all; rows are told apart by a number of their own.
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row")))
+    heads = cut_lineage(coded.where("same is not null").groupBy("same").agg(first.alias("head"), F.count(F.lit(1)).alias("copies")))
+    heads = heads.select("same", F.col("head.id").alias("id"), F.col("head.row").alias("row"), "copies")
+    reps = spread_join(coded.drop("same", "id"), heads.where("row is not null").select("row", "id", "copies"), ["row"], "row")
+    codes = ["code", "factor", "planes", "low", "step"]
+    banded = reps.select("row", *codes, "dim", F.posexplode("keys").alias("band", "value"))
     # Length of the vectors, number of the band and its bits in one long.
     key = F.shiftleft(F.col("dim").cast("long"), 44).bitwiseOR(F.shiftleft(F.col("band").cast("long"), 30)).bitwiseOR(F.col("value"))
-    grouped = block_pairs(banded.withColumn("bucket", key), "bucket", "id", cap)
-    found = cut_lineage(
-        sorted_groups(grouped.select("bucket", "bi", "bj", "side", "band", "id", "copies", "raw", "code", "factor"), ["bucket", "bi", "bj"]).mapInArrow(
-            _compare(bits, width, bands, threshold, epsilon, seed, kind), "id long, peer long, links long"
-        )
-    )
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    grouped = block_pairs(banded.select(key.alias("bucket"), "row", *codes), "bucket", "row", cap)
+
+    def make(t, s):
+        return Codes(t, s, bits, width, bands, threshold, epsilon)
+
+    open_ = sorted_groups(grouped.select(*GROUP, "side", "row", *codes), GROUP).mapInArrow(_screen(make), "bucket long, bi int, bj int, side int, row long")
+    open_ = open_.join(reps.select("row", "id", "copies", "raw", *codes), "row")
+    found = cut_lineage(sorted_groups(open_.select(*GROUP, "side", "row", "id", "copies", "raw", *codes), GROUP).mapInArrow(_verify(make, threshold, kind), "row long, id long, peer long, links long"))
+    links = found.groupBy("row").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
-    known = distinct.select("same", "id", "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    known = heads.join(links, "row", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     known = known.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = coded.select("id", "same").join(known, "same", "left")
+    out = spread_join(coded.select("id", "same", "row"), known, ["same"], "row", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
