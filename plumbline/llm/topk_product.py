@@ -19,13 +19,19 @@ EXACT = 2.0**53
 LONG = 2**63 - 1
 
 
+#: Bytes of vectors that a block of candidates, and a batch of queries, may have: what a task holds of either side.
+BLOCK_BYTES = 1 << 26
+#: For the first look: rows of one dimension, their bytes, and dimensions. Queries of other dimensions go without.
+SEED_ROWS, SEED_BYTES, SEED_DIMS = 1024, 1 << 23, 8
+
+
 def _scaled(scale: float, ratio: float):
-    """(vec_id, dim, integer vector as doubles, length, number of the length bucket); rows that take no part go."""
+    """(vec_id, asked, dim, integer vector as doubles, length, number of the length bucket); rows that take no part go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, v in zip(batch.column(0).to_pylist(), to_vectors(batch, batch.schema.names[1]), strict=True):
+            for i, asked, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), to_vectors(batch, batch.schema.names[1]), strict=True):
                 if v is None:
                     continue
                 x = np.floor(scale * v)
@@ -34,10 +40,10 @@ def _scaled(scale: float, ratio: float):
                 most = np.abs(x).max()
                 length = float(most * math.sqrt(((x / most) ** 2).sum())) if most else 0.0
                 length = min(length, np.finfo(float).max)
-                rows.append((i, len(x), x.tobytes(), length, math.floor(math.log(length) / math.log(ratio)) if length else -(2**31)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["vec_id", "dim", "ints", "length", "bucket"])
+                rows.append((i, bool(asked), len(x), x.tobytes(), length, math.floor(math.log(length) / math.log(ratio)) if length else -(2**31)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["vec_id", "asked", "dim", "ints", "length", "bucket"])
 
     return run
 
@@ -116,43 +122,56 @@ def best(q_ids, q, q_len, floor, c_ids, c, c_len, k: int, high: float = 0.6, tel
     return out
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, ratio: float = 1.1, cap: int = 4096, batch: int = 1024,
+def block_rows(n: int, dim: int, least: int, tasks: int) -> int:
+    """Rows of a block: enough blocks for the tasks there are, none of more than ``BLOCK_BYTES``."""
+    return max(1, min(max(least, n // tasks), BLOCK_BYTES // (8 * dim)))
+
+
+def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, ratio: float = 1.1, least: int = 1024,
                  id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest integer inner products of floor(scale * x) per query.
 
     Vectors are grouped by length (buckets whose lengths differ by a factor of at most ``ratio``; how many there can
-    be is bounded by the range of a double) and buckets are cut into blocks of about ``cap`` rows. A first look at
-    one bounded block of the longest vectors gives every query a score that its k-th best surely reaches. From it and
-    a bucket's largest length follows whether the bucket can matter to the query at all; queries go, in batches of
-    about ``batch``, only to blocks of buckets that can. There see ``best``. Each block hands on at most k rows a
-    query, and a rank over these, limited before its shuffle, gives the answer. Exact: no pair is lost.
+    be is bounded by the range of a double) and buckets are cut into blocks by their bytes (see ``block_rows``). A
+    first look at one bounded block of the longest vectors gives a query a score that its k-th best surely reaches.
+    From it and a bucket's largest length follows whether the bucket can matter to the query at all. Queries go, in
+    batches bounded by their bytes, to the blocks of buckets that can, and a block goes to the batches that have a
+    query for it and to no other: what either side is copied is the table's bytes over a block's. There see ``best``.
+    Each block hands on at most k rows a query, and a rank over these, limited before its shuffle, gives the answer.
+    Exact: no pair is lost.
 
     Defined cases: vectors that are null, empty or hold null or non-finite components take no part, as query or
     candidate; vectors of different length are not compared; a query with fewer candidates than k gets them all;
     a zero vector takes part (score 0); rows with the query's own id are not its candidates, and rows that repeat
-    another id each count; rows that repeat a query's id and vector ask once; equal scores go by the smaller id; scores beyond the long range stay at its end; a null id
-    takes no part; an empty table gives an empty table; other columns are ignored.
+    another id each count; rows that repeat a query's id and vector ask once; equal scores go by the smaller id; scores
+    beyond the long range stay at its end; a null id takes no part; an empty table gives an empty table; other columns
+    are ignored.
     """
     schema = "vec_id long, dim int, ints binary, length double, bucket int"
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("_q"))
-    made = cut_lineage(rows.select("vec_id", "v").mapInArrow(_scaled(scale, ratio), schema))
-    asked = rows.where("_q").select("vec_id", "v").mapInArrow(_scaled(scale, ratio), schema).dropDuplicates(["vec_id", "ints"])
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("q"))
+    made = cut_lineage(rows.mapInArrow(_scaled(scale, ratio), schema.replace("dim", "asked boolean, dim", 1)))
+    asked = made.where("asked").drop("asked").dropDuplicates(["vec_id", "ints"])
+    made = made.drop("asked")
     # Bounded: at most one row for each length bucket and dimension.
     stats = made.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("top")).orderBy(F.desc("top")).collect()
     if not stats:
         return made.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    n_queries = asked.count()
-    batches = max(1, math.ceil(n_queries / batch))
-    seeds: dict[int, list] = {}
-    for d in {s["dim"] for s in stats}:  # one bounded block of long vectors for each dimension
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    n, n_queries = sum(s["n"] for s in stats), asked.count()
+    held = {d: sum(s["n"] for s in stats if s["dim"] == d) for d in {s["dim"] for s in stats}}
+    seeds: dict[int, tuple] = {}
+    for d in sorted(held, key=lambda d: -held[d])[:SEED_DIMS]:
         longest = next(s for s in stats if s["dim"] == d)
-        seeds[d] = made.where((F.col("dim") == d) & (F.col("bucket") == longest["bucket"])).select("vec_id", "ints").limit(cap).collect()
+        found = made.where((F.col("dim") == d) & (F.col("bucket") == longest["bucket"])).select("vec_id", "ints").limit(max(k + 1, min(SEED_ROWS, SEED_BYTES // (8 * d)))).collect()
+        seeds[d] = (np.array([r[0] for r in found]), b"".join(r[1] for r in found))
 
     def floors(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = {d: (np.array([r[0] for r in s]), _unpack([r[1] for r in s], d)) for d, s in seeds.items()}
+        ready = {d: (ids, np.frombuffer(x, np.float64).reshape(-1, d)) for d, (ids, x) in seeds.items()}
         for pdf in pdfs:
             got = np.full(len(pdf), -np.inf)
             for d, at in pdf.groupby("dim").indices.items():
+                if d not in ready:
+                    continue
                 ids, x = ready[d]
                 s = products(_unpack(pdf["ints"].iloc[at], d), x).astype(float)
                 s[pdf["vec_id"].to_numpy()[at][:, None] == ids[None, :]] = -np.inf
@@ -162,26 +181,32 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
                     got[at] = np.where(np.abs(f) < EXACT, f, f - np.abs(f) * 1e-9)
             yield pdf.assign(floor=got)
 
-    asked = asked.mapInPandas(floors, schema + ", floor double")
+    asked = cut_lineage(asked.mapInPandas(floors, schema + ", floor double"))
     # Which buckets a query must see, by their largest length: a bounded table turned into an expression.
-    options = F.array(*[F.struct(F.lit(s["dim"]).alias("dim"), F.lit(s["bucket"]).alias("bucket"), F.lit(math.ceil(s["n"] / cap)).alias("blocks"), F.lit(s["top"]).alias("top")) for s in stats])
+    blocks = {(s["dim"], s["bucket"]): math.ceil(s["n"] / block_rows(n, s["dim"], least, tasks)) for s in stats}
+    options = F.array(*[F.struct(F.lit(s["dim"]).alias("dim"), F.lit(s["bucket"]).alias("bucket"), F.lit(blocks[s["dim"], s["bucket"]]).alias("blocks"), F.lit(s["top"]).alias("top")) for s in stats])
     can = lambda o: (o["dim"] == F.col("dim")) & ((F.col("floor") <= 0) | (F.col("length") * o["top"] * (1 + 1e-9) >= F.col("floor")))
+    batches = F.create_map(*[F.lit(x) for d in held for x in (d, math.ceil(n_queries / block_rows(n_queries, d, least, 1)))])
     q = asked.withColumn("o", F.explode(F.filter(options, can))).select("vec_id", "dim", "ints", "length", "floor", F.col("o.bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1)).alias("block"))
-    q = q.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int"))
-    of = F.create_map(*[F.lit(x) for s in stats for x in (f"{s['dim']}/{s['bucket']}", math.ceil(s["n"] / cap))])
+    q = q.withColumn("part", F.pmod(F.xxhash64("vec_id"), batches[F.col("dim")]).cast("int"))
+    of = F.create_map(*[F.lit(x) for (d, b), m in blocks.items() for x in (f"{d}/{b}", m)])
     c = made.withColumn("block", F.pmod(F.xxhash64("vec_id", "length"), of[F.concat_ws("/", "dim", "bucket")]).cast("int"))
-    c = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    keys = ["dim", "bucket", "block", "part"]
+    wanted = q.select(*[F.col(k).alias(f"w_{k}") for k in keys]).distinct()
+    own = (F.col("dim") == F.col("w_dim")) & (F.col("bucket") == F.col("w_bucket")) & (F.col("block") == F.col("w_block"))
+    c = c.join(wanted, own).select("vec_id", "dim", "ints", "length", "bucket", "block", F.col("w_part").alias("part"))  # blocks by batches that ask for them, and no others
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             d = int(left["dim"].iloc[0])
             x, lengths, ids = _unpack(right["ints"], d), right["length"].to_numpy(), right["vec_id"].to_numpy()
-            out = best(left["vec_id"].to_numpy(), _unpack(left["ints"], d), left["length"].to_numpy(), left["floor"].to_numpy(), ids, x, lengths, k)
+            for at in range(0, len(left), least):  # bounds the matrix of scores
+                some = left.iloc[at : at + least]
+                out += best(some["vec_id"].to_numpy(), _unpack(some["ints"], d), some["length"].to_numpy(), some["floor"].to_numpy(), ids, x, lengths, k)
         a, b, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": s.astype(np.int64)})
 
-    keys = ["dim", "bucket", "block", "part"]
     near = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
