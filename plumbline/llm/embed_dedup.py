@@ -46,7 +46,7 @@ def units(x: np.ndarray) -> np.ndarray:
 
 
 #: Bits of a component where a vector is the query of an estimate.
-LEVELS = 3
+LEVELS = 4
 
 
 def quantise(turned: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, float, float]:
