@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
 from plumbline.llm.common import ascii_lower
 
 #: The base kinds in their order, as Java expressions that match exactly what the contract's match. They start only
@@ -79,43 +80,74 @@ def _valid(kind: str, text: Column) -> Column:
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": "+", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
 
 
+#: Matches whose places are summed up at once; blocks of text (code points) from which context is cut.
+RUN, BLOCK = 128, 1024
+SPAN = "array<struct<start:int,stop:int,hit:string>>"
+
+
+def _walk(spans: Column) -> Column:
+    """(length, places) of a run of (gap, hit): how many code points it covers, and where its hits lie in it."""
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["gap"])
+        stop = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        put = F.when(x["hit"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit")))))
+        return F.struct(stop.alias("at"), put.alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)
+
+
 def _found(kind: str, expression: str, text: Column) -> Column:
-    """All matches as (start, end, text): what a split leaves between them gives their places, in code points."""
+    """All matches as (start, stop, hit): what a split leaves between them gives their places, in code points.
+
+    Places are summed up in runs of ``RUN`` matches and the runs' starts over the runs, so that the work grows with
+    the matches and not with their square.
+    """
     hint = HINTS[kind]
     likely = F.contains(text, F.lit(hint)) if hint in ("@", "+") else text.rlike(hint)
     spans = F.arrays_zip(F.split(text, expression, -1).alias("gap"), F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("hit"))
-    empty = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
-    walk = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("stop"), x["hit"].alias("hit"))),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(likely, walk).otherwise(empty)
+    runs = let(spans, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda r: _walk(F.slice(x, r * RUN + 1, F.lit(RUN)))))
+    starts = lambda r: F.aggregate(r, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["at"])))
+    moved = lambda x: F.transform(x["run"]["out"], lambda h: F.struct((h["start"] + x["base"]).alias("start"), (h["stop"] + x["base"]).alias("stop"), h["hit"].alias("hit")))
+    placed = let(runs, lambda r: F.flatten(F.transform(F.arrays_zip(r.alias("run"), F.slice(starts(r), F.lit(1), F.size(r)).alias("base")), moved)))
+    return F.when(likely, placed).otherwise(F.array().cast(SPAN))
 
 
 def _check(kind: str):
     return lambda x: _valid(kind, x["hit"])
 
 
-def _score(text: Column, rank: int, kind: str, base: float, words: list[str]):
+def _ranked(rank: int):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), x["hit"].alias("hit"))
+
+
+def _score(blocks: Column):
+    """Scores a span by its kind and by the words among the ``WINDOW`` characters on either side of it.
+
+    ``blocks`` is the text in pieces of ``BLOCK`` characters, so that a window is cut from two of them and not sought
+    from the text's start.
+    """
+
+    def cut(start: Column, stop: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        two = F.concat(F.coalesce(F.get(blocks, first), F.lit("")), F.coalesce(F.get(blocks, first + 1), F.lit("")))
+        return F.substring(two, start - first * BLOCK + 1, stop - start)
+
     def scored(x: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - WINDOW), F.least(F.lit(WINDOW), x["start"]))
-        around = ascii_lower(F.concat(before, F.lit(" "), F.substring(text, x["stop"] + 1, F.lit(WINDOW))))
-        near = around.rlike(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])")
-        score = F.lit(base + 0.2 * (kind in ("card", "iban"))) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        begin = F.greatest(F.lit(0), x["start"] - WINDOW)
+        around = ascii_lower(F.concat(cut(begin, x["start"]), F.lit(" "), cut(x["stop"], x["stop"] + WINDOW)))
+
+        def by_kind(text: Column) -> Column:
+            score = F.lit(0.0)
+            for rank, (kind, _, base, words) in enumerate(KINDS):
+                near = text.rlike(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])")
+                own = F.lit(base + 0.2 * (kind in ("card", "iban"))) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+                score = F.when(x["rank"] == rank, own).otherwise(score)
+            return F.round(F.least(score, F.lit(1.0)), 2)
+
+        kinds = F.array(*[F.lit(k[0]) for k in KINDS])
         return F.struct(
-            x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), F.lit(kind).alias("kind"), x["hit"].alias("hit"), F.round(F.least(score, F.lit(1.0)), 2).alias("score")
+            x["start"].alias("start"), x["rank"].alias("rank"), x["stop"].alias("stop"), F.get(kinds, x["rank"]).alias("kind"), x["hit"].alias("hit"), let(around, by_kind).alias("score")
         )
 
     return scored
@@ -135,11 +167,15 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     parts = []
-    for rank, (kind, expression, base, words) in enumerate(KINDS):
-        kept = F.transform(F.filter(_found(kind, expression, text), _check(kind)), _score(text, rank, kind, base, words))
-        parts.append(kept if kind in BASE else F.filter(kept, lambda x: x["score"] >= REPORT))
-    # Structs sort field by field: by start, then in the order of the kinds.
-    return docs.withColumn(out_col, F.array_sort(F.concat(*parts)))
+    for rank, (kind, expression, _, _) in enumerate(KINDS):
+        kept = F.filter(_found(kind, expression, text), _check(kind))
+        parts.append(F.transform(kept, _ranked(rank)))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    # Only texts with a span are cut into blocks. Structs sort field by field: by start, then in the order of the kinds.
+    found = F.concat(*parts)
+    scored = let(found, lambda f: F.when(F.size(f) > 0, let(blocks, lambda b: F.transform(F.array_sort(f), _score(b)))))
+    reported = F.filter(scored, lambda x: (x["rank"] < len(BASE)) | (x["score"] >= REPORT))
+    return docs.withColumn(out_col, F.coalesce(reported, F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string,hit:string,score:double>>")))
 
 
 def span_list(spans: Column) -> Column:
