@@ -39,3 +39,28 @@ def test_near_dedup_finds_appended_cut_and_inserted_copies(spark):
     root = components(docs, edges)
     kept = {row.doc_id for row in near_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
     assert len(edges) > 150 and kept == {k for k in docs if root[k] == k}
+
+
+def test_recall_by_similarity_step(spark):
+    """Three hundred pairs at each step, changed by scattered words or by a block at the end: nearly all are found."""
+    r = random.Random(11)
+    docs, steps, at = {}, {}, 0
+    for step in (0.80, 0.85, 0.90):
+        while sum(s == step for s in steps.values()) < 300:
+            w = [f"w{r.randrange(10**9)}" for _ in range(r.choice([30, 80, 200]))]
+            v = list(w)
+            if r.random() < 0.5:
+                v += [f"v{r.randrange(10**9)}" for _ in range(round(len(w) * (1 / step - 1) * 0.97))]
+            else:
+                for k in r.sample(range(len(w)), max(1, round(len(w) * (1 - step) / 9))):
+                    v[k] = f"v{r.randrange(10**9)}"
+            a, b = shingles(" ".join(w)), shingles(" ".join(v))
+            j = len(a & b) / len(a | b)
+            if step <= j < step + 0.05:
+                docs[at], docs[at + 1], steps[at] = " ".join(w), " ".join(v), step
+                at += 2
+    kept = {row.doc_id for row in near_dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    for step in set(steps.values()):
+        pairs = [k for k, s in steps.items() if s == step]
+        assert all(k in kept for k in pairs)
+        assert sum(k + 1 not in kept for k in pairs) >= 0.99 * len(pairs), step
