@@ -61,3 +61,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialises ``df`` once in the shared checkpoint folder; lost executors do not lose it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark's paths reach: nothing may read it any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
