@@ -49,7 +49,9 @@ def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "tex
     ``keep`` has gets an underscore.
     """
     small_batches(df.sparkSession)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
+    # A text that is kept crosses to Python once.
+    at = [c.lower() for c in keep].index(text.lower()) if text.lower() in [c.lower() for c in keep] else len(keep)
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{text}`")] if at == len(keep) else []))
     made_fields = _parse_datatype_string(schema).fields
     columns = [fresh(source.select(*[F.col(f"`{c}`") for c in keep]), f.name) for f in made_fields]
     out = StructType([*source.schema.fields[: len(keep)], *(StructField(c, f.dataType) for c, f in zip(columns, made_fields, strict=True))])
@@ -58,7 +60,7 @@ def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = one()
         for batch in batches:
-            found = [f(x) for x in batch.column(len(keep)).to_pylist()]
+            found = [f(x) for x in batch.column(at).to_pylist()]
             made = [pa.array([x[i] for x in found], type=kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *columns])
 

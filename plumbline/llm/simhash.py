@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import block_pairs, forest, fresh, map_texts, sorted_groups, stream_groups
-from plumbline.llm.graph import connected_components
+from plumbline.llm.common import BROADCAST_ROWS, block_pairs, forest, fresh, map_texts, sorted_groups, spread_join, stream_groups
+from plumbline.operators.components import connected_components
 from plumbline.session import cut_lineage
 
 #: Row b: the eight bits of byte b, highest first.
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, keep: list[str], words: int = 3, text_col: str
     return map_texts(docs, lambda: _fingerprinter(words), "fp bigint", keep, text_col)
 
 
-def _edges(distance: int, cap: int):
+def _edges(distance: int):
     def run(batches):
         for t, at in stream_groups(batches, ["key", "bi", "bj"]):
             fp, rep, side = t["fp"].view(np.uint64), t["rep"], t["side"]
@@ -95,7 +95,7 @@ def variants(prints: DataFrame, distance: int = 3) -> DataFrame:
 def components(prints: DataFrame, distance: int = 3, cap: int = 2048) -> DataFrame:
     """(rep, component_id) of distinct fingerprints (fp, rep) that link with another one."""
     grouped = block_pairs(variants(prints, distance), "key", "fp", cap)
-    edges = sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "fp", "rep").mapInArrow(_edges(distance, cap), "a long, b long")
+    edges = sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "fp", "rep").mapInArrow(_edges(distance), "a long, b long")
     return connected_components(edges).select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
 
 
@@ -118,16 +118,12 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, cap:
     linked = components(prints.where("rep is not null"), distance, cap)
     roots = prints.join(linked, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return own.join(roots, "fp").select(id_col, "fp", hexed.alias("fingerprint"), "component_id")
-
-
-#: Ids up to this number are broadcast (8 MB), more go through a shuffle.
-BROADCAST_IDS = 1_000_000
+    return spread_join(own, roots, ["fp"], id_col).select(id_col, "fp", hexed.alias("fingerprint"), "component_id")
 
 
 def bounded(ids: DataFrame) -> DataFrame:
     """``ids`` (materialised) with a broadcast hint if they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -233,7 +229,8 @@ def _alike(similarity: float):
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 32, cap: int = 1024,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every document that has a copy: shingle sets of Jaccard ``similarity`` or more.
+    """(id, component_id) of every document whose shingle set has a Jaccard similarity of ``similarity`` or more with
+    another's; of equal word sequences those that aren't the one with the smallest id.
 
     Equal word sequences collapse first. Two shingle sets share each of their min-hashes with a probability equal to
     their similarity J, wherever the copy was changed and however long it is. ``bands`` of ``rows`` min-hashes are an
@@ -256,7 +253,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     blocks = block_pairs(sets.select(F.col("id").alias("rep"), "root", "shingles").dropDuplicates(["rep", "shingles"]), "root", "rep", cap)
     edges = sorted_groups(blocks, ["root", "bi", "bj"]).select("root", "bi", "bj", "side", "rep", "shingles").mapInArrow(_alike(similarity), "a long, b long")
     found = connected_components(edges)
-    copies = own.select("id", "content").join(prints.select("content", "rep"), "content").join(found, F.col("rep") == F.col("node"), "left")
+    copies = spread_join(own.select("id", "content"), prints.select("content", "rep"), ["content"], "id").join(found, F.col("rep") == F.col("node"), "left")
     return copies.select("id", F.coalesce("root", "rep").alias("component_id"), (F.col("root").isNotNull() | (F.col("id") != F.col("rep"))).alias("copied")).where("copied").drop("copied")
 
 
