@@ -13,6 +13,8 @@ from plumbline.functions import text as X
 from plumbline.operators import components
 from plumbline.operators.metrics import latest_per_key
 from plumbline.plans.catalog import proxy, query, table
+from plumbline.sources import folders
+from plumbline.streaming.ledger import shared_folder
 
 NORM = r"trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
 
@@ -350,33 +352,46 @@ def dataset_fingerprint(spark, sf):
 
 @query("snk_02_manifest", "select subtask, split, count(*) as n, min(id) as first_id, max(id) as last_id from records where expected is not null group by 1, 2")
 def manifest(spark, sf):
-    """What a partitioned write holds in each of its parts."""
-    return proxy(spark, sf, "records").where("expected is not null").groupBy("subtask", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """A partitioned write, and what each of its parts holds when it is read again."""
+    folder = shared_folder(spark, "parts")
+    proxy(spark, sf, "records").where("expected is not null").select("id", "subtask", "split").write.partitionBy("subtask", "split").parquet(folder)
+    return spark.read.parquet(folder).groupBy("subtask", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query("snk_03_routing", "select case when exclude_reason is not null then 'dropped' when expected is null then 'review' when split = 'private' then 'private' else 'public' end as route, count(*) as n from records group by 1")
 def routing(spark, sf):
+    """One write routes every row to its folder; the counts are of what is read from them."""
     route = F.when(F.col("exclude_reason").isNotNull(), "dropped").when(F.col("expected").isNull(), "review").when(F.col("split") == "private", "private").otherwise("public")
-    return proxy(spark, sf, "records").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    folder = shared_folder(spark, "routes")
+    proxy(spark, sf, "records").select("id", "text", route.alias("route")).write.partitionBy("route").parquet(folder)
+    return spark.read.parquet(folder).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_04_release_package", "select id, case when licence in ('cc-by', 'mit') then text end as text, sha256(text) as digest from records where split <> 'private'")
 def release_package(spark, sf):
-    """Text where the licence lets it out, ids and digests otherwise."""
-    return proxy(spark, sf, "records").where("split <> 'private'").select("id", F.when(F.col("licence").isin("cc-by", "mit"), F.col("text")).alias("text"), F.sha2("text", 256).alias("digest"))
+    """Text where the licence lets it out, ids and digests otherwise: written, and read as a reader would."""
+    folder = shared_folder(spark, "package")
+    out = proxy(spark, sf, "records").where("split <> 'private'").select("id", F.when(F.col("licence").isin("cc-by", "mit"), F.col("text")).alias("text"), F.sha2("text", 256).alias("digest"))
+    out.write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query("snk_07_public_ledger", "select l.row_id, l.system, l.seq from ledger l where l.row_id in (select id from records where split <> 'private')")
 def public_ledger(spark, sf):
     public = proxy(spark, sf, "records").where("split <> 'private'").select(F.col("id").alias("row_id"))
-    return proxy(spark, sf, "ledger").select("row_id", "system", "seq").join(public, "row_id", "left_semi")
+    folder = shared_folder(spark, "public-ledger")
+    proxy(spark, sf, "ledger").select("row_id", "system", "seq").join(public, "row_id", "left_semi").write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query("snk_08_examined_append", "select distinct row_id from ledger where system = 'beta' and row_id not in (select row_id from ledger where system = 'alpha' and row_id % 2 = 0)")
 def examined_append(spark, sf):
-    """Ids to append to a list that has some of them."""
-    led = proxy(spark, sf, "ledger").select("row_id", "system")
-    return led.where("system = 'beta'").select("row_id").distinct().join(led.where("system = 'alpha' and row_id % 2 = 0").select("row_id"), "row_id", "left_anti")
+    """Ids appended to a list that has some of them: what the list then has more."""
+    led, folder = proxy(spark, sf, "ledger").select("row_id", "system"), shared_folder(spark, "examined")
+    before = led.where("system = 'alpha' and row_id % 2 = 0").select("row_id").distinct()
+    folders.append_new(before, folder, ["row_id"])
+    folders.append_new(led.where("system = 'beta'").select("row_id"), folder, ["row_id"])
+    return spark.read.parquet(folder).exceptAll(before)
 
 
 @query("set_01_union_of_ids", "select id, string_agg(role, ',' order by role) as roles from (select distinct doc_id as id, 'label' as role from labels union select distinct item_id, 'benchmark' from benchmark union select distinct conv_id, 'conversation' from conversations) group by id")

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
-
+from plumbline.plans import files, ledgers, records, sampling, scoring, similarity, statistics, text, versions, views
 from plumbline.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "flagship_leaderboard"
-MODULES = ("scoring", "statistics", "text", "records", "similarity", "sampling", "ledgers", "gates", "views", "models")
-
-for _name in MODULES:
-    if importlib.util.find_spec(f"plumbline.plans.{_name}"):
-        importlib.import_module(f"plumbline.plans.{_name}")
+MODULES = (scoring, statistics, text, records, similarity, sampling, ledgers, views, versions, files)
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
