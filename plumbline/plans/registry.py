@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.plans import files, ledgers, records, sampling, scoring, similarity, statistics, text, versions, views
+from plumbline.plans import files, gates, ledgers, records, sampling, scoring, similarity, statistics, text, versions, views
 from plumbline.plans.catalog import ORACLES, QUERIES
 
 FLAGSHIP = "flagship_leaderboard"
-MODULES = (scoring, statistics, text, records, similarity, sampling, ledgers, views, versions, files)
+MODULES = (scoring, statistics, text, records, similarity, sampling, ledgers, views, versions, files, gates)
 
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
