@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,6 +43,21 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut where ``rows`` rows or about ``size`` bytes of the texts in column ``at`` are full; a longer text is
+    a slice of its own. Bounds what becomes Python objects at once."""
+    for batch in batches:
+        column = batch.column(at)
+        length = pa.compute.list_value_length if pa.types.is_list(column.type) else pa.compute.binary_length
+        ends = np.cumsum(pa.compute.fill_null(length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns plus what ``one()(text)`` gives per row, as a tuple in the order of ``schema``.
 
@@ -59,7 +75,7 @@ def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = one()
-        for batch in batches:
+        for batch in slices(batches, at):
             found = [f(x) for x in batch.column(at).to_pylist()]
             made = [pa.array([x[i] for x in found], type=kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *columns])

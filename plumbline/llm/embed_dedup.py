@@ -247,7 +247,7 @@ def embedding_near_dedup(
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
     known = heads.join(links, "row", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    known = known.where("copies > 1 or links is not null").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     out = spread_join(coded.select("id", "same", "row"), known, ["same"], "row", "left")
     component = F.coalesce("component_id", "id")
     return out.select(

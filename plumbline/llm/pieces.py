@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from plumbline.llm.common import fresh, map_texts, small_batches
+from plumbline.llm.common import fresh, map_texts, small_batches, slices
 
 SPACE = "▁"
 #: Stands for a literal U+2581, which spaces would otherwise swallow: no text holds a lone surrogate.
@@ -39,7 +39,7 @@ class Segmenter:
     best entries of the agenda can matter, which bounds it. Words join by the same search over their alternatives.
     """
 
-    def __init__(self, pieces: list[tuple[str, float, str]], hold: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float, str]], hold: int = 150_000):
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "piece" else b"" for p, _, k in pieces]
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         normal = [(p, i, s) for i, (p, s, k) in enumerate(pieces) if k == "piece"]
@@ -261,7 +261,7 @@ class Segmenter:
 
     def _alternatives(self, w: str, n: int) -> list[tuple[float, list[int]]]:
         if (w, n) not in self.alternatives:
-            if len(self.alternatives) > 50_000:
+            if len(self.alternatives) > 10_000:
                 self.alternatives.clear()
             self.alternatives[w, n] = combine([self.nbest(p, n) for p in self.cut(w)], n)
         return self.alternatives[w, n]
@@ -342,7 +342,7 @@ def encode_texts(docs: DataFrame, pieces: list[tuple[str, float, str]], keep: li
 
     def run(batches):
         s = _segmenter(shared.value)
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             texts = batch.column(len(keep)).to_pylist()
             words = [s.words(t) for t in texts]
             s.learn(set().union(*words))

@@ -114,11 +114,12 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, cap:
     empty table gives an empty table; other columns are ignored.
     """
     own = cut_lineage(fingerprints(docs, [id_col], words, text_col))
-    prints = own.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    prints = own.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
     linked = components(prints.where("rep is not null"), distance, cap)
-    roots = prints.join(linked, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # Only prints that several rows have or that link need a component; any other row is its own.
+    roots = prints.join(linked, "rep", "left").where("n > 1 or component_id is not null").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return spread_join(own, roots, ["fp"], id_col).select(id_col, "fp", hexed.alias("fingerprint"), "component_id")
+    return spread_join(own, roots, ["fp"], id_col, "left").select(id_col, "fp", hexed.alias("fingerprint"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
 def bounded(ids: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     """
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     own = cut_lineage(map_texts(texts, lambda: _min_hasher(words, bands, rows), "content string, keys array<bigint>, hi bigint, lo bigint", ["id"]))
-    prints = own.groupBy("content").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    prints = own.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
     grouped = block_pairs(prints.select(F.explode("keys").alias("key"), "hi", "lo", "rep"), "key", "rep", 2 * cap)
     loose = connected_components(sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "hi", "lo", "rep").mapInArrow(_close(distance), "a long, b long"))
     wanted = bounded(loose)
@@ -253,8 +254,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     blocks = block_pairs(sets.select(F.col("id").alias("rep"), "root", "shingles").dropDuplicates(["rep", "shingles"]), "root", "rep", cap)
     edges = sorted_groups(blocks, ["root", "bi", "bj"]).select("root", "bi", "bj", "side", "rep", "shingles").mapInArrow(_alike(similarity), "a long, b long")
     found = connected_components(edges)
-    copies = spread_join(own.select("id", "content"), prints.select("content", "rep"), ["content"], "id").join(found, F.col("rep") == F.col("node"), "left")
-    return copies.select("id", F.coalesce("root", "rep").alias("component_id"), (F.col("root").isNotNull() | (F.col("id") != F.col("rep"))).alias("copied")).where("copied").drop("copied")
+    groups = prints.select("content", "rep", "n").join(found, F.col("rep") == F.col("node"), "left").where("n > 1 or root is not null").select("content", "rep", "root")
+    copies = spread_join(own.select("id", "content"), groups, ["content"], "id")
+    return copies.where("root is not null or id <> rep").select("id", F.coalesce("root", "rep").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
