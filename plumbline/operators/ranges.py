@@ -28,3 +28,14 @@ def running_sums(df: DataFrame, order: list[Column], **sums: Column) -> DataFram
 def row_numbers(df: DataFrame, order: list[Column], name: str = "at") -> DataFrame:
     """``df`` plus the place of each row in ``order``, from 1."""
     return running_sums(df, order, **{name: F.lit(1).cast("long")})
+
+
+def running_sums_within(df: DataFrame, part: list[str], order: list[Column], **sums: Column) -> DataFrame:
+    """The same inside each value of ``part``: sums over the whole order, less what the part's first row began with.
+
+    A part that holds most rows is spread over the ranges like any other. Added names must not be columns of ``df``."""
+    whole = running_sums(df, [*[F.col(c).asc() for c in part], *order], **sums)
+    begin = whole.groupBy(*part).agg(*[F.min(F.col(n) - v).alias(f"_begin_{n}") for n, v in sums.items()])
+    keys = {c: f"_part_{c}" for c in part}
+    joined = whole.join(begin.withColumnsRenamed(keys), [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return joined.select(*df.columns, *[(F.col(n) - F.col(f"_begin_{n}")).alias(n) for n in sums])
