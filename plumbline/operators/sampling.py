@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranges import running_sums, running_sums_within
 from plumbline.session import cut_lineage
 
 
@@ -40,9 +41,10 @@ def allocate(sizes: DataFrame, total: int, floor: int, size: str = "n") -> DataF
     return s.select(*names, size, F.least(F.col(size), take).cast("long").alias("take"))
 
 
-def stratified(df: DataFrame, strata: list[str], allocation: DataFrame, *order: Column) -> DataFrame:
-    """As many rows of each stratum as its allocation says."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+def stratified(df: DataFrame, strata: list[str], allocation: DataFrame, most: int, *order: Column) -> DataFrame:
+    """As many rows of each stratum as its allocation says; none says more than ``most``, so ranks beyond it never
+    reach the shuffle."""
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_rn") <= most)
     return ranked.join(allocation.select(*strata, "take"), strata).where(F.col("_rn") <= F.col("take")).drop("_rn", "take")
 
 
@@ -59,29 +61,29 @@ def hash_split(unit: Column, shares: list[tuple[str, float]]) -> Column:
 
 
 def rank_split(df: DataFrame, strata: list[str], shares: list[tuple[str, float]], *order: Column) -> DataFrame:
-    """Splits by the place of a row in its stratum."""
-    w = Window.partitionBy(*strata)
-    at = (F.row_number().over(w.orderBy(*order)) - 1) / F.count(F.lit(1)).over(w)
-    return df.withColumn("new_split", hash_split(at, shares))
+    """Splits by the place of a row in its stratum; places are running sums, so a large stratum is spread."""
+    keys = {c: f"_{c}" for c in strata}
+    n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed(keys)
+    placed = running_sums_within(df, strata, list(order), _at=F.lit(1).cast("long")).join(n, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return placed.select(*df.columns, hash_split((F.col("_at") - 1) / F.col("_n"), shares).alias("new_split"))
 
 
 def group_split(df: DataFrame, group: str, share: float, seed: str) -> DataFrame:
     """Whole groups to dev until it has ``share`` of the rows, in a hashed order; the rest is test.
 
-    The running total is over groups, not rows: one number for each.
+    The running total is over groups, not rows, and over ranges of their order.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(order_key(seed, group), group)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sizes.withColumn("before", before).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    return placed.select(group, "n", F.when(F.col("before") < share * F.col("total"), "dev").otherwise("test").alias("new_split"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_h", order_key(seed, group))
+    placed = running_sums(sizes, [F.col("_h").asc(), F.col(group).asc()], upto=F.col("n"))
+    placed = placed.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("total"))))  # one row
+    return placed.select(group, "n", F.when(F.col("upto") - F.col("n") < share * F.col("total"), "dev").otherwise("test").alias("new_split"))
 
 
 def matched(df: DataFrame, cell: list[str], label: str, ratio: float, *order: Column) -> DataFrame:
     """Rows of both classes in each cell, no class with more than ``ratio`` times the other."""
     n = df.groupBy(*cell).agg(F.count_if(F.col(label) == "yes").alias("y"), F.count_if(F.col(label) == "no").alias("z"))
     n = n.withColumn("most", F.floor(F.least("y", "z") * ratio))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell, label).orderBy(*order)))
+    ranked = running_sums_within(df, [*cell, label], list(order), _rn=F.lit(1).cast("long"))
     return ranked.join(n.select(*cell, "most"), cell).where(F.col("_rn") <= F.col("most")).drop("_rn", "most")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.operators.joins import salted_join
+from plumbline.session import cut_lineage
 
 
 def token_sets(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5) -> DataFrame:
@@ -29,32 +31,28 @@ def similarity_join(left: DataFrame, right: DataFrame, jaccard: float = 0.8, con
     all tokens of the other. Then overlaps are counted exactly. Rare tokens lead, so frequent ones hardly ever join.
     """
     t = min(jaccard, containment)
-    sides = [d.select("id", "tokens", F.size("tokens").alias("size")).where("size > 0") for d in ((left,) if itself else (left, right))]
-    all_tokens = [d.select("id", "size", F.explode("tokens").alias("token")) for d in sides]
-    df = None
-    for a in all_tokens:
-        df = a.select("token") if df is None else df.union(a.select("token"))
-    freq = df.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(a: DataFrame) -> DataFrame:
-        w = Window.partitionBy("id").orderBy("df", "token")  # a set's own tokens: bounded by its text
-        r = a.join(freq, "token").withColumn("rn", F.row_number().over(w))
-        return r.where(F.col("rn") <= F.col("size") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1).select(F.col("id").alias("pid"), F.col("size").alias("psize"), "token")
-
-    def meet(small: DataFrame, large: DataFrame, strict: bool) -> DataFrame:
-        """(small id, large id) that share a prefix token of the smaller."""
-        p = prefix(small).join(large, "token")
-        return p.where(F.col("psize") < F.col("size") if strict else F.col("psize") <= F.col("size")).select(F.col("pid"), F.col("id")).distinct()
+    sides = [d.select("id", "tokens", F.size("tokens").alias("size"), F.lit(k).alias("side")).where("size > 0") for k, d in enumerate((left,) if itself else (left, right))]
+    sets = cut_lineage(sides[0] if itself else sides[0].union(sides[1]))  # shingles are made once
+    tokens = sets.select("side", "id", "size", F.explode("tokens").alias("token"))
+    # A token that one set alone has joins nothing: it only counts, as the rarest, in the order of its set.
+    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    w = Window.partitionBy("side", "id").orderBy(F.coalesce("df", F.lit(1)), "token")  # a set's own tokens: bounded by its text
+    ranked = salted_join(tokens, freq, ["token"], "id", "left").withColumn("rn", F.row_number().over(w))
+    ranked = cut_lineage(ranked.where("df > 1").select("side", "id", "size", "token", "rn"))
+
+    def meet(a: int, b: int, strict: bool) -> DataFrame:
+        """(small id, large id) of the sides ``a`` and ``b`` that share a prefix token of the smaller."""
+        led = ranked.where((F.col("side") == a) & (F.col("rn") <= F.col("size") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1))
+        p = led.select(F.col("id").alias("pid"), F.col("size").alias("psize"), "token").join(ranked.where(F.col("side") == b).select("id", "size", "token"), "token")
+        big_enough = (F.col("psize") >= jaccard * F.col("size") - 1e-9) | (F.col("psize") >= least)
+        return p.where((F.col("psize") < F.col("size") if strict else F.col("psize") <= F.col("size")) & big_enough).select("pid", "id").distinct()
 
     if itself:
-        c = meet(all_tokens[0], all_tokens[0], False).where("pid <> id").select(F.least("pid", "id").alias("left_id"), F.greatest("pid", "id").alias("right_id")).distinct()
+        c = meet(0, 0, False).where("pid <> id").select(F.least("pid", "id").alias("left_id"), F.greatest("pid", "id").alias("right_id")).distinct()
     else:
-        a = meet(all_tokens[0], all_tokens[1], False).select(F.col("pid").alias("left_id"), F.col("id").alias("right_id"))
-        b = meet(all_tokens[1], all_tokens[0], True).select(F.col("id").alias("left_id"), F.col("pid").alias("right_id"))
-        c = a.union(b)
-    other = sides[0] if itself else sides[1]
-    x = sides[0].select(F.col("id").alias("left_id"), F.col("tokens").alias("lt"), F.col("size").alias("left_size"))
-    y = other.select(F.col("id").alias("right_id"), F.col("tokens").alias("rt"), F.col("size").alias("right_size"))
+        c = meet(0, 1, False).select(F.col("pid").alias("left_id"), F.col("id").alias("right_id")).union(meet(1, 0, True).select(F.col("id").alias("left_id"), F.col("pid").alias("right_id")))
+    x = sets.where("side = 0").select(F.col("id").alias("left_id"), F.col("tokens").alias("lt"), F.col("size").alias("left_size"))
+    y = sets.where(F.col("side") == (0 if itself else 1)).select(F.col("id").alias("right_id"), F.col("tokens").alias("rt"), F.col("size").alias("right_size"))
     v = c.join(x, "left_id").join(y, "right_id").withColumn("overlap", F.size(F.array_intersect("lt", "rt")))
     small = F.least("left_size", "right_size")
     alike = F.col("overlap") >= jaccard * (F.col("left_size") + F.col("right_size") - F.col("overlap")) - 1e-9
@@ -63,10 +61,16 @@ def similarity_join(left: DataFrame, right: DataFrame, jaccard: float = 0.8, con
 
 
 def minhash_pairs(sets: DataFrame, jaccard: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(a, b) of distinct sets that share a band of MinHash values and have at least that Jaccard similarity."""
-    values = F.array(*[F.array_min(F.transform("tokens", _seeded(k))) for k in range(bands * rows)])
-    keys = [F.xxhash64(F.lit(b), *[F.element_at("mins", b * rows + k + 1) for k in range(rows)]) for b in range(bands)]
-    banded = sets.select("id", values.alias("mins")).select("id", F.explode(F.array(*keys)).alias("band"))
+    """(a, b) of distinct sets that share a band of MinHash values and have at least that Jaccard similarity.
+
+    The minima are grouped aggregates over exploded tokens, made once and written; so are the sets."""
+    sets = cut_lineage(sets.select("id", "tokens"))
+    token = F.col("token")
+    mins = sets.select("id", F.explode("tokens").alias("token")).groupBy("id").agg(*[F.min(F.xxhash64(token, F.lit(k))).alias(f"m{k}") for k in range(bands * rows)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + k}") for k in range(rows)]) for b in range(bands)])
+    banded = cut_lineage(mins.select("id", F.explode(keys).alias("band")))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    banded = banded.join(shared, "band", "left_semi")
     pairs = banded.join(banded.select("band", F.col("id").alias("b")), "band").where("id < b").select(F.col("id").alias("a"), "b").distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     v = pairs.join(x, "a").join(y, "b")
@@ -74,10 +78,6 @@ def minhash_pairs(sets: DataFrame, jaccard: float = 0.8, bands: int = 16, rows:
     return v.where(both >= jaccard * (F.size("ta") + F.size("tb") - both) - 1e-9).select("a", "b")
 
 
-def _seeded(k: int):
-    return lambda t: F.xxhash64(t, F.lit(k))
-
-
 def ngram_rows(df: DataFrame, id_col: str, n: int, text_col: str = "text") -> DataFrame:
     """(id, gram, total): the distinct word n-grams of texts that have as many words, hashed."""
     w = X.words(F.coalesce(F.col(text_col), F.lit("")))
@@ -109,7 +109,7 @@ def quotes(texts: DataFrame, width: int = 50, step: int = 25, least: int = 16) -
     """
     t = texts.select("id", F.trim(F.regexp_replace("text", X.SPACES, " ")).alias("t")).where(F.length("t") > 0).distinct()
     q = t.select(F.explode(X.quote_windows(F.col("t"), width, step)).alias("quote")).distinct()
-    two = lambda c: F.struct(F.xxhash64(c), F.xxhash64(c, F.lit(1)))
+    two = lambda c: F.struct(F.xxhash64(c), F.xxhash64(F.lit(1), c))  # noqa: E731  the constant first: else the second is a function of the first
 
     def at_every_offset(n: int) -> DataFrame:
         cut = F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: two(F.substring("t", i, F.lit(n))))

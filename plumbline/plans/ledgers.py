@@ -140,10 +140,13 @@ def serving_cost(spark, sf):
 
 @query("join_17_session_match", "select l.system, l.config_hash, s.session, count(*) as n from latest l join (select 's1' as session, 'cfg1' as cfg union all select 's2', null) s on s.cfg is null or s.cfg = l.config_hash group by 1, 2, 3")
 def session_match(spark, sf):
-    """Sessions for a configuration; null fits any. Ledger rows are counted by configuration before they meet."""
+    """Sessions for a configuration; null fits any. Ledger rows are counted by configuration before they meet, those
+    with a configuration by equality, the others with every arm."""
     arms = proxy(spark, sf, "latest").groupBy("system", "config_hash").agg(F.count(F.lit(1)).alias("n"))
     s = spark.createDataFrame([("s1", "cfg1"), ("s2", None)], "session string, cfg string")
-    return arms.join(F.broadcast(s), F.col("cfg").isNull() | (F.col("cfg") == F.col("config_hash"))).select("system", "config_hash", "session", "n")
+    named = arms.join(F.broadcast(s.where("cfg is not null")), F.col("cfg") == F.col("config_hash")).select("system", "config_hash", "session", "n")
+    any_ = s.where("cfg is null").agg(F.collect_list("session").alias("sessions"))  # the few declared for any
+    return named.union(arms.crossJoin(F.broadcast(any_)).select("system", "config_hash", F.explode("sessions").alias("session"), "n"))
 
 
 @query("agg_31_run_summary", "select system, count(*) as n, count(*) filter (not ok) as failed, count(*) filter (seq > 0) as retries, round(sum(latency_s), 4) as seconds, sum(tokens_in)::bigint as tokens_in, round(avg((tokens_in > 900)::int), 6) as near_limit from ledger group by 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import sampling as S
+from plumbline.operators.ranges import row_numbers
 from plumbline.plans.catalog import proxy, query, table
 
 SHARES = [("test", 0.6), ("dev", 0.2), ("private", 0.2)]
@@ -51,7 +52,7 @@ def allocation(spark, sf):
 def stratified_draw(spark, sf):
     r = proxy(spark, sf, "records").select("id", "subtask")
     a = S.allocate(r.groupBy("subtask").agg(F.count(F.lit(1)).alias("n")), 200, 20)
-    return S.stratified(r, ["subtask"], a, S.order_key("draw", "id"))
+    return S.stratified(r, ["subtask"], a, 200, S.order_key("draw", "id"))
 
 
 @query("smp_06_round_robin", "select id, source from (select id, source, row_number() over (partition by source order by md5('rr:' || id)) as turn from records) order by turn, source limit 50")
@@ -140,8 +141,10 @@ def rounded_rank_split(spark, sf):
 
 @query("smp_21_seeded_halves", "select grp, ntile(2) over (order by md5('half:' || grp)) as half from (select distinct grp from records)")
 def seeded_halves(spark, sf):
-    g = proxy(spark, sf, "records").select("grp").distinct()
-    return g.select("grp", F.ntile(2).over(Window.orderBy(S.order_key("half", "grp"))).cast("long").alias("half"))
+    g = proxy(spark, sf, "records").select("grp").distinct().withColumn("h", S.order_key("half", "grp"))
+    placed = row_numbers(g, [F.col("h").asc(), F.col("grp").asc()])
+    n = g.agg(F.count(F.lit(1)).alias("n"))
+    return placed.crossJoin(F.broadcast(n)).select("grp", F.when(F.col("at") <= F.ceil(F.col("n") / 2), 1).otherwise(2).cast("long").alias("half"))  # one row
 
 
 @query("smp_22_balanced_folds")

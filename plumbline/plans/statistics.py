@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import boards, metrics
+from plumbline.operators.ranges import row_numbers
 from plumbline.plans.catalog import proxy, query
 from plumbline.plans.scoring import KEYS, rounded
 
@@ -176,12 +177,11 @@ def planted_signal(spark, sf):
     select a.grp, a.label, b.label as permuted from g a join g b on a.at = b.to_""",
 )
 def permuted_labels(spark, sf):
-    """Labels handed to other groups in a hashed order."""
-    from pyspark.sql import Window
-
+    """Labels handed to other groups in a hashed order. Both orders are numbered by ranges, not in one task."""
     g = proxy(spark, sf, "records").where("expected is not null").groupBy("grp").agg(F.max("expected").alias("label"))
-    g = g.withColumn("at", F.row_number().over(Window.orderBy("grp"))).withColumn("to", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("perm:"), F.col("grp").cast("string"))), "grp")))
-    b = g.select(F.col("label").alias("permuted"), F.col("to").alias("bt"))
+    h = F.md5(F.concat(F.lit("perm:"), F.col("grp").cast("string")))
+    b = row_numbers(g.withColumn("h", h), [F.col("h").asc(), F.col("grp").asc()], "bt").select(F.col("label").alias("permuted"), "bt")
+    g = row_numbers(g, [F.col("grp").asc()])
     return g.join(b, F.col("at") == F.col("bt")).select("grp", "label", "permuted")
 
 

@@ -89,10 +89,10 @@ def compatible_words(spark, sf):
 
 @query(
     "str_06_field_shingles",
-    f"select page_id, (select array_to_string(list_sort(list_distinct(list_concat({shingles_sql('u', 3)}, {shingles_sql('h', 3)}))), '|') from (select regexp_extract_all(lower(url), '[\\p{{L}}\\p{{N}}_]+') as u, regexp_extract_all(lower(substr(html, 1, 400)), '[\\p{{L}}\\p{{N}}_]+') as h)) as value from pages",
+    f"select page_id, (select array_to_string(list_sort(list_distinct(list_concat({shingles_sql('u', 3)}, {shingles_sql('h', 3)}))), '|') from (select regexp_extract_all(lower(url), '[\\p{{L}}\\p{{N}}_]+') as u, regexp_extract_all(lower(html), '[\\p{{L}}\\p{{N}}_]+') as h)) as value from pages",
 )
 def field_shingles(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(X.field_shingles([F.col("url"), F.substring("html", 1, 400)], 3)), "|").alias("value"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(X.field_shingles([F.col("url"), F.col("html")], 3)), "|").alias("value"))
 
 
 @query("str_06_whole_field_shingles")
