@@ -158,6 +158,23 @@ def overlap_check(spark, sf):
     return same_group.union(same_text).union(near.select("left_id", F.lit("near"), "right_id")).distinct()
 
 
+@query(
+    "join_01_overlap_classes",
+    f"""with r as (select id, grp, split, {DIGEST} as digest from records), c as (select 'group' as kind, grp::varchar as class, id, split from r union all select 'text', digest, id, split from r)
+    select kind, class, count(*) filter (split = 'test') as n_test, count(*) filter (split <> 'test') as n_other, min(id) filter (split = 'test') as first_test, min(id) filter (split <> 'test') as first_other from c
+    where class is not null group by 1, 2 having count(*) filter (split = 'test') > 0 and count(*) filter (split <> 'test') > 0""",
+)
+def overlap_classes(spark, sf):
+    """The overlaps by group and text as one row a class with its counts: the form for classes of any size, where
+    ``join_01_overlap_check`` has a row a pair."""
+    r = proxy(spark, sf, "records").select("id", "split", F.col("grp").cast("string").alias("grp"), F.sha2(X.normalise(F.col("text")), 256).alias("digest"))
+    kinds = F.array(F.struct(F.lit("group").alias("kind"), F.col("grp").alias("class")), F.struct(F.lit("text").alias("kind"), F.col("digest").alias("class")))
+    c = r.select("id", (F.col("split") == "test").alias("test"), F.explode(kinds).alias("k")).select("id", "test", "k.*").where("class is not null")
+    test, other = F.when(F.col("test"), F.col("id")), F.when(~F.col("test"), F.col("id"))
+    g = c.groupBy("kind", "class").agg(F.count(test).alias("n_test"), F.count(other).alias("n_other"), F.min(test).alias("first_test"), F.min(other).alias("first_other"))
+    return g.where("n_test > 0 and n_other > 0")
+
+
 @query(
     "join_06_overlap_reason",
     f"""with r as (select id, grp, split, {DIGEST} as digest from records) select id, case when exists (select 1 from r b where b.split = 'test' and b.digest = r.digest) then 'text' when exists (select 1 from r b where b.split = 'test' and b.grp = r.grp) then 'group' end as reason from r where split <> 'test'""",
@@ -188,7 +205,7 @@ def quote_join(spark, sf):
     select quote, count(distinct conv_id) as n_conversations from h group by 1 having count(distinct conv_id) > 1""",
 )
 def quotes_anywhere(spark, sf):
-    """Windows of conversations that others hold too, at whatever offset; the rule of the reference's ``_quotes``."""
+    """Windows of conversations that others hold too, at whatever offset."""
     q = similarity.quotes(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text"))
     return q.groupBy("quote").agg(F.count(F.lit(1)).alias("n_conversations")).where("n_conversations > 1")
 
@@ -216,3 +233,20 @@ def set_similarity(spark, sf):
     q = p.join(p.select(F.col("page_id").alias("b"), "host", F.col("w").alias("v")), "host").where("page_id < b")
     both = F.size(F.array_intersect("w", "v"))
     return q.select(F.col("page_id").alias("a"), "b", F.round(both / F.size(F.array_union("w", "v")), 6).alias("jaccard"), F.round(both / F.least(F.size("w"), F.size("v")), 6).alias("containment"))
+
+
+HOST_WORDS = r"select page_id as id, split_part(url, '/', 3) as host, list_distinct(regexp_extract_all(lower(url), '[\p{L}\p{N}_]+')) as w from pages where url is not null"
+
+
+@query(
+    "set_06_alike_sets",
+    f"""with s as ({HOST_WORDS}), k as (select min(id) as id, host, list_sort(w) as w from s group by host, list_sort(w)) select a.id as a, b.id as b, round(len(list_intersect(a.w, b.w))::double / len(list_distinct(list_concat(a.w, b.w))), 6) as jaccard from k a join k b on a.host = b.host and a.id < b.id
+    where len(a.w) > 0 and len(b.w) > 0 and len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w))) - 1e-9""",
+)
+def alike_sets(spark, sf):
+    """Distinct sets of words of urls that are alike, within a host: the rarest words of each set meet, not all sets of
+    a host, so a host with most of the pages is no group of its own."""
+    p = table(spark, sf, "pages").where("url is not null").select(F.col("page_id").alias("id"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.array_distinct(X.words(F.col("url"))).alias("w"))
+    sets = p.select("id", F.transform("w", lambda x: F.xxhash64(F.col("host"), x)).alias("tokens"))
+    found = similarity.similarity_join(similarity.distinct_sets(sets), similarity.distinct_sets(sets), 0.8, 1.0, 1 << 30, itself=True)
+    return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.round(F.col("overlap") / (F.col("left_size") + F.col("right_size") - F.col("overlap")), 6).alias("jaccard"))

@@ -97,7 +97,7 @@ def field_shingles(spark, sf):
 
 @query("str_06_whole_field_shingles")
 def whole_field_shingles(spark, sf):
-    """The same over whole pages, as ``row_shingles`` of the reference has it; a test holds it against plain Python."""
+    """Shingles of whole fields, held against plain Python by a test."""
     return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(X.field_shingles([F.col("url"), F.col("html")], 3)), "|").alias("value"))
 
 
