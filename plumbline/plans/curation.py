@@ -356,3 +356,43 @@ def suite_of(spark, sf):
     ident = F.concat(F.lit("F"), (F.col("id") % 4).cast("string"), F.lit("-"), F.col("source"))
     by_id = F.coalesce(F.nullif(F.regexp_extract(ident, "^(F[0-9])-", 1), F.lit("")), F.lit("none"))
     return proxy(spark, sf, "records").select("id", F.when(F.col("source") == "src0", "named").otherwise(by_id).alias("suite"))
+
+
+# --- literals, insertions and lexicons as tables ---------------------------------------------------------------------------
+
+@query("src_06_python_literals", "select event_id, (props ->> '$.k')::bigint as k, case when event_id % 3 = 0 then 'python' else 'json' end as written from events where props is not null")
+def python_literals(spark, sf):
+    """Nested values that some rows have as JSON and others as Python literals: single quotes, True, False and None."""
+    e = table(spark, sf, "events").where("props is not null")
+    raw = F.when(F.col("event_id") % 3 == 0, F.regexp_replace(F.replace("props", F.lit('"'), F.lit("'")), r"\}$", ", 'seen': True, 'note': None}")).otherwise(F.col("props"))
+    as_json = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
+    plain = F.from_json("raw", "k bigint, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    literal = F.from_json(as_json, "k bigint", {"allowSingleQuotes": "true"})
+    p = e.select("event_id", raw.alias("raw")).withColumns({"plain": plain, "literal": literal})
+    is_json = F.col("plain._bad").isNull()
+    return p.select("event_id", F.when(is_json, F.col("plain.k")).otherwise(F.col("literal.k")).alias("k"), F.when(is_json, "json").otherwise("python").alias("written"))
+
+
+LISTED = ("ignore", "password", "token", "please")
+
+
+@query("str_28_zero_width_words", "select conv_id, turn, md5(" + "".join("replace(" for _ in LISTED) + "text" + "".join(f", '{w}', '{w[: len(w) // 2]}' || chr(8203) || '{w[len(w) // 2 :]}')" for w in LISTED) + ") as changed from conversations where text is not null")
+def zero_width_words(spark, sf):
+    """A zero-width space inside each of some listed words."""
+    t = F.col("text")
+    for w in LISTED:
+        t = F.replace(t, F.lit(w), F.lit(f"{w[: len(w) // 2]}​{w[len(w) // 2 :]}"))
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.md5(t).alias("changed"))
+
+
+TERMS = f"select word, case when length(word) % 2 = 0 then 'even' else 'odd' end as kind from (select distinct unnest({WORDS_SQL.format(t='text')}) as word from benchmark) where length(word) >= 8"
+
+
+@query("str_10_terms_by_class", f"with l as ({TERMS}), d as (select distinct doc_id, unnest({WORDS_SQL.format(t='text')}) as word from documents) select d.doc_id, l.kind, count(*) as n, min(l.word) as first_term from d join l on l.word = d.word group by 1, 2")
+def terms_by_class(spark, sf):
+    """The terms of a lexicon that a text has, by class; the lexicon is a table of any size."""
+    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(X.words(F.col("text")))).alias("word"))
+    lex = words(table(spark, sf, "benchmark").where("text is not null")).where(F.length("word") >= 8).distinct()
+    lex = lex.withColumn("kind", F.when(F.length("word") % 2 == 0, "even").otherwise("odd"))
+    d = words(table(spark, sf, "documents").where("text is not null"), "doc_id")
+    return d.join(lex, "word").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first_term"))
