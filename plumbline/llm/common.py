@@ -85,7 +85,7 @@ def map_texts(df: DataFrame, one, schema: str, keep: list[str], text: str = "tex
 
 
 #: Right sides of up to this many rows of a few numbers each are broadcast; larger ones are salted.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:

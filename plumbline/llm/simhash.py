@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, block_pairs, forest, fresh, map_texts, sorted_groups, spread_join, stream_groups
+from plumbline.llm.common import block_pairs, forest, fresh, map_texts, sorted_groups, spread_join, stream_groups
 from plumbline.operators.components import connected_components
 from plumbline.session import cut_lineage
 
@@ -122,9 +122,13 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, cap:
     return spread_join(own, roots, ["fp"], id_col, "left").select(id_col, "fp", hexed.alias("fingerprint"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
+#: Ids up to this number are broadcast (16 MB), more go through a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def bounded(ids: DataFrame) -> DataFrame:
     """``ids`` (materialised) with a broadcast hint if they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
