@@ -184,7 +184,7 @@ ANSWERS = "select system, case system when 'alpha' then round(score) when 'delta
 @query(
     "gov_09_decision_rule",
     f"""with b as (select system, bool_and(s in (0, 1)) as binary_, bool_and(s between 0 and 1) as share_, string_agg(distinct basis, ',' order by basis) as bases, count(distinct basis) as n from ({ANSWERS}) group by 1)
-    select system, bases, case when binary_ then 'binary' when share_ then 'probability' else 'other' end as scale, case when binary_ or share_ then 0.5 when n = 1 then 4.0 end as threshold,
+    select system, bases, case when binary_ then 'binary' when share_ then 'probability' else 'other' end as scale, case when binary_ or share_ then 0.5::double when n = 1 then 4.0::double end as threshold,
     case when binary_ then 'verdict' when share_ then 'fixed_probability_rule' when n = 1 then 'frozen_documented_setting' else 'conflicting_frozen_settings' end as rule from b""",
 )
 def decision_rule(spark, sf):
