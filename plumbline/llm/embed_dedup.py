@@ -45,18 +45,23 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+#: Bits of a code at least: with fewer, estimates leave more pairs open than their bytes save.
+LEAST_BITS = 128
 #: Bits of a component where a vector is the query of an estimate.
 LEVELS = 4
 
 
-def quantise(turned: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, float, float]:
-    """(bit planes, lowest, step) of a rotated vector in ``LEVELS`` bits a component, rounded at random, so that the
-    estimates made with it stay unbiased."""
-    low = float(turned.min())
-    step = float(turned.max() - low) / (2**LEVELS - 1) or 1.0
+def quantise(turned: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bit planes, lowest, step) of rotated vectors (a row each) in ``LEVELS`` bits a component, rounded at random, so
+    that the estimates made with them stay unbiased."""
+    bits = turned.shape[1]
+    low = turned.min(axis=1)
+    step = (turned.max(axis=1) - low) / (2**LEVELS - 1)
+    step[step == 0] = 1.0
     dither = np.random.default_rng([seed, bits]).random(bits)
-    u = np.clip(np.floor((turned - low) / step + dither), 0, 2**LEVELS - 1).astype(np.uint8)
-    return np.packbits((u[None, :] >> np.arange(LEVELS, dtype=np.uint8)[:, None]) & 1, axis=1), low, step
+    u = np.clip(np.floor((turned - low[:, None]) / step[:, None] + dither), 0, 2**LEVELS - 1).astype(np.uint8)
+    planes = np.packbits((u[:, None, :] >> np.arange(LEVELS, dtype=np.uint8)[None, :, None]) & 1, axis=2)
+    return planes.reshape(len(turned), -1), low, step
 
 
 def _encode(bits: int, width: int, bands: int, seed: int, kind: str):
@@ -66,17 +71,22 @@ def _encode(bits: int, width: int, bands: int, seed: int, kind: str):
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, v in zip(batch.column(0).to_pylist(), to_vectors(batch, batch.schema.names[1]), strict=True):
-                if v is None or not v.any():
-                    rows.append((i, *[None] * 8))
-                    continue
-                turned = rotation(len(v), bits, seed) @ units(v[None, :])[0]
+            ids, vectors = batch.column(0).to_pylist(), to_vectors(batch, batch.schema.names[1])
+            rows: list = [(i, *[None] * 8) for i in ids]
+            by_dim: dict[int, list[int]] = {}
+            for k, v in enumerate(vectors):
+                if v is not None and v.any():
+                    by_dim.setdefault(len(v), []).append(k)
+            for dim, at in by_dim.items():
+                x = np.stack([vectors[k] for k in at])
+                turned = units(x) @ rotation(dim, bits, seed).T
                 code = turned > 0
-                factor = float(np.abs(turned).sum() / math.sqrt(bits))  # <code, vector>
-                planes, low, step = quantise(turned, bits, seed)
-                keys = [int(k) for k in code[: width * bands].reshape(bands, width) @ (1 << np.arange(width, dtype=np.int64))]
-                rows.append((i, (v + 0.0).astype(kind).tobytes(), len(v), np.packbits(code).tobytes(), factor, planes.tobytes(), low, step, keys))
+                factor = np.abs(turned).sum(axis=1) / math.sqrt(bits)  # <code, vector>
+                planes, low, step = quantise(turned, seed)
+                keys = (code[:, : width * bands].reshape(len(at), bands, width) @ (1 << np.arange(width, dtype=np.int64))).tolist()
+                packed, raw = np.packbits(code, axis=1), (x + 0.0).astype(kind)
+                for n, k in enumerate(at):
+                    rows[k] = (ids[k], raw[n].tobytes(), dim, packed[n].tobytes(), factor[n], planes[n].tobytes(), low[n], step[n], keys[n])
             cols = list(zip(*rows, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["id", "raw", "dim", "code", "factor", "planes", "low", "step", "keys"])
 
@@ -98,32 +108,44 @@ class Codes:
         key_bits = np.unpackbits(packed, axis=1)[:, : width * bands].reshape(n, bands, width)
         self.keys = key_bits @ (1 << np.arange(width, dtype=np.int64))
 
+        # Bits differ with the angle's share of a half turn: at the threshold this many, with more slack than estimates get.
+        share = math.acos(min(1.0, threshold)) / math.pi
+        self.most = math.floor(bits * share + (epsilon + 1.5) * math.sqrt(bits * share * (1 - share))) + 1
+
     def estimates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimate, slack) of the inner products of ``a`` (as codes) and ``b`` (as queries).
+        """(estimate, slack) of the inner product of each row of ``a`` (as a code) with that of ``b`` (as a query).
 
         <code, query> / factor is unbiased; its standard error is about sqrt(1 - f^2) / f / sqrt(bits - 1), and that of
         the query's rounding at most half a step. Products are counts of common bits: no vector is touched.
         """
-        common = np.zeros((len(a), len(b)), np.int32)
+        common = np.zeros(len(a), np.int64)
         for w in range(self.code.shape[1]):
+            code = self.code[a, w]
             for level in range(LEVELS):
-                common += np.bitwise_count(self.code[a, w][:, None] & self.planes[b, level, w][None, :]).astype(np.int32) << level
-        f = self.factor[a][:, None]
-        signs = self.low[b][None, :] * (2 * self.ones[a] - self.bits)[:, None] + self.step[b][None, :] * (2 * common - self.total[b][None, :])
-        error = np.sqrt(np.maximum(0, 1 - f**2) / max(1, self.bits - 1) + (self.step[b][None, :] / 2) ** 2) / f
+                common += np.bitwise_count(code & self.planes[b, level, w]).astype(np.int64) << level
+        f = self.factor[a]
+        signs = self.low[b] * (2 * self.ones[a] - self.bits) + self.step[b] * (2 * common - self.total[b])
+        error = np.sqrt(np.maximum(0, 1 - f**2) / max(1, self.bits - 1) + (self.step[b] / 2) ** 2) / f
         return signs / math.sqrt(self.bits) / f, self.epsilon * error + 1e-5
 
     def open_pairs(self, a: np.ndarray, b: np.ndarray, cross: bool, band: int, count: dict | None):
-        """Pairs (one of ``a``, one of ``b``; each once where they are the same rows) that the bound can't rule out and
-        whose first common band is ``band``, so that no pair counts in two; a part of ``a`` at a time."""
+        """Pairs (one of ``a``, one of ``b``; each once where they are the same rows) that the bounds can't rule out and
+        whose first common band is ``band``, so that no pair counts in two; a part of ``a`` at a time.
+
+        Differing bits are counted for all pairs, inner products estimated for those that this leaves."""
         rows = max(1, 2**20 // max(1, len(b)))
         for k in range(0, len(a), rows):
-            guess, slack = self.estimates(a[k : k + rows], b)
-            may = guess + slack >= self.threshold
+            differ = np.zeros((len(a[k : k + rows]), len(b)), np.uint16)
+            for w in range(self.code.shape[1]):
+                differ += np.bitwise_count(self.code[a[k : k + rows], w][:, None] ^ self.code[b, w][None, :])
+            may = differ <= self.most
             if not cross:
                 may &= np.arange(k, k + len(may))[:, None] < np.arange(len(b))[None, :]
             i, j = np.nonzero(may)
             i, j = a[k + i], b[j]
+            guess, slack = self.estimates(i, j)
+            stay = guess + slack >= self.threshold
+            i, j = i[stay], j[stay]
             if count is not None:
                 count["pairs"] = count.get("pairs", 0) + (may.size if cross else int((np.arange(k, k + len(may))[:, None] < np.arange(len(b))[None, :]).sum()))
                 count["exact"] = count.get("exact", 0) + len(i)
@@ -222,7 +244,7 @@ def embedding_near_dedup(
     width, bands = plan_bands(n, threshold, recall, bucket)
     dim = max(1, dim or 1)
     kind = "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8"
-    bits = 64 * math.ceil(max(dim, width * bands) / 64)
+    bits = 64 * math.ceil(max(dim, width * bands, LEAST_BITS) / 64)
     coded = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(
         _encode(bits, width, bands, seed, kind), "id long, raw binary, dim int, code binary, factor float, planes binary, low float, step float, keys array<long>"
     )

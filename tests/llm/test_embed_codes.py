@@ -27,7 +27,8 @@ def test_estimates_are_unbiased_and_bounded():
     true, errors, outside = both @ both.T, [], 0
     for seed in range(12):
         codes = Codes(table_of(both, seed=seed), slice(0, 120), BITS, WIDTH, BANDS, 0.9, 3.0)
-        guess, slack = codes.estimates(np.arange(120), np.arange(120))
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(120), np.arange(120), indexing="ij"))
+        guess, slack = (x.reshape(120, 120) for x in codes.estimates(a, b))
         off = ~np.eye(120, dtype=bool)
         errors.append((guess - true)[off])
         outside += (np.abs(guess - true) > slack)[off].sum()
