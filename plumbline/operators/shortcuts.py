@@ -85,7 +85,7 @@ def out_of_fold(rows: DataFrame, build, folds: int = 3) -> DataFrame:
 
 def ngram_model(train: DataFrame, kind: str = "char", l1: bool = True, strength: float = 0.01, buckets: int = 1 << 15) -> PipelineModel:
     """TF-IDF of hashed n-grams of characters or words under a logistic regression, classes weighing the same."""
-    return _weighted(train, [*_hashed(kind, buckets), LogisticRegression(labelCol="y", featuresCol="features", weightCol="w", elasticNetParam=float(l1), regParam=strength, maxIter=30)])
+    return _weighted(train, [*_hashed(kind, buckets), LogisticRegression(labelCol="y", featuresCol="features", weightCol="w", elasticNetParam=float(l1), regParam=strength, maxIter=20)])
 
 
 def _hashed(kind: str, buckets: int) -> list:
@@ -102,12 +102,15 @@ def _weighted(train: DataFrame, stages: list) -> PipelineModel:
 
 
 def chosen_model(train: DataFrame, kind: str, strengths=(0.01, 0.1), buckets: int = 1 << 14):
-    """The same with squared penalty, whose strength is chosen on inner folds that keep groups together."""
+    """The same with squared penalty, whose strength is chosen on inner folds that keep groups together;
+    where an inner fold lacks a class, the first strength."""
     features = Pipeline(stages=_hashed(kind, buckets)).fit(train)
     made = features.transform(train).select("y", "features", (F.col("inner")).alias("inner")).cache()
-    lr = LogisticRegression(labelCol="y", featuresCol="features", elasticNetParam=0.0, maxIter=20)
+    lr = LogisticRegression(labelCol="y", featuresCol="features", elasticNetParam=0.0, regParam=strengths[0], maxIter=15)
+    if made.groupBy("inner").agg(F.count_distinct("y").alias("n")).where("n = 2").count() < 2:  # nothing to choose by
+        return PipelineModel(stages=[*features.stages, lr.fit(made)])
     grid = ParamGridBuilder().addGrid(lr.regParam, list(strengths)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=2, foldCol="inner", seed=7)
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=2, foldCol="inner", seed=7, parallelism=4)
     best = cv.fit(made).bestModel
     made.unpersist()
     return PipelineModel(stages=[*features.stages, best])
@@ -126,7 +129,7 @@ def nuisance_model(train: DataFrame, columns: list[str], trees: bool = False) ->
 def top_features(train: DataFrame, k: int = 12) -> DataFrame:
     """(token, weight) of the words with the largest weights either way in a model of all rows."""
     spark = train.sparkSession
-    made = _weighted(train, [CountVectorizer(inputCol="words", outputCol="tf", minDF=3.0, vocabSize=20000, binary=True), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol="y", featuresCol="features", weightCol="w", elasticNetParam=1.0, regParam=0.01, maxIter=30)])
+    made = _weighted(train, [CountVectorizer(inputCol="words", outputCol="features", minDF=3.0, vocabSize=20000, binary=True), LogisticRegression(labelCol="y", featuresCol="features", weightCol="w", elasticNetParam=1.0, regParam=0.01, maxIter=30)])
     weights = list(zip(made.stages[0].vocabulary, (float(x) for x in made.stages[-1].coefficients.toArray()), strict=True))  # bounded by the vocabulary
     chosen = sorted((w for w in weights if w[1]), key=lambda w: (-abs(w[1]), w[0]))[: 2 * k]
     return spark.createDataFrame(chosen, "token string, weight double")

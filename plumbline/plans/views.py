@@ -134,20 +134,20 @@ def saturation(spark, sf):
     )
 
 
-R = "case when stddev_pop(c) > 0 and stddev_pop(ba) > 0 then covar_pop(c, ba) / (stddev_pop(c) * stddev_pop(ba)) end"
+R = "case when stddev_pop(c) > 0 and stddev_pop(ba) > 0 then round(covar_pop(c, ba) / (stddev_pop(c) * stddev_pop(ba)), 9) end"
 
 
 @query(
     "agg_37_discrimination",
     f"""with x as (select j.subtask, j.row_id, j.correct::int as c, b.ba from judgments j join ({BOARD}) b using (system, subtask)), r as (select subtask, row_id, {R} as r from x group by 1, 2)
-    select subtask, round(median(r), 6) as median_r, round(sum((r >= 0.3)::int)::double / count(*), 6) as share_strong, round(sum((r < 0)::int)::double / count(*), 6) as share_negative from r group by 1""",
+    select subtask, round(median(r), 6) as median_r, round((count(*) filter (r >= 0.3))::double / count(*), 6) as share_strong, round((count(*) filter (r < 0))::double / count(*), 6) as share_negative from r group by 1""",
 )
 def discrimination(spark, sf):
     """Correlation of a row's being right with the systems' scores, population form; rows where all agree have none."""
     j = proxy(spark, sf, "judgments")
     x = j.join(board(j), ["system", "subtask"]).select("subtask", "row_id", F.col("correct").cast("double").alias("c"), "ba")
     sd = F.stddev_pop("c") * F.stddev_pop("ba")
-    r = x.groupBy("subtask", "row_id").agg(F.when(sd > 0, F.covar_pop("c", "ba") / sd).alias("r"))
+    r = x.groupBy("subtask", "row_id").agg(F.when(sd > 0, F.round(F.covar_pop("c", "ba") / sd, 9)).alias("r"))
     n = F.count(F.lit(1))
     return r.groupBy("subtask").agg(F.round(F.percentile("r", F.lit(0.5)), 6).alias("median_r"), F.round(F.count_if(F.col("r") >= 0.3) / n, 6).alias("share_strong"), F.round(F.count_if(F.col("r") < 0) / n, 6).alias("share_negative"))
 
