@@ -11,8 +11,13 @@ from plumbline.session import cut_lineage
 
 
 def token_sets(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5) -> DataFrame:
-    """(id, tokens): the distinct 64-bit hashes of a text's shingles."""
-    return df.select(F.col(id_col).alias("id"), F.transform(X.shingles(X.words(F.coalesce(F.col(text_col), F.lit(""))), n), lambda s: F.xxhash64(s)).alias("tokens"))
+    """(id, tokens): the distinct 64-bit hashes of a text's shingles, taken over their words without joining them."""
+
+    def hashes(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) <= n, F.array(F.xxhash64(w))).otherwise(F.array_distinct(runs))
+
+    return df.select(F.col(id_col).alias("id"), X.let(X.words(F.coalesce(F.col(text_col), F.lit(""))), hashes).alias("tokens"))
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
