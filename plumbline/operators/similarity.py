@@ -21,10 +21,12 @@ def token_sets(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5) -
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row for each distinct set: (id, tokens, size, copies); id is the smallest that has it."""
+    """One row for each distinct set: (id, tokens, size, copies); id is the smallest that has it. Sets are told apart by
+    two independent 64-bit hashes of their sorted tokens."""
     s = sets.where(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens"))
-    key = F.sha2(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ","), 256)
-    return s.groupBy(key.alias("key")).agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("tokens"))
+    keyed = s.select("id", "tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"))
+    one = keyed.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    return one.select("id", "tokens", "copies", F.size("tokens").alias("size"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, jaccard: float = 0.8, containment: float = 0.8, least: int = 10, itself: bool = False) -> DataFrame:
