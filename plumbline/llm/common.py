@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from plumbline.operators.joins import salted_join
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, ensure_checkpoint_dir
 
 #: The white space that the contracts name: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
@@ -176,3 +177,9 @@ def forest(linked: np.ndarray) -> np.ndarray:
             front = reach
         root[seen] = i
     return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, for files of one job, in the folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

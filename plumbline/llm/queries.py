@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.alignment import alignment_report
+from plumbline.llm.common import shared_folder, table
+from plumbline.llm.conversations import damaged, repair_report
 from plumbline.llm.embed_dedup import embedding_near_dedup
 from plumbline.llm.langid import held_out, identify, train_profiles
 from plumbline.llm.line_dedup import line_dedup
@@ -16,9 +18,13 @@ from plumbline.llm.secrets import find_secrets
 from plumbline.llm.simhash import simhash_components
 from plumbline.llm.topk_product import top_products
 from plumbline.llm.urls import judge_urls
+from plumbline.llm.warc import index_archives, read_records, row_id, write_archives
+from plumbline.session import cut_lineage, delete_folder
 
 #: The public piece model; a parameter wherever it is used.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public byte-level vocabulary; a parameter wherever it is used.
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +116,40 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), shared_folder(spark, "warc")
+    write_archives(pages, f"{folder}/records")
+    index_archives(spark, f"{folder}/records").write.parquet(f"{folder}/index")
+    found = read_records(spark.read.parquet(f"{folder}/index"), payloads=False)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    page_id, refers_to = row_id(F.col("record_id"), kind).alias("page_id"), row_id(F.col("refers_to"), kind).alias("refers_to")
+    out = cut_lineage(found.select(page_id, "payload_bytes", "payload_digest", "record_type", refers_to))
+    delete_folder(spark, folder)
+    return out
+
+
+OP11_SQL = """
+with ranked as (
+  select page_id, html, row_number() over (partition by html order by page_id desc nulls last, url desc nulls last) as n,
+         first_value(page_id) over (partition by html order by page_id desc nulls last, url desc nulls last) as head
+  from (select page_id, url, coalesce(html, '') as html from pages)
+), hashed as (select *, sha1(html) as h from ranked)
+select page_id, strlen(html)::bigint as payload_bytes,
+       translate(list_aggregate(list_transform(range(8), lambda i: to_base(('0x' || substring(h, (5 * i + 1)::int, 5))::bigint, 32, 4)), 'string_agg', ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+       case when n = 1 then 'response' else 'revisit' end as record_type, case when n > 1 then head end as refers_to
+from hashed
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, tokenizer: str = BYTES, model: str = PIECES) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"), tokenizer, model)
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -121,5 +161,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_source_mix": op10_source_mix,
+    "op11_warc": op11_warc,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLES = {"op2_line_dedup": OP2_SQL, "op4_exact_top_k": OP4_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op4_exact_top_k": OP4_SQL, "op11_warc": OP11_SQL}
