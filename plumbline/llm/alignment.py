@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -159,22 +160,13 @@ class Aligner:
         self.groups = pa.concat_arrays([self.groups, *(x[2] for x in found)])
         self.counts, self.pairs = np.concatenate([self.counts, *(x[1] for x in found)]), np.concatenate([self.pairs, *(x[3] for x in found)])
 
-    def stretches(self, column: pa.Array) -> pa.ListArray:
-        """Each text between its cuts; no stretch for null and empty texts."""
-        simple = pc.fill_null(pc.invert(pc.match_substring_regex(column, f"{BLANK} | {BLANK}|^ | $|^$")), False)
-        cut = pc.split_pattern(pc.if_else(simple, column, pa.scalar(None, pa.string())), " ")
-        odd = [[] if s or not t else CUT.split(t) for s, t in zip(simple.to_pylist(), pc.if_else(simple, pa.scalar(None, pa.string()), column).to_pylist(), strict=True)]
-        return pc.if_else(simple, cut, pa.array(odd, pa.list_(pa.string()))) if any(odd) or not pc.all(simple).as_py() else cut
-
     def texts(self, column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of a column of texts: counts (n_a, n_b, n_groups, n_links) by row, groups as text by row, and each row's
         different pairs and how often they are: where a row's begin, pairs, times."""
-        lists = self.stretches(column)
+        cut = [CUT.split(t) if t else [] for t in column.to_pylist()]
         rows = len(column)
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
+        sizes = np.array([len(x) for x in cut], np.int64)
+        coded = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
         words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         strings = words.to_pylist()
         new = [w not in self.index for w in strings]

@@ -84,7 +84,7 @@ def test_whole_texts(spark):
 
 def aligned(aligner, texts):
     """What an aligner says, by text."""
-    counts, groups, begin, pairs, times = aligner.texts(pa.array(texts, pa.string()))
+    counts, groups, begin, pairs, times = aligner.texts(pa.array(["x y", *texts], pa.string()).slice(1))
     return [(*counts[k].tolist(), g, dict(zip(pairs[x:y].tolist(), times[x:y].tolist(), strict=True))) for k, (g, x, y) in enumerate(zip(groups, begin, begin[1:], strict=False))]
 
 
