@@ -1,13 +1,9 @@
-"""Resampling, paired tests and boards."""
+"""Sufficient statistics, adjusted tests, ranks and tiers of boards."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def group_stats(judgments: DataFrame, keys: list[str], group: str = "grp", threshold: float = 0.5) -> DataFrame:
@@ -24,56 +20,6 @@ def unit_hash(*parts: Column, modulus: int = 2**31 - 1) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def draws(groups: DataFrame, stratum: str, group: str, replicates: int, seed: str = "draw") -> DataFrame:
-    """Bootstrap draws of groups within a stratum: (stratum, rep, group, mult).
-
-    Every group of a stratum gets a place 1..n in the order of its name; draw k of replicate r picks the place that a
-    hash of (seed, stratum, r, k) falls on. So draws are shared by all systems, don't depend on partitioning, and are
-    counted before anything is joined to them.
-    """
-    g = groups.select(stratum, group).distinct()
-    placed = g.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(group))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(stratum)))
-    picks = placed.select(stratum, "n", F.col("place").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    pick = 1 + F.floor(unit_hash(F.lit(seed), F.col(stratum), F.col("rep"), F.col("k")) * F.col("n"))
-    counted = picks.select(stratum, "rep", pick.cast("int").alias("place")).groupBy(stratum, "rep", "place").agg(F.count(F.lit(1)).alias("mult"))
-    return counted.join(placed.select(stratum, "place", group), [stratum, "place"]).select(stratum, "rep", group, "mult")
-
-
-def replicate_scores(stats: DataFrame, drawn: DataFrame, keys: list[str], stratum: str, group: str = "grp") -> DataFrame:
-    """Balanced accuracy (percent) of every replicate: draws times statistics, summed."""
-    s = stats.join(drawn, [stratum, group])
-    m = lambda c: F.sum(F.col("mult") * F.col(c))
-    sums = s.groupBy(*keys, stratum, "rep").agg(m("pos").alias("p"), m("pos_credit").alias("pc"), m("neg").alias("n"), m("neg_credit").alias("nc"))
-    return sums.select(*keys, stratum, "rep", (50 * (F.try_divide("pc", "p") + F.try_divide("nc", "n"))).alias("ba"))
-
-
-def interval(reps: DataFrame, keys: list[str], value: str = "ba", level: float = 0.95) -> DataFrame:
-    """Percentile interval over the replicates that have a value, and how many have one."""
-    lo, hi = (1 - level) / 2, (1 + level) / 2
-    return reps.groupBy(*keys).agg(
-        F.percentile(value, F.lit(lo)).alias("ci_low"), F.percentile(value, F.lit(hi)).alias("ci_high"), F.count(value).alias("n_valid")
-    )
-
-
-def paired_differences(reps: DataFrame, keys: list[str], who: str = "system", value: str = "ba") -> DataFrame:
-    """Mean, spread and z of the difference between every two systems on shared replicates (a before b by name)."""
-    a = reps.select(*keys, "rep", F.col(who).alias("a"), F.col(value).alias("va"))
-    b = reps.select(*keys, "rep", F.col(who).alias("b"), F.col(value).alias("vb"))
-    d = a.join(b, [*keys, "rep"]).where("a < b").withColumn("d", F.col("va") - F.col("vb"))
-    out = d.groupBy(*keys, "a", "b").agg(F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
-    return out.withColumn("z", F.try_divide("mean_diff", "sd"))
-
-
-@F.pandas_udf(DoubleType())
-def _erfc(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or x != x else math.erfc(x))
-
-
-def p_value(z: Column) -> Column:
-    """Two-sided Wald p-value. Spark has no erfc, so one vectorised function fills in."""
-    return _erfc(F.abs(z) / math.sqrt(2))
-
-
 def holm(tests: DataFrame, keys: list[str], p: str, *tie: str) -> DataFrame:
     """Holm's step-down adjustment within ``keys``; tests without a p-value keep none and don't count."""
     by = Window.partitionBy(*keys, F.col(p).isNull()) if keys else Window.partitionBy(F.col(p).isNull())
@@ -124,8 +70,9 @@ def tiers(ranked: DataFrame, worse: DataFrame) -> DataFrame:
     return joined.select(F.explode(F.aggregate("board", start, walk, lambda s: s["out"])).alias("x")).select("x.system", "x.tier")
 
 
-def verdict(mean: Column, low: Column, high: Column) -> Column:
-    return F.when(low > 0, "better").when(high < 0, "worse").when(mean.isNotNull(), "within noise")
+def verdict(point: Column, p_adjusted: Column, alpha: float = 0.05) -> Column:
+    """What a difference says after the adjustment for all tests of its family."""
+    return F.when(p_adjusted.isNull(), "not tested").when(p_adjusted >= alpha, "within noise").when(point > 0, "better").otherwise("worse")
 
 
 def log_factorial(n: Column) -> Column:

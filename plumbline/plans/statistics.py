@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import boards, metrics
+from plumbline.operators import boards, metrics, resampling
 from plumbline.operators.ranges import row_numbers
 from plumbline.plans.catalog import proxy, query
 from plumbline.plans.scoring import KEYS, rounded
+from plumbline.session import cut_lineage
 
-REPS = 40
+#: A unit of the draws: a group inside its subtask, drawn for all systems alike.
+UNIT = "('0x' || substr(md5('draw:' || subtask || ':' || grp), 1, 15))::bigint as h"
 
 STATS = """
   select system, subtask, grp, sum(positive::bigint)::bigint as pos, sum((positive and outcome = 'decided' and score >= 0.5)::bigint)::bigint as pos_credit,
     sum((not positive)::bigint)::bigint as neg, sum((not positive and outcome = 'decided' and score < 0.5)::bigint)::bigint as neg_credit
   from judgments group by 1, 2, 3
 """
-DRAWS = f"""
-  select p.subtask, p.rep, g.grp, count(*) as mult from (
-    select subtask, rep, 1 + floor((('0x' || substr(md5('draw:' || subtask || ':' || rep || ':' || place), 1, 8))::bigint / 4294967296.0::double) * n)::int as pick
-    from (select subtask, grp, row_number() over (partition by subtask order by grp) as place, count(*) over (partition by subtask) as n from (select distinct subtask, grp from judgments)) , range(1, {REPS + 1}) r(rep)
-  ) p join (select subtask, grp, row_number() over (partition by subtask order by grp) as place from (select distinct subtask, grp from judgments)) g on p.subtask = g.subtask and p.pick = g.place
-  group by 1, 2, 3
-"""
-REPLICATES = f"""
-  select s.system, s.subtask, d.rep, 50 * (sum(mult * pos_credit)::double / nullif(sum(mult * pos), 0) + sum(mult * neg_credit)::double / nullif(sum(mult * neg), 0)) as ba
-  from ({STATS}) s join ({DRAWS}) d on s.subtask = d.subtask and s.grp = d.grp group by 1, 2, 3
-"""
+DRAWS = resampling.drawn_sql(f"select distinct subtask, grp, {UNIT} from judgments")
+SUMMED_BA = "50 * (sum(mult * pos_credit)::double / nullif(sum(mult * pos), 0) + sum(mult * neg_credit)::double / nullif(sum(mult * neg), 0))"
+#: Balanced accuracy of every system, subtask and replicate; replicate 0 is the sample itself.
+REPLICATES = f"select s.system, s.subtask, d.rep, {SUMMED_BA} as ba from ({STATS}) s join {DRAWS} d on s.subtask = d.subtask and s.grp = d.grp group by 1, 2, 3"
+#: The same of the mean over subtasks.
+OVERALL = f"select system, rep, avg(ba) as ba from ({REPLICATES}) group by 1, 2"
 
 
-def replicates(spark, sf):
-    j = proxy(spark, sf, "judgments")
-    drawn = boards.draws(j.select("subtask", "grp"), "subtask", "grp", REPS)
-    return boards.replicate_scores(boards.group_stats(j, KEYS), drawn, ["system"], "subtask")
+def unit():
+    return resampling.unit_number(F.lit("draw"), F.col("subtask"), F.col("grp"))
+
+
+def replicates(spark, sf, judgments=None):
+    j = proxy(spark, sf, "judgments") if judgments is None else judgments
+    sums = resampling.replicate_sums(boards.group_stats(j, KEYS), KEYS, unit(), ["pos", "pos_credit", "neg", "neg_credit"])
+    return sums.select(*KEYS, "rep", resampling.balanced_accuracy().alias("ba"))
+
+
+def overall(reps):
+    return reps.groupBy("system", "rep").agg(F.avg("ba").alias("ba"))
 
 
-@query("sta_01_group_draws", f"select subtask, rep, grp, mult from ({DRAWS})")
+@query("sta_01_group_draws", f"select subtask, grp, sum(mult)::bigint as drawn, sum(mult * rep)::bigint as weighted, max(mult)::bigint as most, (count(*) filter (mult = 0))::bigint as left_out from {DRAWS} where rep > 0 group by 1, 2")
 def group_draws(spark, sf):
-    j = proxy(spark, sf, "judgments")
-    return boards.draws(j.select("subtask", "grp"), "subtask", "grp", REPS).select("subtask", "rep", "grp", "mult")
+    """How often each group is drawn over 2,000 replicates: a vector a group, made where the group is."""
+    groups = proxy(spark, sf, "judgments").select("subtask", "grp").distinct()
+    v = F.slice("mult", 2, resampling.REPLICATES)
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y)
+    return resampling.draw_vectors(groups, unit()).select(
+        "subtask", "grp", total(v).alias("drawn"), total(F.transform(v, lambda x, k: x.cast("long") * (k + 1))).alias("weighted"), F.array_max(v).cast("long").alias("most"),
+        F.size(F.filter(v, lambda x: x == 0)).cast("long").alias("left_out"),
+    )
 
 
 @query("sta_02_group_statistics", STATS)
@@ -51,30 +63,32 @@ def replicate_scores(spark, sf):
     return rounded(replicates(spark, sf), "system", "subtask", "rep")
 
 
-@query(
-    "sta_04_percentile_interval",
-    f"select system, subtask, round(quantile_cont(ba, 0.025), 6) as ci_low, round(quantile_cont(ba, 0.975), 6) as ci_high, count(ba) as n_valid from ({REPLICATES}) group by 1, 2",
-)
+@query("sta_04_percentile_interval", f"select system, subtask, round(point, 6) as point, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, n_valid from ({resampling.summary_sql(REPLICATES, 'system, subtask', 'ba')})")
 def percentile_interval(spark, sf):
-    return rounded(boards.interval(replicates(spark, sf), KEYS), *KEYS)
+    return rounded(resampling.summary(replicates(spark, sf), KEYS, "ba").drop("se"), *KEYS)
 
 
-PAIRS = f"""
-  select a.subtask, a.system as a, b.system as b, avg(a.ba - b.ba) as mean_diff, stddev_samp(a.ba - b.ba) as sd
-  from ({REPLICATES}) a join ({REPLICATES}) b on a.subtask = b.subtask and a.rep = b.rep and a.system < b.system group by 1, 2, 3
-"""
+DIFFERENCES = f"select a.subtask, a.rep, a.system as a, b.system as b, a.ba - b.ba as d from ({REPLICATES}) a join ({REPLICATES}) b on a.subtask = b.subtask and a.rep = b.rep and a.system < b.system"
+PAIRS = resampling.summary_sql(DIFFERENCES, "subtask, a, b", "d")
+TESTED = f"select *, {resampling.wald_p_sql('point', 'se')} as p from ({PAIRS})"
 
 
-@query("sta_05_paired_difference", f"select subtask, a, b, round(mean_diff, 6) as mean_diff, round(sd, 6) as sd, round(mean_diff / nullif(sd, 0), 5) as z from ({PAIRS})")
+def tested(reps, keys, who="system"):
+    """Point difference, interval, spread and p of every two systems on shared draws."""
+    s = resampling.summary(resampling.pairs(reps, keys, who, "ba"), [*keys, "a", "b"], "d")
+    return s.withColumn("p", resampling.wald_p(F.col("point"), F.col("se")))
+
+
+@query("sta_05_paired_difference", f"select subtask, a, b, round(point, 6) as difference, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(se, 6) as se, n_valid from ({PAIRS})")
 def paired_difference(spark, sf):
-    d = boards.paired_differences(replicates(spark, sf), ["subtask"])
-    return d.select("subtask", "a", "b", F.round("mean_diff", 6).alias("mean_diff"), F.round("sd", 6).alias("sd"), F.round("z", 5).alias("z"))
+    d = tested(replicates(spark, sf), ["subtask"])
+    return d.select("subtask", "a", "b", *[F.round(c, 6).alias(n) for c, n in (("point", "difference"), ("ci_low", "ci_low"), ("ci_high", "ci_high"), ("se", "se"))], "n_valid")
 
 
-@query("sta_06_wald_p_value")
+@query("sta_06_wald_p_value", f"select subtask, a, b, round(point, 6) as difference, round(p, 8) as p from ({TESTED})")
 def wald_p_value(spark, sf):
-    d = boards.paired_differences(replicates(spark, sf), ["subtask"])
-    return d.select("subtask", "a", "b", F.round("z", 5).alias("z"), F.round(boards.p_value(F.col("z")), 8).alias("p"))
+    """The point difference over the spread of its replicates."""
+    return tested(replicates(spark, sf), ["subtask"]).select("subtask", "a", "b", F.round("point", 6).alias("difference"), F.round("p", 8).alias("p"))
 
 
 HASH_P = """
@@ -96,38 +110,65 @@ def holm(spark, sf):
 
 @query(
     "sta_08_rank_intervals",
-    f"""with r as (select *, rank() over (partition by subtask, rep order by ba desc) + (count(*) over (partition by subtask, rep, ba) - 1) / 2.0 as rk from (select system, subtask, rep, round(ba, 6) as ba from ({REPLICATES})) where ba is not null),
+    f"""with r as (select *, rank() over (partition by subtask, rep order by ba desc) + (count(*) over (partition by subtask, rep, ba) - 1) / 2.0 as rk from (select system, subtask, rep, round(ba, 6) as ba from ({REPLICATES}) where rep > 0) where ba is not null),
     l as (select subtask, system, list(rk::double order by rk) as rs from r group by 1, 2)
     select subtask, system, rs[(floor((len(rs) - 1) * 0.025) + 1)::int] as rank_low, rs[(ceil((len(rs) - 1) * 0.975) + 1)::int] as rank_high from l""",
 )
 def rank_intervals(spark, sf):
-    reps = replicates(spark, sf).withColumn("ba", F.round("ba", 6))
+    reps = replicates(spark, sf).where("rep > 0").withColumn("ba", F.round("ba", 6))
     return boards.rank_intervals(reps, ["subtask"])
 
 
-@query("sta_09_tiers")
+#: The board's entries, their paired tests with Holm's adjustment over all pairs, and the walk that makes tiers.
+ENTRIES = f"""select e.system, e.ba, f.fbr, row_number() over (order by round(e.ba, 9) desc, round(f.fbr, 9), e.system) as pos, rank() over (order by round(e.ba, 9) desc, round(f.fbr, 9)) as rank
+  from (select system, ba from ({OVERALL}) where rep = 0) e join (select system, avg(fbr) as fbr from (select system, subtask, (count(*) filter (not positive and outcome = 'decided' and score >= 0.5))::double / nullif(count(*) filter (not positive), 0) as fbr from judgments group by 1, 2) group by 1) f using (system)"""
+BOARD_TESTS = f"""select *, max(least(1.0, (m - k + 1) * p)) over (order by p, a, b rows unbounded preceding) as p_holm
+  from (select *, count(p) over () as m, row_number() over (order by p, a, b) as k from (select *, {resampling.wald_p_sql('point', 'se')} as p from ({resampling.summary_sql(f"select x.system as a, y.system as b, x.rep, x.ba - y.ba as d from ({OVERALL}) x join ({OVERALL}) y on x.rep = y.rep and x.system < y.system", "a, b", "d")})))"""
+WALK = f"""entries as materialized ({ENTRIES}), tests as materialized ({BOARD_TESTS}),
+  worse as (select case when point > 0 then a else b end as leader, case when point > 0 then b else a end as system from tests where p_holm < 0.05),
+  walk as (select pos, system, system as leader, 1 as tier from entries where pos = 1
+    union all select e.pos, e.system, case when w.system is null then s.leader else e.system end, s.tier + (w.system is not null)::int from walk s join entries e on e.pos = s.pos + 1 left join worse w on w.leader = s.leader and w.system = e.system)"""
+
+
+def board_tests(reps):
+    """Every two systems' overall scores: point difference, interval, p, and p adjusted over all pairs."""
+    tests = tested(reps.withColumn("all", F.lit("all")), ["all"])
+    return boards.holm(tests, ["all"], "p", "a", "b")
+
+
+def walked(entries, tests, alpha=0.05):
+    gain = F.col("point") > 0
+    worse = tests.where(F.col("p_holm") < alpha).select(F.when(gain, F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(gain, F.col("b")).otherwise(F.col("a")).alias("system"))
+    return boards.tiers(entries.select("system", "pos"), worse)
+
+
+def entries(spark, sf, reps):
+    """(system, ba, fbr, pos, rank): higher balanced accuracy first, ties to the lower false-block rate."""
+    u = metrics.unit_metrics(metrics.confusion(proxy(spark, sf, "judgments"), KEYS)).groupBy("system").agg(F.avg("false_block_rate").alias("fbr"))
+    e = reps.where("rep = 0").select("system", "ba").join(u, "system")
+    order = [F.desc(F.round("ba", 9)), F.asc(F.round("fbr", 9))]
+    one = Window.partitionBy(F.lit(1))  # a row a system
+    return e.withColumns({"pos": F.row_number().over(one.orderBy(*order, "system")), "rank": F.rank().over(one.orderBy(*order)).cast("long")})
+
+
+@query("sta_09_tiers", f"with recursive {WALK} select system, tier from walk")
 def tiers(spark, sf):
-    """Tiers of the overall board: a system is clearly worse than a leader if its mean is three points lower."""
-    u = metrics.unit_metrics(metrics.confusion(proxy(spark, sf, "judgments"), KEYS))
-    b = u.groupBy("system").agg(F.avg("balanced_accuracy").alias("ba"))
-    ranked = boards.competition_rank(b, [], "ba", 2, "pos")
-    worse = b.select(F.col("system").alias("leader"), F.col("ba").alias("x")).join(b, F.col("x") - F.col("ba") > 3).select("leader", "system")
-    return boards.tiers(ranked.select("system", "pos"), worse)
+    """Tiers of the overall board: a system leads the next tier if it is worse than the leader of this one by a test that
+    holds after Holm's adjustment over all pairs."""
+    reps = cut_lineage(overall(replicates(spark, sf)))
+    return walked(entries(spark, sf, reps), board_tests(reps))
 
 
 @query(
     "sta_12_verdict",
-    f"""with d as (select a.subtask, a.system as a, b.system as b, a.ba - b.ba as d from ({REPLICATES}) a join ({REPLICATES}) b on a.subtask = b.subtask and a.rep = b.rep and a.system < b.system),
-    i as (select subtask, a, b, avg(d) as m, quantile_cont(round(d, 6), 0.025) as lo, quantile_cont(round(d, 6), 0.975) as hi from d group by 1, 2, 3)
-    select subtask, a, b, case when lo > 0 then 'better' when hi < 0 then 'worse' when m is not null then 'within noise' end as verdict from i""",
+    f"""with t as (select *, count(p) over (partition by subtask) as m, row_number() over (partition by subtask, p is null order by p, a, b) as k from ({TESTED})),
+    h as (select *, case when p is not null then max(least(1.0, (m - k + 1) * p)) over (partition by subtask, p is null order by p, a, b rows unbounded preceding) end as p_holm from t)
+    select subtask, a, b, round(point, 6) as difference, round(p_holm, 8) as p_holm, case when p_holm is null then 'not tested' when p_holm >= 0.05 then 'within noise' when point > 0 then 'better' else 'worse' end as verdict from h""",
 )
 def verdict(spark, sf):
-    r = replicates(spark, sf)
-    a = r.select("subtask", "rep", F.col("system").alias("a"), F.col("ba").alias("va"))
-    b = r.select("subtask", "rep", F.col("system").alias("b"), F.col("ba").alias("vb"))
-    d = a.join(b, ["subtask", "rep"]).where("a < b").withColumn("d", F.round(F.col("va") - F.col("vb"), 6))
-    i = boards.interval(d, ["subtask", "a", "b"], "d").join(d.groupBy("subtask", "a", "b").agg(F.avg("d").alias("m")), ["subtask", "a", "b"])
-    return i.select("subtask", "a", "b", boards.verdict(F.col("m"), F.col("ci_low"), F.col("ci_high")).alias("verdict"))
+    """Better, worse or within noise by the p adjusted over the pairs of a subtask; not tested where there is none."""
+    h = boards.holm(tested(replicates(spark, sf), ["subtask"]), ["subtask"], "p", "a", "b")
+    return h.select("subtask", "a", "b", F.round("point", 6).alias("difference"), F.round("p_holm", 8).alias("p_holm"), boards.verdict(F.col("point"), F.col("p_holm")).alias("verdict"))
 
 
 PAIRED = """
@@ -148,17 +189,10 @@ def mcnemar(spark, sf):
     return c.select("subtask", "only_a", "only_b", F.round(boards.binomial_two_sided(F.col("only_a"), F.col("only_a") + F.col("only_b")), 8).alias("p"))
 
 
-@query(
-    "sta_18_subset_rescore",
-    f"""with j2 as (select * from judgments where tokens_in % 2 = 0),
-    s as (select system, subtask, grp, sum(positive::bigint)::bigint as pos, sum((positive and outcome = 'decided' and score >= 0.5)::bigint)::bigint as pc, sum((not positive)::bigint)::bigint as neg, sum((not positive and outcome = 'decided' and score < 0.5)::bigint)::bigint as nc from j2 group by 1, 2, 3)
-    select s.system, s.subtask, d.rep, round(50 * (sum(mult * pc)::double / nullif(sum(mult * pos), 0) + sum(mult * nc)::double / nullif(sum(mult * neg), 0)), 6) as ba from s join ({DRAWS}) d on s.subtask = d.subtask and s.grp = d.grp group by 1, 2, 3""",
-)
+@query("sta_18_subset_rescore", f"with j2 as (select * from judgments where tokens_in % 2 = 0) select s.system, s.subtask, d.rep, round({SUMMED_BA}, 6) as ba from ({STATS.replace('from judgments', 'from j2')}) s join {DRAWS} d on s.subtask = d.subtask and s.grp = d.grp group by 1, 2, 3")
 def subset_rescore(spark, sf):
-    """A subset scored on the draws of the whole."""
-    j = proxy(spark, sf, "judgments")
-    drawn = boards.draws(j.select("subtask", "grp"), "subtask", "grp", REPS)
-    return rounded(boards.replicate_scores(boards.group_stats(j.where("tokens_in % 2 = 0"), KEYS), drawn, ["system"], "subtask"), "system", "subtask", "rep")
+    """A subset scored on the draws of the whole: a group's draws don't depend on which rows are scored."""
+    return rounded(replicates(spark, sf, proxy(spark, sf, "judgments").where("tokens_in % 2 = 0")), "system", "subtask", "rep")
 
 
 @query(
@@ -185,18 +219,21 @@ def permuted_labels(spark, sf):
     return g.join(b, F.col("at") == F.col("bt")).select("grp", "label", "permuted")
 
 
-@query("sta_10_board")
+@query(
+    "sta_10_board",
+    f"""with recursive {WALK}, o as ({OVERALL}), i as ({resampling.summary_sql('select * from o', 'system', 'ba')}),
+    r as (select system, list(rk::double order by rk) as rs from (select system, rank() over (partition by rep order by ba desc) + (count(*) over (partition by rep, ba) - 1) / 2.0 as rk from (select system, rep, round(ba, 6) as ba from o where rep > 0)) group by 1)
+    select e.system, e.rank, round(e.ba, 6) as ba, round(e.fbr, 6) as false_block_rate, round(i.ci_low, 6) as ci_low, round(i.ci_high, 6) as ci_high, i.n_valid, rs[(floor((len(rs) - 1) * 0.025) + 1)::int] as rank_low, rs[(ceil((len(rs) - 1) * 0.975) + 1)::int] as rank_high, w.tier
+    from entries e join i using (system) join r using (system) join walk w using (system)""",
+)
 def board(spark, sf):
-    """Overall board with rank, interval over replicates, Holm-adjusted tests against the leader, and tier."""
-    j = proxy(spark, sf, "judgments")
-    u = metrics.unit_metrics(metrics.confusion(j, KEYS)).groupBy("system").agg(F.avg("balanced_accuracy").alias("ba"))
-    ranked = boards.competition_rank(u, [], "ba", 2)
-    reps = replicates(spark, sf).groupBy("system", "rep").agg(F.avg("ba").alias("ba")).withColumn("all", F.lit("all"))
-    tests = boards.paired_differences(reps, ["all"]).withColumn("p", boards.p_value(F.col("z")))
-    adjusted = boards.holm(tests, ["all"], "p", "a", "b").where("p_holm < 0.05")
-    worse = adjusted.select(F.when(F.col("mean_diff") > 0, F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("mean_diff") > 0, F.col("b")).otherwise(F.col("a")).alias("system"))
-    tier = boards.tiers(ranked.select("system", F.col("rank").alias("pos")), worse)
-    return rounded(ranked.join(boards.interval(reps, ["system"]), "system").join(tier, "system"), "system")
+    """Overall board: rank (ties to the lower false-block rate), interval, rank interval, and tier by adjusted tests."""
+    reps = cut_lineage(overall(replicates(spark, sf)))
+    e = entries(spark, sf, reps)
+    i = resampling.summary(reps, ["system"], "ba").select("system", "ci_low", "ci_high", "n_valid")
+    k = boards.rank_intervals(reps.where("rep > 0").withColumns({"ba": F.round("ba", 6), "one": F.lit(1)}), ["one"]).select("system", "rank_low", "rank_high")
+    out = e.join(i, "system").join(k, "system").join(walked(e, board_tests(reps)), "system")
+    return out.select("system", "rank", F.round("ba", 6).alias("ba"), F.round("fbr", 6).alias("false_block_rate"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), "n_valid", "rank_low", "rank_high", "tier")
 
 
 @query(

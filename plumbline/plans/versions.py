@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import boards, metrics
+from plumbline.operators import boards, metrics, resampling
 from plumbline.plans.catalog import proxy, query, table
 from plumbline.plans.scoring import KEYS, rounded
-from plumbline.plans.statistics import DRAWS, REPLICATES, REPS, replicates
+from plumbline.plans.statistics import DRAWS, REPLICATES, replicates, unit
 from plumbline.plans.views import BA, balanced
 
 #: A lineage of versions: each pair of neighbours is a step, and the first and the last are compared too.
@@ -56,40 +56,50 @@ def largest_changes(spark, sf):
     return d.withColumn("rn", rn).where("rn <= 3").select("subtask", "kind", "row_id", F.round("change", 6).alias("change"))
 
 
-STEPS = "select 'alpha' as old, 'beta' as new, 'step' as kind union all select 'beta', 'gamma', 'step' union all select 'alpha', 'gamma', 'first to last'"
+#: Versions are the systems of the ledger that answered, but for the last by name, in the order of their names.
+STEPS = """select old, new, kind from (
+    select system as old, lead(system) over (order by system) as new, 'step' as kind from (select distinct system from ledger where system <> 'delta')
+    union all select min(system), max(system), 'first to last' from (select distinct system from ledger where system <> 'delta') having count(*) > 2) where new is not null"""
 
 
 @query("win_09_version_steps", f"select s.old as old_version, s.new as new_version, s.kind, s.old || '>' || s.new as name from ({STEPS}) s")
 def version_steps(spark, sf):
-    """Consecutive versions, and the first with the last where there are three or more."""
-    return steps(spark).select(F.col("old").alias("old_version"), F.col("new").alias("new_version"), "kind", F.concat_ws(">", "old", "new").alias("name"))
+    """Consecutive versions of the ledger, and the first with the last where there are three or more."""
+    return steps(spark, sf).select(F.col("old").alias("old_version"), F.col("new").alias("new_version"), "kind", F.concat_ws(">", "old", "new").alias("name"))
 
 
-def steps(spark):
-    v = spark.createDataFrame(list(enumerate(VERSIONS)), "at int, version string")
-    order = Window.partitionBy(F.lit(1)).orderBy("at")  # a row a version
-    v = v.withColumns({"next": F.lead("version").over(order), "first": F.first("version").over(order), "n": F.max("at").over(Window.partitionBy(F.lit(1)))})
-    pairs = v.where("next is not null").select(F.col("version").alias("old"), F.col("next").alias("new"), F.lit("step").alias("kind"))
-    return pairs.union(v.where("at = n and n >= 2").select("first", "version", F.lit("first to last")))
+def steps(spark, sf):
+    v = proxy(spark, sf, "ledger").where("system <> 'delta'").select("system").distinct()
+    order = Window.partitionBy(F.lit(1)).orderBy("system")  # a row a version
+    pairs = v.select(F.col("system").alias("old"), F.lead("system").over(order).alias("new"), F.lit("step").alias("kind")).where("new is not null")
+    ends = v.agg(F.min("system").alias("old"), F.max("system").alias("new"), F.count(F.lit(1)).alias("n")).where("n > 2").select("old", "new", F.lit("first to last"))
+    return pairs.union(ends)
 
 
-DELTAS = f"""select a.subtask, s.old, s.new, s.kind, avg(b.ba - a.ba) as mean, stddev_samp(b.ba - a.ba) as sd, quantile_cont(round(b.ba - a.ba, 9), 0.025) as lo, quantile_cont(round(b.ba - a.ba, 9), 0.975) as hi
-  from ({STEPS}) s join ({REPLICATES}) a on a.system = s.old join ({REPLICATES}) b on b.system = s.new and a.subtask = b.subtask and a.rep = b.rep group by 1, 2, 3, 4"""
+DELTAS = resampling.summary_sql(
+    f"select a.subtask, s.old, s.new, s.kind, a.rep, b.ba - a.ba as d from ({STEPS}) s join ({REPLICATES}) a on a.system = s.old join ({REPLICATES}) b on b.system = s.new and a.subtask = b.subtask and a.rep = b.rep",
+    "subtask, old, new, kind", "d",
+)
 
 
-@query("sta_11_version_delta", f"select subtask, old as old_version, new as new_version, kind, round(mean, 6) as mean_delta, round(lo, 6) as ci_low, round(hi, 6) as ci_high, round(mean / nullif(sd, 0), 5) as z from ({DELTAS})")
+@query(
+    "sta_11_version_delta",
+    f"""with t as (select *, {resampling.wald_p_sql('point', 'se')} as p from ({DELTAS})), k as (select *, count(p) over (partition by kind, old, new) as m, row_number() over (partition by kind, old, new, p is null order by p, subtask) as k from t),
+    h as (select *, case when p is not null then max(least(1.0, (m - k + 1) * p)) over (partition by kind, old, new, p is null order by p, subtask rows unbounded preceding) end as p_holm from k)
+    select subtask, old as old_version, new as new_version, kind, round(point, 6) as delta, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(p, 8) as p, round(p_holm, 8) as p_holm,
+      case when p_holm is null then 'not tested' when p_holm >= 0.05 then 'within noise' when point > 0 then 'better' else 'worse' end as verdict from h""",
+)
 def version_delta(spark, sf):
-    """New minus old over shared draws: mean, percentile interval, and the statistic of its test."""
-    r = replicates(spark, sf).select("system", "subtask", "rep", "ba")
-    s = F.broadcast(steps(spark))  # three rows
+    """New minus old on common draws: point, percentile interval, Wald p, and the verdict after Holm over a step's subtasks."""
+    r = replicates(spark, sf)
+    s = F.broadcast(steps(spark, sf))  # a row a step
     a = r.join(s, F.col("system") == F.col("old")).select("subtask", "rep", "old", "new", "kind", F.col("ba").alias("va"))
     b = r.select(F.col("system").alias("new"), "subtask", "rep", F.col("ba").alias("vb"))
-    d = a.join(b, ["new", "subtask", "rep"]).withColumn("d", F.round(F.col("vb") - F.col("va"), 9))
-    g = d.groupBy("subtask", F.col("old").alias("old_version"), F.col("new").alias("new_version"), "kind").agg(
-        F.avg(F.col("vb") - F.col("va")).alias("mean_delta"), F.stddev_samp(F.col("vb") - F.col("va")).alias("sd"), F.percentile("d", F.lit(0.025)).alias("ci_low"), F.percentile("d", F.lit(0.975)).alias("ci_high")
-    )
-    z = F.round(F.try_divide("mean_delta", F.nullif("sd", F.lit(0.0))), 5)
-    return g.select("subtask", "old_version", "new_version", "kind", *[F.round(c, 6).alias(c) for c in ("mean_delta", "ci_low", "ci_high")], z.alias("z"))
+    d = a.join(b, ["new", "subtask", "rep"]).select("subtask", "rep", F.col("old").alias("old_version"), F.col("new").alias("new_version"), "kind", (F.col("vb") - F.col("va")).alias("d"))
+    step = ["kind", "old_version", "new_version"]
+    t = resampling.summary(d, ["subtask", *step], "d").withColumn("p", resampling.wald_p(F.col("point"), F.col("se")))
+    h = boards.holm(t, step, "p", "subtask")
+    return h.select("subtask", *step, F.round("point", 6).alias("delta"), *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], F.round("p", 8).alias("p"), F.round("p_holm", 8).alias("p_holm"), boards.verdict(F.col("point"), F.col("p_holm")).alias("verdict"))
 
 
 @query("xtr_47_version_stats", f"select system, rep, round(avg(ba), 6) as overall, count(ba) as n_subtasks from ({REPLICATES}) where system in ('alpha', 'beta', 'gamma') group by 1, 2")
@@ -144,88 +154,92 @@ def started_sessions(spark, sf):
 
 # --- bootstraps --------------------------------------------------------------------------------------------------------
 
-PAIRED_LABELS = "select a.subtask, a.row_id, (a.score >= 0.5) = (b.score >= 0.5) as same from judgments a join judgments b on a.row_id = b.row_id and a.system = 'alpha' and b.system = 'beta' where a.outcome = 'decided' and b.outcome = 'decided'"
-ROW_DRAWS = """select p.subtask, p.rep, g.row_id, count(*) as mult from (select subtask, rep, 1 + floor((('0x' || substr(md5('{salt}:' || subtask || ':' || rep || ':' || place), 1, 8))::bigint / 4294967296.0::double) * n)::int as pick
-  from (select subtask, row_id, row_number() over (partition by subtask order by row_id) as place, count(*) over (partition by subtask) as n from {rows}), range(1, {reps} + 1) r(rep)) p
-  join (select subtask, row_id, row_number() over (partition by subtask order by row_id) as place from {rows}) g on p.subtask = g.subtask and p.pick = g.place group by 1, 2, 3"""
+#: A row of the draws, inside its stratum.
+ROW = "('0x' || substr(md5('draw:' || {0} || ':' || row_id), 1, 15))::bigint as h"
+PAIRED_LABELS = "select a.subtask, a.row_id, (a.score >= 0.5)::int as x, (b.score >= 0.5)::int as y from judgments a join judgments b on a.row_id = b.row_id and a.system = 'alpha' and b.system = 'beta' where a.outcome = 'decided' and b.outcome = 'decided'"
 
 
 @query(
     "sta_15_agreement_bootstrap",
-    f"""with l as ({PAIRED_LABELS}), d as ({ROW_DRAWS.format(salt="draw", rows="l", reps=20)}), w as (select subtask, count(*) as n from l group by 1),
-    s as (select d.rep, d.subtask, sum(mult * same::int)::double / sum(mult) as share from d join l using (subtask, row_id) group by 1, 2),
-    a as (select rep, sum(share * n) / sum(n) as agreement from s join w using (subtask) group by 1)
-    select round(quantile_cont(agreement, 0.025), 6) as ci_low, round(quantile_cont(agreement, 0.975), 6) as ci_high, count(*) as reps, (select round(avg(same::int), 6) from l) as agreement from a""",
+    f"""with l as (select *, {ROW.format('subtask')} from ({PAIRED_LABELS})), s as (select rep, sum(mult)::double as n, sum(mult * (x = y)::int) / sum(mult)::double as po, sum(mult * x) / sum(mult)::double as px, sum(mult * y) / sum(mult)::double as py from {resampling.drawn_sql('select * from l')} group by 1),
+    k as (select rep, po, px * py + (1 - px) * (1 - py) as pe from s where n > 0), v as (select rep, po, case when abs(1 - pe) > 1e-12 then (po - pe) / (1 - pe) end as kappa from k),
+    o as (select list(po order by po) filter (rep > 0) as a, list(kappa order by kappa) filter (rep > 0 and kappa is not null) as k, max(po) filter (rep = 0) as agreement, max(kappa) filter (rep = 0) as kappa from v)
+    select round(agreement, 6) as agreement, round(a[floor(0.025 * (len(a) - 1))::int + 1], 6) as agreement_low, round(a[floor(0.975 * (len(a) - 1))::int + 1], 6) as agreement_high,
+      round(kappa, 6) as kappa, round(k[floor(0.025 * (len(k) - 1))::int + 1], 6) as kappa_low, round(k[floor(0.975 * (len(k) - 1))::int + 1], 6) as kappa_high, len(a)::bigint as reps from o""",
 )
 def agreement_bootstrap(spark, sf):
-    """Interval of the agreement of two labellers: rows are drawn inside each stratum, strata weigh as in the population."""
+    """Agreement and kappa of two labellers with intervals: rows are drawn inside their strata, each a unit of its own."""
     j = proxy(spark, sf, "judgments").where("outcome = 'decided'")
-    a = j.where("system = 'alpha'").select("subtask", "row_id", (F.col("score") >= 0.5).alias("x"))
-    pairs = a.join(j.where("system = 'beta'").select("row_id", (F.col("score") >= 0.5).alias("y")), "row_id").select("subtask", "row_id", (F.col("x") == F.col("y")).cast("int").alias("same"))
-    drawn = boards.draws(pairs.select("subtask", "row_id"), "subtask", "row_id", 20)
-    s = drawn.join(pairs, ["subtask", "row_id"]).groupBy("rep", "subtask").agg((F.sum(F.col("mult") * F.col("same")) / F.sum("mult")).alias("share"))
-    w = pairs.groupBy("subtask").agg(F.count(F.lit(1)).alias("n"))
-    a = s.join(F.broadcast(w), "subtask").groupBy("rep").agg((F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("a"))  # a row a stratum
-    ends = a.agg(F.round(F.percentile("a", F.lit(0.025)), 6).alias("ci_low"), F.round(F.percentile("a", F.lit(0.975)), 6).alias("ci_high"), F.count(F.lit(1)).alias("reps"))
-    return ends.crossJoin(pairs.agg(F.round(F.avg("same"), 6).alias("agreement")))  # one row each
+    said = (F.col("score") >= 0.5).cast("int")
+    pairs = j.where("system = 'alpha'").select("subtask", "row_id", said.alias("x")).join(j.where("system = 'beta'").select("row_id", said.alias("y")), "row_id")
+    p = pairs.withColumns({"all": F.lit(1), "n": F.lit(1), "same": (F.col("x") == F.col("y")).cast("int")})
+    sums = resampling.replicate_sums(p, ["all"], resampling.unit_number(F.lit("draw"), F.col("subtask"), F.col("row_id")), ["n", "same", "x", "y"]).where("n > 0")
+    share = sums.select("rep", *[(F.col(c) / F.col("n")).alias(c) for c in ("same", "x", "y")])
+    chance = F.col("x") * F.col("y") + (1 - F.col("x")) * (1 - F.col("y"))
+    v = share.select("rep", F.col("same").alias("agreement"), F.when(F.abs(1 - chance) > 1e-12, (F.col("same") - chance) / (1 - chance)).alias("kappa"))
+    drawn = lambda c: F.sort_array(F.collect_list(F.when(F.col("rep") > 0, F.col(c))))  # noqa: E731  a value a replicate
+    o = v.agg(*[f for c in ("agreement", "kappa") for f in (F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c), drawn(c).alias(f"{c}s"))])
+    end = lambda c, q: F.round(F.get(F.col(f"{c}s"), F.floor(q * (F.size(f"{c}s") - 1)).cast("int")), 6)
+    return o.select(*[x for c in ("agreement", "kappa") for x in (F.round(c, 6).alias(c), end(c, 0.025).alias(f"{c}_low"), end(c, 0.975).alias(f"{c}_high"))], F.size("agreements").cast("long").alias("reps"))
 
 
 @query(
     "sta_16_cluster_bootstrap",
-    f"""with d as ({DRAWS}), x as (select j.system, j.subtask, d.rep, j.score, j.positive, d.mult from judgments j join d on d.subtask = j.subtask and d.grp = j.grp where j.score is not null and d.rep <= 10),
+    f"""with d as materialized (select * from {DRAWS}), x as (select j.system, j.subtask, d.rep, j.score, j.positive, d.mult from judgments j join d on d.subtask = j.subtask and d.grp = j.grp where j.score is not null),
     v as (select system, subtask, rep, score, coalesce(sum(mult) filter (positive), 0)::double as p, coalesce(sum(mult) filter (not positive), 0)::double as q from x group by 1, 2, 3, 4),
-    c as (select *, sum(q) over (partition by system, subtask, rep order by score) - q / 2 as below from v)
-    select system, subtask, rep, round(sum(p * below) / nullif(sum(p) * sum(q), 0), 6) as auroc from c group by 1, 2, 3""",
+    c as (select *, sum(q) over (partition by system, subtask, rep order by score) - q / 2 as below from v),
+    a as (select system, subtask, rep, sum(p * below) / nullif(sum(p) * sum(q), 0) as auroc, (sum(p) filter (score >= 0.5) / nullif(sum(p), 0) + sum(q) filter (score < 0.5) / nullif(sum(q), 0)) / 2 as ba from c group by 1, 2, 3),
+    f as (select system, subtask, rep, greatest(auroc, 1 - auroc) as auroc, greatest(ba, 1 - ba) as ba from a)
+    select a.system, a.subtask, round(a.point, 6) as auroc, round(a.ci_low, 6) as auroc_low, round(a.ci_high, 6) as auroc_high, round(b.point, 6) as ba, round(b.ci_low, 6) as ba_low, round(b.ci_high, 6) as ba_high, a.n_valid
+    from ({resampling.summary_sql('select * from f', 'system, subtask', 'auroc')}) a join ({resampling.summary_sql('select * from f', 'system, subtask', 'ba')}) b using (system, subtask)""",
 )
 def cluster_bootstrap(spark, sf):
-    """AUROC of each draw of groups: weights of distinct scores, so that drawn rows are never copied."""
-    j = proxy(spark, sf, "judgments")
-    drawn = boards.draws(j.select("subtask", "grp"), "subtask", "grp", REPS).where("rep <= 10")
-    x = j.where("score is not null").join(drawn, ["subtask", "grp"])
-    keys = ["system", "subtask", "rep"]
-    v = x.groupBy(*keys, "score").agg(F.sum(F.when(F.col("positive"), F.col("mult")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), F.col("mult")).otherwise(0)).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q") / 2
-    c = v.withColumn("below", below).groupBy(*keys).agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("below")), (F.sum("p") * F.sum("q")).cast("double")), 6).alias("auroc"))
-    return c
+    """Direction-free AUROC and balanced accuracy with 95 % intervals, whole groups drawn 2,000 times. A replicate without
+    one class has no value."""
+    j = proxy(spark, sf, "judgments").where("score is not null")
+    free = lambda c: F.greatest(F.col(c), 1 - F.col(c)).alias(c)
+    a = resampling.replicate_auroc(j, KEYS, "score", "positive", unit()).select(*KEYS, "rep", free("auroc"))
+    p, hit = F.col("positive"), F.col("score") >= 0.5
+    cells = j.groupBy(*KEYS, "grp").agg(F.count_if(p).alias("pos"), F.count_if(p & hit).alias("pos_credit"), F.count_if(~p).alias("neg"), F.count_if(~p & ~hit).alias("neg_credit"))
+    b = resampling.replicate_sums(cells, KEYS, unit(), ["pos", "pos_credit", "neg", "neg_credit"])
+    b = b.select(*KEYS, "rep", (resampling.balanced_accuracy() / 100).alias("ba")).select(*KEYS, "rep", free("ba"))
+    ends = lambda d, c: resampling.summary(d, KEYS, c).select(*KEYS, F.round("point", 6).alias(c), F.round("ci_low", 6).alias(f"{c}_low"), F.round("ci_high", 6).alias(f"{c}_high"), "n_valid")
+    return ends(a, "auroc").join(ends(b, "ba").drop("n_valid"), KEYS)
 
 
-#: Balanced accuracy of rows and their multiplicities, for two systems.
-WEIGHTED_BA = "50 * ((sum(mult * correct::int) filter (positive))::double / nullif(sum(mult) filter (positive), 0) + (sum(mult * correct::int) filter (not positive))::double / nullif(sum(mult) filter (not positive), 0))"
-BY_CLASS = "(select subtask || '/' || positive as subtask, row_id from judgments where system = 'alpha')"
+#: Every system, subtask and replicate of rows drawn inside their subtask and class.
+ROW_REPLICATES = f"""select system, subtask, rep, 50 * ((sum(mult * correct::int) filter (positive))::double / nullif(sum(mult) filter (positive), 0) + (sum(mult * correct::int) filter (not positive))::double / nullif(sum(mult) filter (not positive), 0)) as ba
+  from judgments join {resampling.drawn_sql(f"select distinct row_id as id, {ROW.format("subtask || ':' || positive::varchar")} from judgments")} d on d.id = row_id group by 1, 2, 3"""
 
 
-@query(
-    "xtr_56_row_replicates",
-    f"with d as ({ROW_DRAWS.format(salt='draw', rows=BY_CLASS, reps=10)}) select system, split_part(d.subtask, '/', 1) as subtask, rep, round({WEIGHTED_BA}, 6) as ba from judgments j join d on d.subtask = j.subtask || '/' || j.positive and d.row_id = j.row_id group by 1, 2, 3",
-)
+@query("xtr_56_row_replicates", f"select system, subtask, rep, round(ba, 6) as ba from ({ROW_REPLICATES})")
 def row_replicates(spark, sf):
-    """Rows drawn with replacement inside each class, and the balanced accuracy of every draw."""
+    """Rows drawn inside each class, and the balanced accuracy of every draw."""
     return rounded(class_replicates(spark, sf), "system", "subtask", "rep")
 
 
-def class_replicates(spark, sf, reps=10):
-    j = proxy(spark, sf, "judgments").withColumn("stratum", F.concat_ws("/", "subtask", F.col("positive").cast("string")))
-    drawn = boards.draws(j.where("system = 'alpha'").select("stratum", "row_id"), "stratum", "row_id", reps)
-    x = j.join(drawn, ["stratum", "row_id"])
-    part = lambda k: F.try_divide(F.sum(F.when(k, F.col("mult") * F.col("correct").cast("int"))), F.sum(F.when(k, F.col("mult"))))
-    return x.groupBy("system", "subtask", "rep").agg((50 * (part(F.col("positive")) + part(~F.col("positive")))).alias("ba"))
+def class_replicates(spark, sf):
+    j = proxy(spark, sf, "judgments")
+    p, c = F.col("positive"), F.col("correct")
+    rows = j.withColumns({"pos": p.cast("int"), "pos_credit": (p & c).cast("int"), "neg": (~p).cast("int"), "neg_credit": (~p & c).cast("int")})
+    unit_of_row = resampling.unit_number(F.lit("draw"), F.col("subtask"), p.cast("string"), F.col("row_id"))
+    return resampling.replicate_sums(rows, KEYS, unit_of_row, ["pos", "pos_credit", "neg", "neg_credit"]).select(*KEYS, "rep", resampling.balanced_accuracy().alias("ba"))
 
 
 @query(
     "sta_17_gap_of_deltas",
-    f"""with d as ({ROW_DRAWS.format(salt='draw', rows=BY_CLASS, reps=10)}), r as (select system, split_part(d.subtask, '/', 1) as subtask, rep, {WEIGHTED_BA} as ba from judgments j join d on d.subtask = j.subtask || '/' || j.positive and d.row_id = j.row_id group by 1, 2, 3),
-    g as (select a.subtask, a.rep, round((a.ba - b.ba) - (c.ba - e.ba), 9) as gap from r a join r b on b.system = 'beta' and a.subtask = b.subtask and a.rep = b.rep join r c on c.system = 'gamma' and a.subtask = c.subtask and a.rep = c.rep join r e on e.system = 'delta' and a.subtask = e.subtask and a.rep = e.rep where a.system = 'alpha'),
-    i as (select subtask, avg(gap) as mean, quantile_cont(gap, 0.025) as lo, quantile_cont(gap, 0.975) as hi from g group by 1)
-    select subtask, round(mean, 6) as gap, round(lo, 6) as ci_low, round(hi, 6) as ci_high, case when lo >= -5 and hi <= 5 then 'PASS' when lo > 5 or hi < -5 then 'FAIL' else 'INCONCLUSIVE' end as verdict from i""",
+    f"""with r as materialized ({ROW_REPLICATES}),
+    g as (select a.subtask, a.rep, (a.ba - b.ba) - (c.ba - e.ba) as gap from r a join r b on b.system = 'beta' and a.subtask = b.subtask and a.rep = b.rep join r c on c.system = 'gamma' and a.subtask = c.subtask and a.rep = c.rep join r e on e.system = 'delta' and a.subtask = e.subtask and a.rep = e.rep where a.system = 'alpha'),
+    i as ({resampling.summary_sql('select * from g', 'subtask', 'gap')})
+    select subtask, round(point, 6) as gap, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, case when ci_low >= -5 and ci_high <= 5 then 'PASS' when ci_low > 5 or ci_high < -5 then 'FAIL' else 'INCONCLUSIVE' end as verdict from i""",
 )
 def gap_of_deltas(spark, sf):
     """Whether two leads differ: the gap of two differences over shared draws, inside a margin, outside it or neither."""
     r = class_replicates(spark, sf).groupBy("subtask", "rep").pivot("system", ["alpha", "beta", "gamma", "delta"]).agg(F.max("ba"))
-    g = r.select("subtask", F.round((F.col("alpha") - F.col("beta")) - (F.col("gamma") - F.col("delta")), 9).alias("gap"))
-    i = g.groupBy("subtask").agg(F.avg("gap").alias("gap"), F.percentile("gap", F.lit(0.025)).alias("ci_low"), F.percentile("gap", F.lit(0.975)).alias("ci_high"))
+    g = r.select("subtask", "rep", ((F.col("alpha") - F.col("beta")) - (F.col("gamma") - F.col("delta"))).alias("gap"))
     low, high = F.col("ci_low"), F.col("ci_high")
     verdict = F.when((low >= -5) & (high <= 5), "PASS").when((low > 5) | (high < -5), "FAIL").otherwise("INCONCLUSIVE")
-    return i.select("subtask", *[F.round(c, 6).alias(c) for c in ("gap", "ci_low", "ci_high")], verdict.alias("verdict"))
+    return resampling.summary(g, ["subtask"], "gap").select("subtask", F.round("point", 6).alias("gap"), *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], verdict.alias("verdict"))
 
 
 # --- labels and tables by version ---------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import metrics
+from plumbline.operators import metrics, resampling
 from plumbline.plans.catalog import proxy, query
 from plumbline.plans.scoring import BY_UNIT, CUMULATIVE, KEYS, rounded
 
@@ -152,23 +152,46 @@ def discrimination(spark, sf):
     return r.groupBy("subtask").agg(F.round(F.percentile("r", F.lit(0.5)), 6).alias("median_r"), F.round(F.count_if(F.col("r") >= 0.3) / n, 6).alias("share_strong"), F.round(F.count_if(F.col("r") < 0) / n, 6).alias("share_negative"))
 
 
+#: Resamples of the contamination signal, rows of each class that a cell and its complement need, and the flag's excess.
+RESAMPLES, LEAST_ROWS, LEAST_EXCESS = 1000, 5, 5
+
+
 @query(
     "agg_38_contamination_signal",
-    """with c as (select subtask, source, system, count(*) filter (positive) as p, count(*) filter (not positive) as q, count(*) filter (positive and correct) as cp, count(*) filter (not positive and correct) as cq from judgments group by 1, 2, 3),
-    t as (select *, sum(p) over w as tp, sum(q) over w as tq, sum(cp) over w as tcp, sum(cq) over w as tcq from c window w as (partition by subtask, system)),
-    a as (select subtask, source, system, p + q as n, 50 * (cp::double / p + cq::double / q) - 50 * ((tcp - cp)::double / (tp - p) + (tcq - cq)::double / (tq - q)) as adv from t where p >= 3 and q >= 3 and tp - p >= 3 and tq - q >= 3)
-    select subtask, source, system, n, round(adv, 6) as advantage, round(adv - median(adv) over (partition by subtask, source), 6) as excess from a""",
+    f"""with d as materialized (select * from {resampling.drawn_sql("select distinct subtask, row_id, ('0x' || substr(md5('draw:' || subtask || ':' || row_id), 1, 15))::bigint as h from judgments", RESAMPLES)}),
+    c as (select j.subtask, j.source, j.system, d.rep, sum(mult) filter (positive) as p, sum(mult) filter (not positive) as q, sum(mult) filter (positive and correct) as cp, sum(mult) filter (not positive and correct) as cq from judgments j join d on d.row_id = j.row_id and d.subtask = j.subtask group by 1, 2, 3, 4),
+    z as (select subtask, source, system, rep, coalesce(p, 0) as p, coalesce(q, 0) as q, coalesce(cp, 0) as cp, coalesce(cq, 0) as cq from c),
+    t as (select *, sum(p) over w - p as op, sum(q) over w - q as oq, sum(cp) over w - cp as ocp, sum(cq) over w - cq as ocq from z window w as (partition by subtask, system, rep)),
+    k as (select subtask, source, p + q as n from t where rep = 0 and p >= {LEAST_ROWS} and q >= {LEAST_ROWS} and op >= {LEAST_ROWS} and oq >= {LEAST_ROWS} group by 1, 2, 3),
+    a as (select t.subtask, t.source, system, rep, k.n, 50 * (cp::double / nullif(p, 0) + cq::double / nullif(q, 0)) - 50 * (ocp::double / nullif(op, 0) + ocq::double / nullif(oq, 0)) as adv from t join k on t.subtask = k.subtask and t.source is not distinct from k.source),
+    e as (select *, adv - median(adv) over (partition by subtask, source, rep) as excess from a),
+    s as ({resampling.summary_sql('select * from e', 'subtask, source, system', 'excess')})
+    select s.subtask, s.source, s.system, e.n::bigint as n, round(e.adv, 6) as advantage, round(s.point, 6) as excess, round(s.ci_low, 6) as ci_low, round(s.ci_high, 6) as ci_high, coalesce(s.ci_low > 0 and s.point >= {LEAST_EXCESS}, false) as flag
+    from s join e on e.rep = 0 and s.subtask = e.subtask and s.source is not distinct from e.source and s.system = e.system""",
 )
 def contamination_signal(spark, sf):
-    """How much better a system does on a source than elsewhere, beyond the median of all systems there."""
+    """How much better a system does on a source than elsewhere, beyond the median of all systems there, with its interval
+    over resampled rows; flagged where the interval is above 0 and the excess is 5 points or more.
+
+    One pass gives every cell's replicate sums; what is outside a source is the subtask's sums less the source's.
+    """
     p, c = F.col("positive"), F.col("correct")
-    cells = proxy(spark, sf, "judgments").groupBy("subtask", "source", "system").agg(F.count_if(p).alias("p"), F.count_if(~p).alias("q"), F.count_if(p & c).alias("cp"), F.count_if(~p & c).alias("cq"))
-    w = Window.partitionBy("subtask", "system")  # a row a source
-    t = cells.select("*", *[(F.sum(x).over(w) - F.col(x)).alias(f"o{x}") for x in ("p", "q", "cp", "cq")]).where("p >= 3 and q >= 3 and op >= 3 and oq >= 3")
-    adv = 50 * (F.col("cp") / F.col("p") + F.col("cq") / F.col("q")) - 50 * (F.col("ocp") / F.col("op") + F.col("ocq") / F.col("oq"))
-    a = t.select("subtask", "source", "system", (F.col("p") + F.col("q")).alias("n"), adv.alias("adv"))
-    mid = F.percentile("adv", F.lit(0.5)).over(Window.partitionBy("subtask", "source"))  # a row a system
-    return a.select("subtask", "source", "system", "n", F.round("adv", 6).alias("advantage"), F.round(F.col("adv") - mid, 6).alias("excess"))
+    j = proxy(spark, sf, "judgments").withColumns({"p": p.cast("int"), "q": (~p).cast("int"), "cp": (p & c).cast("int"), "cq": (~p & c).cast("int")})
+    values, cell = ["p", "q", "cp", "cq"], ["subtask", "source"]
+    z = resampling.replicate_sums(j, [*cell, "system"], resampling.unit_number(F.lit("draw"), F.col("subtask"), F.col("row_id")), values, RESAMPLES)
+    w = Window.partitionBy("subtask", "system", "rep")  # a row a source
+    t = z.select("*", *[(F.sum(x).over(w) - F.col(x)).alias(f"o{x}") for x in values])
+    ba = lambda o: 50 * (F.try_divide(F.col(f"{o}cp"), F.col(f"{o}p")) + F.try_divide(F.col(f"{o}cq"), F.col(f"{o}q")))
+    enough = F.least("p", "q", "op", "oq") >= LEAST_ROWS
+    of_cell = Window.partitionBy(*cell, "system")  # a row a replicate
+    a = t.withColumns({"adv": ba("") - ba("o"), "stays": F.max(F.when(F.col("rep") == 0, enough)).over(of_cell)}).where("stays")
+    e = a.withColumn("excess", F.col("adv") - F.percentile("adv", F.lit(0.5)).over(Window.partitionBy(*cell, "rep")))  # a row a system
+    point = F.when(F.col("rep") == 0, F.col("adv"))
+    facts = e.groupBy(*cell, "system").agg(F.max(F.when(F.col("rep") == 0, F.col("p") + F.col("q"))).cast("long").alias("n"), F.max(point).alias("adv"))
+    s = resampling.summary(e, [*cell, "system"], "excess").withColumnsRenamed({"subtask": "_t", "source": "_s", "system": "_y"})
+    met = facts.join(s, (F.col("subtask") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("system") == F.col("_y")))
+    flag = F.coalesce((F.col("ci_low") > 0) & (F.col("point") >= LEAST_EXCESS), F.lit(False))
+    return met.select(*cell, "system", "n", F.round("adv", 6).alias("advantage"), F.round("point", 6).alias("excess"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), flag.alias("flag"))
 
 
 #: A row's tags for the content views: in the five categories (unknown for some), owned by a vendor (unknown for some).
