@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """``left`` joined to ``right`` (one row for each value of ``on``), the rows of one hot value dealt over ``salts``
@@ -15,3 +17,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(F.lit(3), F.col(spread)), F.lit(salts)).cast("int"))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*on, salt], how).drop(salt)
+
+
+#: Right sides of up to this many rows of a few numbers each are broadcast; larger ones are salted.
+BROADCAST_ROWS = 250_000
+
+
+def counted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to a narrow ``right`` (one row for each value of ``on``) without the rows of one value meeting in
+    one task: ``right`` is written and counted; it is broadcast if small, salted by ``spread`` otherwise."""
+    right = cut_lineage(right)
+    return left.join(F.broadcast(right), on, how) if right.count() <= BROADCAST_ROWS else salted_join(left, right, on, spread, how)

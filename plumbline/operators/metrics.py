@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import counted_join
+from plumbline.operators.ranges import running_sums_within
+
 
 def ratio(a, b) -> Column:
     """a / b, null where b is 0."""
@@ -133,13 +136,16 @@ def kappa(pairs: DataFrame, keys: list[str], a: str, b: str, weight: str | None
 
 
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
-    """Percentile by linear interpolation between the midpoints of cumulated weights."""
-    d = df.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    mid = F.sum("w").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w") / 2
-    d = d.withColumn("at", mid / F.sum("w").over(Window.partitionBy(*keys)))
-    d = d.withColumn("next_at", F.lead("at").over(up)).withColumn("next_value", F.lead(value).over(up))
-    inside = F.when((F.col("at") <= q) & (F.col("next_at") > q), F.col(value) + (F.col("next_value") - F.col(value)) * F.try_divide(q - F.col("at"), F.col("next_at") - F.col("at")))
-    return d.groupBy(*keys).agg(
-        F.coalesce(F.max(inside), F.when(F.min("at") > q, F.min(value)), F.max(value)).alias("percentile")
-    )
+    """Percentile by linear interpolation between the midpoints of cumulated weights.
+
+    Weights are cumulated over ranges of the values of all keys, so that a key with most values is spread. The two
+    neighbours of the percentile are the greatest place up to ``q`` and the least one above it.
+    """
+    d = running_sums_within(df.groupBy(*keys, value).agg(F.sum(weight).alias("w")), keys, [F.col(value).asc()], upto=F.col("w"))
+    total = d.groupBy(*keys).agg(F.sum("w").alias("total"))
+    at = ((F.col("upto") - F.col("w") / 2) / F.col("total")).alias("at")
+    spot = F.struct("at", F.col(value).alias("v"))
+    met = counted_join(d, total, keys, value).select(*keys, value, at)
+    ends = met.groupBy(*keys).agg(F.max(F.when(F.col("at") <= q, spot)).alias("lo"), F.min(F.when(F.col("at") > q, spot)).alias("hi"))
+    between = F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * F.try_divide(q - F.col("lo.at"), F.col("hi.at") - F.col("lo.at"))
+    return ends.select(*keys, F.coalesce(between, F.col("hi.v"), F.col("lo.v")).cast("double").alias("percentile"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import boards, metrics
+from plumbline.operators.percentiles import exact_percentiles
 from plumbline.plans.catalog import proxy, query
+from plumbline.session import cut_lineage
 
 KEYS = ["system", "subtask"]
 
@@ -246,15 +248,21 @@ def overall_block(spark, sf):
 
 @query(
     "agg_21_latency",
-    """with r as (select row_id, system, sum(latency_s) as latency from ledger group by 1, 2)
-    select system, count(*) as n, round(quantile_cont(latency, 0.5), 6) as p50, round(quantile_cont(latency, 0.95), 6) as p95, round(sum(latency), 4) as total from r group by system""",
+    """with r as (select row_id, system, sum(latency_s) as latency, arg_max(ok, seq) as ok from ledger group by 1, 2),
+    f as (select system, count(*) as n_rows, round(count(*) filter (not ok) / count(*)::double, 6) as failure_rate from r group by 1)
+    select system, count(*) as n, round(quantile_cont(latency, 0.5), 6) as p50, round(quantile_cont(latency, 0.95), 6) as p95, round(sum(latency), 4) as total, n_rows, failure_rate
+    from r join f using (system) where ok group by system, n_rows, failure_rate""",
 )
 def latency(spark, sf):
-    """Latency of a row is the sum over its attempts."""
-    r = proxy(spark, sf, "ledger").groupBy("row_id", "system").agg(F.sum("latency_s").alias("latency"))
-    return r.groupBy("system").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile("latency", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("latency", F.lit(0.95)), 6).alias("p95"), F.round(F.sum("latency"), 4).alias("total")
+    """Latency of a row is the sum over its attempts; percentiles are over the rows that succeeded, and failures are a rate."""
+    r = proxy(spark, sf, "ledger").groupBy("row_id", "system").agg(F.sum("latency_s").alias("latency"), F.max_by("ok", "seq").alias("ok"))
+    r = cut_lineage(r)  # two passes
+    share = F.count_if(~F.col("ok")) / F.count(F.lit(1))
+    facts = r.groupBy("system").agg(F.count(F.lit(1)).alias("n_rows"), F.round(share, 6).alias("failure_rate"), F.round(F.sum(F.when(F.col("ok"), F.col("latency"))), 4).alias("total"))
+    p = exact_percentiles(r.where("ok"), ["system"], F.col("latency"), [0.5, 0.95]).groupBy("system", "n").agg(
+        *[F.round(F.max(F.when(F.col("share") == s, F.col("percentile"))), 6).alias(a) for s, a in ((0.5, "p50"), (0.95, "p95"))]
     )
+    return p.join(facts, "system").select("system", "n", "p50", "p95", "total", "n_rows", "failure_rate")
 
 
 @query(
