@@ -108,28 +108,6 @@ def contained(texts: DataFrame, needles: DataFrame, n: int = 6) -> DataFrame:
     return v.where(F.contains("hay", "needle")).select("id", "needle_id")
 
 
-def quotes(texts: DataFrame, width: int = 50, step: int = 25, least: int = 16) -> DataFrame:
-    """(quote, id): which ids of ``texts`` (id, text) hold each quote, at any offset, white space normalised.
-
-    Quotes are windows of ``width`` characters every ``step`` and the last one; a shorter text is one quote, held by
-    texts equal to it and, from ``least`` characters on, by those that contain it.
-    """
-    t = texts.select("id", F.trim(F.regexp_replace("text", X.SPACES, " ")).alias("t")).where(F.length("t") > 0).distinct()
-    q = t.select(F.explode(X.quote_windows(F.col("t"), width, step)).alias("quote")).distinct()
-    two = lambda c: F.struct(F.xxhash64(c), F.xxhash64(F.lit(1), c))  # noqa: E731  the constant first: else the second is a function of the first
-
-    def at_every_offset(n: int) -> DataFrame:
-        cut = F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: two(F.substring("t", i, F.lit(n))))
-        return t.where(F.length("t") >= n).select("id", F.explode(cut).alias("key")).distinct()
-
-    long, short = q.where(F.length("quote") >= width), q.where(F.length("quote") < width)
-    whole = at_every_offset(width).join(long.select("quote", two(F.col("quote")).alias("key")), "key").select("quote", "id")
-    equal = t.join(short, F.col("t") == F.col("quote")).select("quote", "id")
-    probe = short.where(F.length("quote") >= least).select("quote", two(F.substring("quote", 1, least)).alias("key"))
-    held = at_every_offset(least).join(probe, "key").select("quote", "id").distinct().join(t, "id").where(F.contains("t", "quote")).select("quote", "id")
-    return whole.union(equal).union(held).distinct()
-
-
 def first_reason(*reasons: Column) -> Column:
     """The first reason that holds."""
     return F.coalesce(*reasons)

@@ -250,19 +250,6 @@ def name_hint(spark, sf):
     return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", found.alias("hint"))
 
 
-PLACES = f"select distinct array_to_string(w[1:2], ' ') as place from (select {WORDS_SQL.format(t='text')} as w from benchmark) where len(w) >= 2"
-
-
-@query("str_16_lexicon_runs", f"with p as ({PLACES}), d as (select doc_id, w[i] || ' ' || w[i + 1] as run from (select doc_id, w, unnest(range(1, len(w))) as i from (select doc_id, {WORDS_SQL.format(t='text')} as w from documents))) select doc_id, count(distinct run) as hits from d where run in (select place from p) group by 1")
-def lexicon_runs(spark, sf):
-    """Texts that hold a run of words from a lexicon; the lexicon is a table, the join an equality of runs."""
-    b = table(spark, sf, "benchmark").select(X.words(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    places = b.select(F.array_join(F.slice("w", 1, 2), " ").alias("run")).distinct()
-    w = table(spark, sf, "documents").where("text is not null").select("doc_id", X.words(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " ")))).alias("run"))
-    return runs.join(places, "run", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-
-
 @query(
     "str_20_rendered_documents",
     """with b as (select doc_id, text as body, case doc_id % 3 when 0 then 0 when 1 then length(text) else coalesce(nullif(instr(text, '. '), 0) + 1, length(text)) end as place from documents where text <> ''),

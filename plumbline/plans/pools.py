@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.operators.matching import longest_runs
 from plumbline.operators.ranges import running_sums_within
 from plumbline.plans.catalog import proxy, query, table
 from plumbline.plans.curation import KINDS_SQL, hashed, kinds
 from plumbline.plans.records import NORM
+from plumbline.session import cut_lineage
 
 
 def normal(r: DataFrame) -> DataFrame:
@@ -43,13 +45,72 @@ def reference_index(spark, sf):
     return reduce(DataFrame.union, [*texts, groups]).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("xtr_64_lexicon", "with w as (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents where text is not null), k as (select word from w where regexp_full_match(word, '[a-z]{4,}') group by 1 having count(*) >= 3) select word, count(*) as n from w where regexp_full_match(word, '[A-Z][a-z]{3,}') and lower(word) not in (select word from k) group by 1 having count(*) >= 2")
+#: Capitalised words that are no names.
+NOT_NAMES = (
+    "may june july april august march january february september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "the and for you your our new all not see note total date name will can page item unit plan type code data user home main north south east west "
+    "united states city state bank card trust national"
+).split()
+NO_NAME = ", ".join(f"'{w}'" for w in NOT_NAMES)
+#: Labelled spans: a word that begins a line is a first name of some documents, the first words of others are a place.
+SPANS = """select doc_id as id, 'first_name' as label, unnest(regexp_extract_all(text, '\\n([A-Z][a-z]+(?:-[A-Z][a-z]+)?)', 1)) as value from documents where doc_id % 5 = 0
+  union all select doc_id, 'city', regexp_extract(text, '^([A-Z][a-z]+(?: [a-z]+)?(?: [a-z]+)?)', 1) from documents where doc_id % 5 = 1"""
+#: Words written small, outside of handles, hosts and addresses.
+SMALL = r"""select word from (select unnest(string_split_regex(text, '[^\p{L}\p{N}_.@/-]+')) as word from documents) where regexp_full_match(word, '[a-z]{3,}') group by 1 having count(*) >= 3"""
+LEXICON = f"""small as ({SMALL}), spans as ({SPANS}),
+  lexicon as (select distinct 'first name' as kind, value from (select unnest(string_split_regex(trim(value), '[ \t\n-]+')) as value from spans where label = 'first_name') where regexp_full_match(value, '[A-Z][a-z]{{2,}}') and lower(value) not in ({NO_NAME}) and lower(value) not in (select word from small)
+    union select distinct 'place', trim(value) from spans where label = 'city' and regexp_full_match(trim(value), '[A-Z][A-Za-z .''-]{{3,}}') and lower(trim(value)) not in ({NO_NAME}) and (contains(trim(value), ' ') or lower(trim(value)) not in (select word from small)))"""
+
+
+def labelled_spans(spark, sf):
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    names = d.where(k % 5 == 0).select(k.alias("id"), F.lit("first_name").alias("label"), F.explode(F.regexp_extract_all("text", F.lit(r"\n([A-Z][a-z]+(?:-[A-Z][a-z]+)?)"), F.lit(1))).alias("value"))
+    return names.union(d.where(k % 5 == 1).select(k, F.lit("city"), F.regexp_extract("text", r"^([A-Z][a-z]+(?: [a-z]+)?(?: [a-z]+)?)", 1)))
+
+
+def build_lexicon(spans, texts):
+    """(kind, value): first names and places that spans (label, value) of sources label, less common words: those that
+    the texts (text) write small three times or more, and a fixed list. Places of several words stay."""
+    token = F.explode(F.split("text", r"[^\p{L}\p{N}_.@/-]+")).alias("word")
+    small = texts.select(token).where(F.col("word").rlike("^[a-z]{3,}$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(F.col("word").alias("low"))
+    v = F.trim("value")
+    names = spans.where("label = 'first_name'").select(F.lit("first name").alias("kind"), F.explode(F.split(v, "[ \t\n-]+")).alias("value")).where(F.col("value").rlike("^[A-Z][a-z]{2,}$"))
+    places = spans.where("label in ('city', 'state')").select(F.lit("place").alias("kind"), v.alias("value")).where(F.col("value").rlike("^[A-Z][A-Za-z .'-]{3,}$"))
+    found = names.union(places).distinct().where(~F.lower("value").isin(NOT_NAMES))
+    common = found.join(small, F.lower("value") == F.col("low"), "left").where(F.col("low").isNull() | (F.col("kind") == "place") & F.contains(F.col("value"), F.lit(" ")))
+    return common.select("kind", "value")
+
+
+@query("xtr_64_lexicon", f"with {LEXICON} select kind, value from lexicon")
 def lexicon(spark, sf):
-    """Capitalised words of the texts that aren't common words written small: at least three times small, and one goes."""
-    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")
-    n = table(spark, sf, "documents").where("text is not null").select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    small = n.where(F.col("word").rlike("^[a-z]{4,}$") & (F.col("n") >= 3)).select(F.col("word").alias("low"))
-    return n.where(F.col("word").rlike("^[A-Z][a-z]{3,}$") & (F.col("n") >= 2)).join(small, F.lower("word") == F.col("low"), "left_anti")
+    """First names and places that the sources label, as a table of any size."""
+    return build_lexicon(labelled_spans(spark, sf), table(spark, sf, "documents").select("text"))
+
+
+WORDS_OF_PLACES = "[A-Za-z][A-Za-z''.-]*[A-Za-z]|[A-Za-z]"
+
+
+@query(
+    "str_16_lexicon_runs",
+    rf"""with {LEXICON}, w as (select doc_id, regexp_extract_all(text, '{WORDS_OF_PLACES}') as w, string_split_regex(text, '[^\p{{L}}\p{{N}}_]+') as t from documents where text is not null),
+    p as (select distinct array_to_string(regexp_extract_all(value, '{WORDS_OF_PLACES}'), ' ') as run from lexicon where kind = 'place'),
+    n as (select doc_id, count(distinct word) as names from (select doc_id, unnest(t) as word from w where doc_id % 3 <> 0) where word in (select value from lexicon where kind = 'first name') group by 1),
+    r as (select distinct doc_id from (select doc_id, array_to_string(w[i:i + k - 1], ' ') as run from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w where doc_id % 4 <> 0), range(1, 5) q(k) where i + k - 1 <= len(w)) where run in (select run from p))
+    select w.doc_id, coalesce(n.names, 0) as names, r.doc_id is not null as has_place, case when n.names > 0 then 'a first name the sources label elsewhere' when r.doc_id is not null then 'a city or state the sources label elsewhere' end as reason
+    from w left join n using (doc_id) left join r on r.doc_id = w.doc_id""",
+)
+def lexicon_runs(spark, sf):
+    """Rows that mention a name where NAME is not among their types, or a place where ADDRESS is not: names as whole words,
+    places as runs of one to four words, case-sensitive, out of a trie of the lexicon."""
+    lex = cut_lineage(lexicon(spark, sf))
+    d, k = table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), F.col("doc_id")
+    names = longest_runs(d.where(k % 3 != 0), lex.where("kind = 'first name'").select(F.col("value").alias("phrase"), F.col("kind").alias("label")), ["doc_id"], word=r"[\p{L}\p{N}_]+", most=1)
+    places = longest_runs(d.where(k % 4 != 0), lex.where("kind = 'place'").select(F.col("value").alias("phrase"), F.col("kind").alias("label")), ["doc_id"])
+    n = names.groupBy("doc_id").agg(F.count_distinct("phrase").alias("names"))
+    r = places.select("doc_id", F.lit(True).alias("place")).distinct()
+    out = d.select("doc_id").join(n, "doc_id", "left").join(r, "doc_id", "left").select("doc_id", F.coalesce("names", F.lit(0)).alias("names"), F.col("place").isNotNull().alias("has_place"))
+    reason = F.when(F.col("names") > 0, "a first name the sources label elsewhere").when(F.col("has_place"), "a city or state the sources label elsewhere")
+    return out.withColumn("reason", reason)
 
 
 @query("xtr_65_context_checks", "select id, regexp_matches(lower(substr(text, greatest(instr(text, '@') - 80, 1), instr(text, '@') - greatest(instr(text, '@') - 80, 1))), 'mail|contact') as labelled, regexp_matches(lower(substr(text, greatest(instr(text, '@') - 40, 1), instr(text, '@') - greatest(instr(text, '@') - 40, 1))), 'example|such as|hash') as doubtful from records where contains(text, '@')")

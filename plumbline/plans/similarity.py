@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import components, similarity
+from plumbline.operators.matching import quotes
 from plumbline.plans.catalog import proxy, query, table
 
 WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
@@ -206,7 +207,7 @@ def quote_join(spark, sf):
 )
 def quotes_anywhere(spark, sf):
     """Windows of conversations that others hold too, at whatever offset."""
-    q = similarity.quotes(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text"))
+    q = quotes(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text"))
     return q.groupBy("quote").agg(F.count(F.lit(1)).alias("n_conversations")).where("n_conversations > 1")
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import similarity
+from plumbline.operators.matching import found_in
 from plumbline.plans.catalog import proxy, query, table
 from plumbline.plans.curation import KINDS_SQL, WORDS_SQL, kinds
 from plumbline.plans.records import NORM
+from plumbline.session import cut_lineage
 from plumbline.streaming.ledger import shared_folder
 
 def digest(c):
@@ -185,16 +187,66 @@ def private_slice(spark, sf):
     return either(proxy(spark, sf, "records").where("split = 'private'").select("id"), table(spark, sf, "labels").where("doc_id % 11 = 0").select("doc_id"), proxy(spark, sf, "ledger").where("split = 'private'").select("row_id"))
 
 
-LINES = "select doc_id as id, unnest(string_split(text, chr(10))) as line from documents where text is not null"
+#: A field value: a line of a row's text, white space collapsed, in lower case. Values that this many rows share name none,
+#: and a value under this many characters is looked for as a whole value only.
+BOILERPLATE_ROWS, SHORT_NEEDLE = 25, 40
+VALUES = r"select distinct id, split, licence, value from (select id, split, licence, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\n\x0b\f\r]+', ' ', 'g'))) as value from records where text is not null) where value <> ''"
+NEEDLES = f"""v as materialized ({VALUES}), shared as (select value from v group by 1 having count(*) >= {BOILERPLATE_ROWS}), cleared as (select distinct value from v where split <> 'private' and licence <> 'unknown'),
+  needles as materialized (select 'private_id' as kind, id as key, 'row-' || id as value from records where split = 'private'
+    union all select 'private_text', id, value from v where split = 'private' and value not in (select value from shared)
+    union all select 'withheld_text', id, value from v where split <> 'private' and licence = 'unknown' and value not in (select value from shared) and value not in (select value from cleared))"""
+#: The files that are looked through: public rows of cleared licences; some name a private row.
+FILES = r"select id as file, coalesce(text, '') || case when id % 50 = 1 then chr(10) || 'See row-' || (id - id % 10 + 9) || '.' else '' end as body from records where split <> 'private' and licence <> 'unknown'"
 
 
-@query("xtr_20_leak_needles", f"with l as (select distinct id, trim(line) as line from ({LINES})), n as (select line, count(*) as holders from l where length(line) >= 30 group by 1) select l.id, count(*) as needles from l join n on n.line = l.line where n.holders < 5 and l.id % 10 >= 8 group by 1")
+def field_values(rows, *keep):
+    """``keep`` and each different value of a row's text."""
+    line = F.trim(F.regexp_replace(F.col("line"), X.SPACES, " "))
+    return rows.select(*keep, F.explode(F.split("text", "\n", -1)).alias("line")).select(*keep, F.lower(line).alias("value")).where("value <> ''").distinct()
+
+
+def needles_of(spark, sf):
+    """(kind, key, value) of all that no public file may hold: ids and values of private rows, and values of rows whose
+    licence isn't cleared, unless a cleared row has the value too; values that many rows share are boilerplate."""
+    r = proxy(spark, sf, "records")
+    v = cut_lineage(field_values(r.where("text is not null"), "id", "split", "licence"))
+    shared = v.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("split") != "private") & (F.col("licence") != "unknown")).alias("cleared"))
+    private = F.col("split") == "private"
+    kept = v.where(private | (F.col("licence") == "unknown")).join(shared, "value").where((F.col("n") < BOILERPLATE_ROWS) & (private | ~F.col("cleared")))
+    ids = r.where("split = 'private'").select(F.lit("private_id").alias("kind"), F.col("id").alias("key"), F.concat(F.lit("row-"), F.col("id").cast("string")).alias("value"))
+    return ids.union(kept.select(F.when(private, "private_text").otherwise("withheld_text"), "id", "value"))
+
+
+@query("xtr_20_leak_needles", f"with {NEEDLES} select kind, key, count(*) as needles, sum(length(value))::bigint as chars from needles group by 1, 2")
 def leak_needles(spark, sf):
-    """Lines of private rows by which a leak could be told: long ones that few rows share; boilerplate is none."""
-    line = F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)))).alias("line")
-    lines = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), line).where(F.length("line") >= 30).select("id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-    holders = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("holders")).where("holders < 5").drop("holders")
-    return lines.where("id % 10 >= 8").join(holders, ["h", "g"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("needles"))
+    """What must never be in a public file, by kind and row."""
+    return needles_of(spark, sf).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("needles"), F.sum(F.length("value")).alias("chars"))
+
+
+@query(
+    "xtr_20_leak_scan",
+    f"""with {NEEDLES}, f as ({FILES}), h as (select file, lower(trim(regexp_replace(body, '[ \t\n\x0b\f\r]+', ' ', 'g'))) as hay, body from f),
+    l as (select distinct file, lower(trim(regexp_replace(unnest(string_split(body, chr(10))), '[ \t\n\x0b\f\r]+', ' ', 'g'))) as value from f),
+    big as (select distinct value from needles where kind <> 'private_id' and length(value) >= {SHORT_NEEDLE}),
+    m as (select h.file, big.value from h join big on contains(h.hay, big.value) union select l.file, l.value from l where length(value) < {SHORT_NEEDLE} and value <> ''
+      union select file, unnest(regexp_extract_all(body, 'row-[0-9]+')) from f)
+    select m.file, n.kind, count(distinct n.key) as rows_leaked, min(n.key) as first_row from m join needles n on n.value = m.value and (n.kind = 'private_id') = regexp_full_match(m.value, 'row-[0-9]+') group by 1, 2""",
+)
+def leak_scan(spark, sf):
+    """Public files that hold a needle: ids as whole words, short values as whole lines, longer ones anywhere in the text, in
+    one pass of an automaton over the files."""
+    needles = cut_lineage(needles_of(spark, sf))
+    f = proxy(spark, sf, "records").where("split <> 'private' and licence <> 'unknown'")
+    named = F.when(F.col("id") % 50 == 1, F.concat(F.lit("\nSee row-"), (F.col("id") - F.col("id") % 10 + 9).cast("string"), F.lit("."))).otherwise("")
+    f = f.select("id", F.concat(F.coalesce("text", F.lit("")), named).alias("text"))
+    texts = needles.where("kind <> 'private_id'")
+    big = texts.where(F.length("value") >= SHORT_NEEDLE).select(F.col("value").alias("needle")).distinct().withColumn("needle_id", F.lit(0))
+    hay = f.select("id", F.lower(F.trim(F.regexp_replace("text", X.SPACES, " "))).alias("text"))
+    held = found_in(hay, big, SHORT_NEEDLE).select("id", F.col("needle").alias("value"), F.lit(False).alias("by_id"))
+    lines = field_values(f, "id").where(F.length("value") < SHORT_NEEDLE).select("id", "value", F.lit(False))
+    ids = f.select("id", F.explode(F.regexp_extract_all("text", F.lit("row-[0-9]+"), F.lit(0))), F.lit(True))
+    met = held.union(lines).union(ids).join(needles.withColumn("by_id", F.col("kind") == "private_id"), ["value", "by_id"])
+    return met.groupBy(F.col("id").alias("file"), "kind").agg(F.count_distinct("key").alias("rows_leaked"), F.min("key").alias("first_row"))
 
 
 @query("xtr_23_private_handles", "select value from (select distinct unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9]+\\.[a-z.]+')) as value from records where split = 'private') except select unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9]+\\.[a-z.]+')) from records where split <> 'private'")
