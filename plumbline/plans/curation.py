@@ -131,7 +131,7 @@ def same_source_text(spark, sf):
 def near_duplicate_groups(spark, sf):
     """Groups joined where a text of one is nearly a text of another: (grp, root), for groups that have such a text."""
     r = proxy(spark, sf, "records").where("text is not null").select("id", "grp", "text")
-    pairs = similarity.minhash_pairs(similarity.distinct_sets(similarity.token_sets(r, "id")))
+    pairs = similarity.minhash_links(similarity.distinct_sets(similarity.token_sets(r, "id")))
     own = r.select(F.col("id").alias("a"), F.col("grp").alias("ga")), r.select(F.col("id").alias("b"), F.col("grp").alias("gb"))
     edges = pairs.select("a", "b").join(own[0], "a").join(own[1], "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     return components.connected_components(edges).select(F.col("node").alias("grp"), "root")

@@ -48,10 +48,10 @@ def near_duplicates(spark, sf):
 
 @query("join_03_minhash_components")
 def minhash_components(spark, sf):
-    """Components of MinHash-banded, verified pairs of distinct texts, copies put back."""
+    """Components of distinct texts that share a band of min-hashes and have a Jaccard similarity of 0.6, copies put back."""
     sets = similarity.token_sets(table(spark, sf, "documents"), "doc_id")
     d = similarity.distinct_sets(sets)
-    found = components.connected_components(similarity.minhash_pairs(d))
+    found = components.connected_components(similarity.minhash_links(d))
     return d.select("id", "copies").join(found, F.col("id") == F.col("node"), "left").select("id", "copies", F.coalesce("root", "id").alias("component_id"))
 
 

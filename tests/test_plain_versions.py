@@ -22,7 +22,7 @@ def shingles(t):
 
 
 def near_components(docs):
-    """{first id of a distinct shingle set: smallest first id it reaches by Jaccard >= 0.8}."""
+    """{first id of a distinct shingle set: smallest first id it reaches by Jaccard >= 0.6}."""
     first = {}
     for i, t in sorted(docs.items()):
         if shingles(t):
@@ -31,7 +31,7 @@ def near_components(docs):
     for s, i in first.items():
         for x in s:
             holders[x].append((i, s))
-    edges = {(a, b) for h in holders.values() for a, s in h for b, t in h if a < b and 5 * len(s & t) >= 4 * len(s | t)}
+    edges = {(a, b) for h in holders.values() for a, s in h for b, t in h if a < b and 5 * len(s & t) >= 3 * len(s | t)}
     return first, union_find(edges)
 
 
