@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, Window
@@ -215,13 +216,15 @@ def row_summary(spark, sf):
     return proxy(spark, sf, "records").select("id", "subtask", "expected", "grp", "split", F.array_join(F.array_sort(F.array_distinct(kinds(F.col("text")))), ",").alias("kinds"), "source")
 
 
-VALUES_SQL = r"select distinct doc_id as id, unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9]+\.[a-z.]+')) as value from documents"
+#: Identifiers: addresses, and runs of digits as phone numbers, cards and accounts have them.
+IDENTIFIERS = r"[a-z0-9.]+@[a-z0-9]+\.[a-z.]+|\+?[0-9][0-9 ().-]{8,}[0-9]"
+VALUES_SQL = f"select distinct doc_id as id, unnest(regexp_extract_all(text, '{IDENTIFIERS}')) as value from documents"
 
 
 @query("join_18_shared_values", f"with v as ({VALUES_SQL}), m as (select value, min(id) as first_id, count(*) as n from v group by 1) select v.id, m.first_id, m.value from v join m on m.value = v.value where m.n > 1 and v.id <> m.first_id")
 def shared_values(spark, sf):
     """Rows that share a value, each linked to the first that has it: a star a value, not all its pairs."""
-    v = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[a-z0-9.]+@[a-z0-9]+\.[a-z.]+"), F.lit(0)))).alias("value"))
+    v = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIERS), F.lit(0)))).alias("value"))
     first = v.groupBy("value").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return v.join(first, "value").where("id <> first_id").select("id", "first_id", "value")
 
@@ -243,11 +246,41 @@ def local_only(spark, sf):
 
 # --- text ------------------------------------------------------------------------------------------------------------------
 
-@query("str_15_name_hint", r"select conv_id, turn, regexp_matches(text, '(Dear|Mr\.|Ms\.|Dr\.|name is|Name:) +[A-Z][a-z]+') and not regexp_matches(text, '(Dear) +(Customer|Team|Sir|Madam)') as hint from conversations where text is not null")
+#: Fields that name no person, and whom letters address in general.
+NO_PERSON_FIELD = (
+    "company product test bank business brand plan program project file event course policy account service device vendor organisation organization institution "
+    "facility hospital school store trade domain app application model campaign fund team department vessel plan's"
+).split()
+GENERIC_ADDRESSEE = (
+    "customer owner department team support sir madam valued hiring manager colleague colleagues member members client partner patient applicant user users employee "
+    "employees parent parents guardian policyholder shareholder shareholders resident residents friend friends officer committee board admissions human resources account "
+    "holder investor investors student students tenant vendor supplier recipient"
+).split()
+NAME_HINT = r"(?:\b(\w+)\s+)?\b(?:[Nn]ame|[Rr]eviewer|[Aa]uthor|[Ss]igned(?: by)?|[Aa]ttn|[Dd]ear|Mr|Mrs|Ms|Dr|Prof)\b[ \t*:_.,]*([A-Z][a-z]+(?:[ \t-][A-Z][a-z]+)+)"
+#: Some turns get a field in front, so that every rule meets a row: (turn's remainder by 7, what stands before the text).
+FIELDS = ((1, "Name: Anna Maria Weber. "), (2, "Dear Valued Customer, "), (3, "Company Name: Velox Motors. "), (4, "Signed by Jean-Luc Moreau "), (5, "Author: unknown. "))
+FIELD_SQL = "case (conv_id + turn) % 7 " + " ".join(f"when {k} then '{t}'" for k, t in FIELDS) + " else '' end"
+
+
+def name_hints(text):
+    """Whether a text names a person after a name field, a salutation or a title: capitalised words that address nobody in
+    general, after a field that is a person's."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(NAME_HINT), F.lit(1)).alias("field"), F.regexp_extract_all(text, F.lit(NAME_HINT), F.lit(2)).alias("name"))
+    generic = lambda x: F.arrays_overlap(F.split(F.lower(x["name"]), "[ \t-]"), F.array(*map(F.lit, GENERIC_ADDRESSEE)))
+    return F.exists(pairs, lambda x: ~F.coalesce(F.lower(x["field"]), F.lit("")).isin(NO_PERSON_FIELD) & ~generic(x))
+
+
+@query(
+    "str_15_name_hint",
+    rf"""with t as (select conv_id, turn, {FIELD_SQL} || text as text from conversations where text is not null),
+    p as (select conv_id, turn, list_zip(regexp_extract_all(text, '{NAME_HINT}', 1), regexp_extract_all(text, '{NAME_HINT}', 2)) as pairs from t)
+    select conv_id, turn, len(list_filter(pairs, lambda x: lower(coalesce(x[1], '')) not in ({', '.join("'" + w.replace("'", "''") + "'" for w in NO_PERSON_FIELD)})
+      and len(list_intersect(string_split_regex(lower(x[2]), '[ \t-]'), [{', '.join(f"'{w}'" for w in GENERIC_ADDRESSEE)}])) = 0)) > 0 as hint from p""",
+)
 def name_hint(spark, sf):
-    """A salutation or name field before a capitalised word, unless the addressee is a generic one."""
-    found = F.col("text").rlike(r"(Dear|Mr\.|Ms\.|Dr\.|name is|Name:) +[A-Z][a-z]+") & ~F.col("text").rlike(r"(Dear) +(Customer|Team|Sir|Madam)")
-    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", found.alias("hint"))
+    """Turns that name a person, by ``name_hints``."""
+    before = reduce(lambda c, x: c.when((F.col("conv_id") + F.col("turn")) % 7 == x[0], x[1]), FIELDS, F).otherwise("")
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", name_hints(F.concat(before, F.col("text"))).alias("hint"))
 
 
 @query(

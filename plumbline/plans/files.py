@@ -129,16 +129,28 @@ def validated_lines(spark, sf):
     return r.groupBy("provenance.source", "provenance.licence").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("texts"))
 
 
-@query("snk_05_staged_release", "select gate, violations from (select 'rows written' as gate, (select count(*) from records where split <> 'private') - (select count(*) from records where split <> 'private') as violations union all select 'private rows', 0 union all select 'texts without licence', 0 union all select 'ids twice', 0)")
+#: What is staged: the public rows, and some faults that the gates must count: private rows, texts that their licence
+#: closes, rows put in twice.
+STAGED = "select id, split, licence, case when licence in ('cc-by', 'mit') or id % 53 = 0 then text end as text from records, range(case when id % 89 = 0 then 2 else 1 end) where split <> 'private' or id % 97 = 8"
+
+
+@query(
+    "snk_05_staged_release",
+    f"""with s as ({STAGED}) select gate, violations from (select 'rows written' as gate, abs((select count(*) from s) - (select count(*) from records where split <> 'private')) as violations
+    union all select 'private rows', (select count(*) from s where split = 'private') union all select 'texts without licence', (select count(*) from s where text is not null and licence not in ('cc-by', 'mit'))
+    union all select 'ids twice', (select count(*) from (select id from s group by 1 having count(*) > 1)))""",
+)
 def staged_release(spark, sf):
-    """A release is written to a staging folder, read again, and judged by gates before anyone may publish it."""
-    r, folder = proxy(spark, sf, "records").where("split <> 'private'"), shared_folder(spark, "staging")
-    open_ = F.col("licence").isin("cc-by", "mit")
-    r.select("id", "split", "licence", F.when(open_, F.col("text")).alias("text")).write.partitionBy("split").parquet(folder)
+    """A release is written to a staging folder, read again, and judged by gates before anyone may publish it. The staged
+    rows hold faults of every kind."""
+    r, folder = proxy(spark, sf, "records"), shared_folder(spark, "staging")
+    open_, k = F.col("licence").isin("cc-by", "mit"), F.col("id")
+    staged = r.where((F.col("split") != "private") | (k % 97 == 8)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(k % 89 == 0, 2).otherwise(1))))
+    staged.select("id", "split", "licence", F.when(open_ | (k % 53 == 0), F.col("text")).alias("text")).write.partitionBy("split").parquet(folder)
     back = spark.read.parquet(folder)
     seen = back.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "private").alias("private"), F.count_if(F.col("text").isNotNull() & ~open_).alias("closed"))
     twice = back.groupBy("id").agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("twice"))
-    all_ = seen.crossJoin(r.agg(F.count(F.lit(1)).alias("want"))).crossJoin(twice)  # a row each
+    all_ = seen.crossJoin(r.where("split <> 'private'").agg(F.count(F.lit(1)).alias("want"))).crossJoin(twice)  # a row each
     gates = F.array(*[F.struct(F.lit(g).alias("gate"), c.alias("violations")) for g, c in (("rows written", F.abs(F.col("n") - F.col("want"))), ("private rows", F.col("private")), ("texts without licence", F.col("closed")), ("ids twice", F.col("twice")))])
     return all_.select(F.explode(gates).alias("g")).select("g.*")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
@@ -279,12 +279,23 @@ def unscored_units(spark, sf):
     return F.broadcast(declared).join(seen, ["suite", "unit"], "left").select("suite", "unit", status.alias("status"))
 
 
-@query("xtr_44_threshold_map", "with t as (select system, 0 as place, 0.5::double as t from systems union all select system, 1, 0.4 from systems where sid > 2 union all select 'delta', 2, 0.3) select system, arg_max(t, place) as threshold, count(*) as entries from t group by 1")
+@query(
+    "xtr_44_threshold_map",
+    """with f as (select system, kind, round(count(*) filter (not ok) / count(*)::double, 9) as failed, round(avg(score) filter (split = 'dev' and expected = 'no'), 2) as low from ledger group by 1, 2),
+    t as (select system, 0 as place, 0.5::double as t from f union all select system, 1, low from f where kind = 'self' and low is not null union all select system, 2, 0.3 from f where failed = (select max(failed) from f))
+    select system, arg_max(t, place) as threshold, count(*) as entries from t group by 1""",
+)
 def threshold_map(spark, sf):
-    """Thresholds by arm: a correction goes before an extension, and that before the manifest."""
-    s = proxy(spark, sf, "systems")
-    t = s.select("system", F.lit(0).alias("place"), F.lit(0.5).alias("t")).union(s.where("sid > 2").select("system", F.lit(1), F.lit(0.4))).union(spark.createDataFrame([("delta", 2, 0.3)], "system string, place int, t double"))
-    return t.groupBy("system").agg(F.max_by("t", "place").alias("threshold"), F.count(F.lit(1)).alias("entries"))
+    """Thresholds by arm out of the ledger: the manifest's for all, an extension's (the mean dev score of negatives) for
+    self-hosted ones, a correction for the arm that fails most. A correction goes before an extension, that before the manifest."""
+    low = F.round(F.avg(F.when((F.col("split") == "dev") & (F.col("expected") == "no"), F.col("score"))), 2)
+    f = proxy(spark, sf, "ledger").groupBy("system", "kind").agg(F.round(F.count_if(~F.col("ok")) / F.count(F.lit(1)), 9).alias("failed"), low.alias("low"))
+    entry = lambda place, t: F.struct(F.lit(place).alias("place"), t.cast("double").alias("t"))
+    worst = F.max("failed").over(Window.partitionBy(F.lit(1)))  # a row a system
+    f = f.withColumn("worst", worst)
+    kept = F.array(entry(0, F.lit(0.5)), F.when((F.col("kind") == "self") & F.col("low").isNotNull(), entry(1, F.col("low"))), F.when(F.col("failed") == F.col("worst"), entry(2, F.lit(0.3))))
+    t = f.select("system", F.explode(F.array_compact(kept)).alias("x"))
+    return t.groupBy("system").agg(F.max(F.col("x")).alias("best"), F.count(F.lit(1)).alias("entries")).select("system", F.col("best.t").alias("threshold"), "entries")
 
 
 @query(

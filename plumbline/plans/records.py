@@ -77,12 +77,14 @@ def first_per_text_capped(spark, sf):
 
 @query(
     "src_13_generated_phrases",
-    "select concat(p, ' ', f, ' ', v) as text, p as phrase, f as frame, v as variant from (select unnest(['hello', 'goodbye', 'thanks']) as p) cross join (select unnest(['friend', 'stranger']) as f) cross join (select unnest(range(1, 6)) as v)",
+    r"with p as (select distinct array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:3], ' ') as phrase from benchmark), f as (select distinct event_type as frame from events) select concat(phrase, ' ', frame, ' ', v) as text, phrase, frame, v as variant from p cross join f cross join (select unnest(range(1, 6)) as v)",
 )
 def generated_phrases(spark, sf):
-    """Every phrase in every frame and variant: arrays exploded, no join."""
-    base = spark.range(1).select(F.explode(F.array(*map(F.lit, ("hello", "goodbye", "thanks")))).alias("phrase"))
-    base = base.withColumn("frame", F.explode(F.array(F.lit("friend"), F.lit("stranger")))).withColumn("variant", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))))
+    """Every phrase (the first words of the benchmark's texts) in every frame (the kinds of events) and variant. A frame is
+    one of a few kinds, so they meet the phrases as one array."""
+    p = table(spark, sf, "benchmark").select(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 3), " ").alias("phrase")).distinct()
+    f = table(spark, sf, "events").agg(F.collect_set("event_type").alias("frames"))
+    base = p.crossJoin(f).withColumn("frame", F.explode("frames")).withColumn("variant", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))))
     return base.select(F.concat_ws(" ", "phrase", "frame", "variant").alias("text"), "phrase", "frame", "variant")
 
 

@@ -8,6 +8,10 @@ from plumbline.functions import text as X
 from plumbline.plans.catalog import query, table
 
 W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+COUNTS = {c: f"len(list_filter(v, lambda x: x in ({', '.join(chr(39) + w + chr(39) for w in known)})))" for c, known in [("en", X.COMMON_ENGLISH), *X.COMMON_OTHER.items()]}
+ENGLISH_SQL = rf"""(select case when letters = 0 then false else not ({' or '.join(f"(({c} >= 2 and {c} > en) or ({c} >= 1 and en = 0))" for c in X.COMMON_OTHER)}) and not (en = 0 and n >= 4 and share < 0.98) and (share >= 0.9 or (share >= 0.6 and en >= 2)) end
+  from (select letters, ascii / letters::double as share, len(v) as n, {', '.join(f"{q} as {c}" for c, q in COUNTS.items())} from (select length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) as letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as ascii,
+    list_transform(list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''), lambda x: lower(trim(x, '{X.EDGES.replace("'", "''")}'))) as v)))"""
 ENG = "('the','and','of','to','in','is','that','for','with','this','are','was','on','as','be','it')"
 GER = "('der','die','das','und','nicht','ist','ein','eine','mit','von','auf','zu','den','sich')"
 LOOSE = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -29,7 +33,7 @@ SCALARS = {
     "str_02_normalise_loose": (X.normalise_loose, LOOSE),
     "str_03_normalise_long": (X.normalise_long, f"case when length({NORM}) >= 20 then {NORM} end"),
     "str_05_shingles": (lambda t: F.array_join(at_most(X.shingles(X.words(t))), "|"), f"(select array_to_string({shingles_sql('w', 5)}, '|') from (select {W} as w))"),
-    "str_07_is_english": (X.is_english, f"(select len(list_filter(w, lambda x: x in {ENG})) > len(list_filter(w, lambda x: x in {GER})) and len(list_filter(w, lambda x: x in {ENG})) * 50 >= len(w) and {ASCII} > 0.8 from (select {W} as w))"),
+    "str_07_is_english": (X.is_english, ENGLISH_SQL),
     "str_08_ascii_letter_share": (lambda t: F.round(X.ascii_letter_share(t), 6), f"round({ASCII}, 6)"),
     "str_09_german_suspect": (lambda t: X.hits(t, X.GERMAN) >= 3, f"len(list_filter({W}, lambda x: x in {GER})) >= 3"),
     "str_10_lexicon_terms": (lambda t: F.array_join(X.lexicon_terms(t, ("the", "von", "que", "les", "und")), ","), f"array_to_string(list_sort(list_distinct(list_filter({W}, lambda x: x in ('the', 'von', 'que', 'les', 'und')))), ',')"),

@@ -293,12 +293,12 @@ def load_check(spark, sf):
     return r.groupBy("split").agg(F.count(F.lit(1)).alias("want")).join(got, "split", "left").select("split", "want", F.coalesce("got", F.lit(0)).alias("got"), (F.col("want") == F.coalesce("got", F.lit(0))).alias("matches"))
 
 
-@query("xtr_22_pinned_rows", "with m as (select conv_id as file, unnest(regexp_extract_all(text, '[0-9]+'))::hugeint as id from conversations where text is not null) select r.id, min(m.file) as named_in from records r join m on m.id = r.id where r.split <> 'private' group by 1")
+@query("xtr_22_pinned_rows", "with m as (select page_id as file, unnest(regexp_extract_all(url, '[0-9]+'))::hugeint as id from pages where url is not null) select r.id, min(m.file) as named_in, count(distinct m.file) as places from records r join m on m.id = r.id where r.split <> 'private' group by 1")
 def pinned_rows(spark, sf):
-    """Public rows that are named somewhere else, and the first place that names them."""
-    named = F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("x")
-    m = table(spark, sf, "conversations").where("text is not null").select(F.col("conv_id").alias("file"), named).select("file", F.expr("try_cast(x as long)").alias("id")).where("id is not null")
-    first = m.groupBy("id").agg(F.min("file").alias("named_in"))
+    """Public rows that are named somewhere else, here by a number in a url: the first place and how many there are."""
+    named = F.explode(F.regexp_extract_all("url", F.lit("[0-9]+"), F.lit(0))).alias("x")
+    m = table(spark, sf, "pages").where("url is not null").select(F.col("page_id").alias("file"), named).select("file", F.expr("try_cast(x as long)").alias("id")).where("id is not null")
+    first = m.groupBy("id").agg(F.min("file").alias("named_in"), F.count_distinct("file").alias("places"))
     return proxy(spark, sf, "records").where("split <> 'private'").select("id").join(first, "id")
 
 
@@ -341,19 +341,54 @@ def grams(t: str, key: str, n: int, where: str = "true") -> str:
     return f"select distinct id, total, array_to_string(w[i:i + {n - 1}], ' ') as gram from (select id, w, len(w) - {n - 1} as total, unnest(range(1, len(w) - {n - 1} + 1)) as i from (select {key} as id, {WORDS_SQL.format(t='text')} as w from {t} where {where}) where len(w) >= {n})"
 
 
-@query("xtr_26_vendor_scan", f"with d as ({grams('documents', 'doc_id', 10)}), b as ({grams('benchmark', 'item_id', 10)}), m as (select id, count(distinct gram) as matched from d where gram in (select gram from b) group by 1) select id, matched, case when matched >= 20 then 'exclude' else 'review' end as route from m")
+#: Words of a vendor's run, and the fewest words of a short text that counts if it equals a vendor's text.
+WINDOW, MIN_EXACT = 10, 4
+#: A vendor's file is a fifth of the benchmark.
+VENDOR_FILE = "'file' || (item_id % 5)"
+
+
+@query(
+    "xtr_26_vendor_scan",
+    f"""with w as (select id, split, {WORDS_SQL.format(t='text')} as w from records where text is not null), d as ({grams('documents', 'doc_id', WINDOW)}), t as (select id, count(distinct gram) as total from d group by 1),
+    b as (select distinct {VENDOR_FILE.replace('item_id', 'id')} as file, gram from ({grams('benchmark', 'item_id', WINDOW)})), m as (select d.id, b.file, count(distinct d.gram) as windows from d join b using (gram) group by 1, 2),
+    u as (select distinct {VENDOR_FILE} as file, {WORDS_SQL.format(t='text')} as w from benchmark), x as (select w.id, u.file from w join u on w.w = u.w where len(w.w) between {MIN_EXACT} and {WINDOW - 1}),
+    a as (select id, file, 'window' as kind, windows, round(windows / total::double, 3) as coverage from m join t using (id) union all select id, file, 'exact', 0, 1.0 from x)
+    select a.id, r.split, a.file, a.kind, a.windows, a.coverage, case when r.split = 'dev' then 'stays, flagged' when r.split = 'private' then 'excluded, private list' else 'excluded, public list' end as route from a join records r on r.id = a.id""",
+)
 def vendor_scan(spark, sf):
-    """Texts that hold runs of a vendor's texts: many runs exclude a row, few send it to review."""
-    d, b = similarity.ngram_rows(table(spark, sf, "documents"), "doc_id", 10), similarity.ngram_rows(table(spark, sf, "benchmark"), "item_id", 10)
-    m = similarity.ngram_coverage(d, b)
-    return m.select("id", "matched", F.when(F.col("matched") >= 20, "exclude").otherwise("review").alias("route"))
+    """Rows that hold runs of words of a vendor's file, with the share of their own runs, or that are one of its short
+    texts. What a match means follows from the row: dev rows stay, others are excluded in the list that may name them."""
+    file = lambda c: F.concat(F.lit("file"), (F.col(c) % 5).cast("string"))
+    r = proxy(spark, sf, "records")
+    d, b = similarity.ngram_rows(r.where("text is not null"), "id", WINDOW), similarity.ngram_rows(table(spark, sf, "benchmark"), "item_id", WINDOW)
+    m = d.join(b.select(file("id").alias("file"), "gram").distinct(), "gram").groupBy("id", "file", "total").agg(F.count(F.lit(1)).alias("windows"))
+    m = m.select("id", "file", F.lit("window").alias("kind"), "windows", F.round(F.col("windows") / F.col("total"), 3).alias("coverage"))
+    units = table(spark, sf, "benchmark").select(file("item_id").alias("file"), X.words(F.col("text")).alias("w")).distinct()
+    short = r.where("text is not null").select("id", X.words(F.col("text")).alias("w")).where(F.size("w").between(MIN_EXACT, WINDOW - 1))
+    x = short.join(units, "w").select("id", "file", F.lit("exact"), F.lit(0).cast("long"), F.lit(1.0))
+    route = F.when(F.col("split") == "dev", "stays, flagged").when(F.col("split") == "private", "excluded, private list").otherwise("excluded, public list")
+    return m.union(x).join(r.select("id", "split"), "id").select("id", "split", "file", "kind", "windows", "coverage", route.alias("route"))
 
 
-@query("xtr_59_fast_leak_check", f"with d as ({grams('documents', 'doc_id', 12, 'doc_id % 10 < 8')}), b as ({grams('documents', 'doc_id', 12, 'doc_id % 10 >= 8')}) select distinct id from d where gram in (select gram from b)")
+#: Words of a run by which a text is found out, and the fewest words of a shorter text that is looked for whole.
+RUN, LEAST_RUN = 8, 4
+
+
+@query(
+    "xtr_59_fast_leak_check",
+    f"""with w as (select doc_id as id, doc_id % 10 >= 8 as private, {WORDS_SQL.format(t='text')} as w from documents where text is not null), p as ({grams('documents', 'doc_id', RUN, 'doc_id % 10 < 8')}), s as ({grams('documents', 'doc_id', RUN, 'doc_id % 10 >= 8')}),
+    blobs as (select array_to_string(w, ' ') as blob from w where not private), short as (select id, array_to_string(w, ' ') as needle from w where private and len(w) between {LEAST_RUN} and {RUN - 1})
+    select distinct id from s where gram in (select gram from p) union select id from short where exists (select 1 from blobs where contains(blob, needle))""",
+)
 def fast_leak_check(spark, sf):
-    """Public texts that share a run of twelve words with a private one: a semi-join, no pairs."""
-    d = similarity.ngram_rows(table(spark, sf, "documents"), "doc_id", 12)
-    return d.where("id % 10 < 8").join(d.where("id % 10 >= 8").select("gram").distinct(), "gram", "left_semi").select("id").distinct()
+    """Private rows that a public text gives away: by a run of eight words, or, for texts of four to seven words, whole."""
+    t = table(spark, sf, "documents").where("text is not null")
+    public, private = t.where("doc_id % 10 < 8"), t.where("doc_id % 10 >= 8")
+    runs = similarity.ngram_rows(private, "doc_id", RUN).join(similarity.ngram_rows(public, "doc_id", RUN).select("gram").distinct(), "gram", "left_semi").select("id")
+    w = X.words(F.col("text"))
+    short = private.select(F.col("doc_id").alias("needle_id"), w.alias("w")).where(F.size("w").between(LEAST_RUN, RUN - 1)).select("needle_id", F.array_join("w", " ").alias("needle"))
+    blobs = public.select(F.col("doc_id").alias("id"), F.array_join(w, " ").alias("text"))
+    return runs.union(found_in(blobs, short).select("needle_id")).distinct()
 
 
 @query("xtr_69_candidate_overlap", f"with r as (select id, grp, split, {NORM} as norm from records where text is not null), c as (select * from r where split = 'dev'), t as (select * from r where split = 'test') select (select count(*) from c) as candidates, (select count(*) from c where norm in (select norm from t)) as same_text, (select count(*) from c where grp in (select grp from t)) as same_group, (select count(*) from c where norm in (select norm from t) or grp in (select grp from t)) as any_overlap")
