@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.catalog import proxy, query, table
 from plumbline.sources import folders, jsonl
+from plumbline.sources.versioned import VersionedTable
 from plumbline.streaming.ledger import shared_folder
 
 #: The records as JSON Lines, some of them bad: what is wrong with each follows from its id.
@@ -100,14 +101,14 @@ def fetched_text(spark, sf):
     return p.select(ident.alias("id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("grp"), F.length(plain).cast("long").alias("n"))
 
 
-@query("src_21_published_snapshot", "select split, count(*) as n, 2 as version from records where id % 2 = 0 group by 1")
+@query("src_21_published_snapshot", "select split, count(*) as n, 2::bigint as version from records where id % 2 = 0 group by 1 union all select split, count(*), 1 from records where id % 3 = 0 group by 1")
 def published_snapshot(spark, sf):
-    """The newest snapshot that was written to its end: of three, the last has no end."""
-    folder, r = shared_folder(spark, "snapshots"), proxy(spark, sf, "records").select("id", "split")
-    r.where("id % 3 = 0").withColumn("version", F.lit(1)).write.parquet(f"{folder}/v1")
-    r.where("id % 2 = 0").withColumn("version", F.lit(2)).write.parquet(f"{folder}/v2")
-    r.limit(0).withColumn("version", F.lit(3)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/v3")
-    return spark.read.parquet(folders.published_folder(spark, folder)).groupBy("split", "version").agg(F.count(F.lit(1)).alias("n"))
+    """The newest snapshot that was committed, and the first, which stays readable: of three, the last was never committed."""
+    t, r = VersionedTable(spark, shared_folder(spark, "snapshots")), proxy(spark, sf, "records").select("id", "split")
+    first, last = t.publish(r.where("id % 3 = 0")), t.publish(r.where("id % 2 = 0"))
+    t.stage(r)
+    count = lambda v: t.read(v).groupBy("split").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(v).cast("long"))
+    return count(t.manifest()["version"]).unionByName(count(first)).where(F.col("version").isin(first, last))
 
 
 @query("src_23_ledger_lines", "select system, seq, count(*) as n, round(avg(score), 6) as mean from ledger where ok group by 1, 2")
@@ -159,11 +160,11 @@ def staged_release(spark, sf):
 def append_only_ledger(spark, sf):
     """A ledger appended to twice, the second time with rows that it has, and the sidecar of its arms, once each."""
     led, folder = proxy(spark, sf, "ledger").select("row_id", "system", "seq", "kind"), shared_folder(spark, "append")
+    rows, arms = VersionedTable(spark, f"{folder}/ledger"), VersionedTable(spark, f"{folder}/arms")
     for part in (led.where("seq = 0"), led):
-        folders.append_new(part.select("row_id", "system", "seq"), f"{folder}/ledger", ["row_id", "system", "seq"])
-        folders.append_new(part.select("system", "kind"), f"{folder}/arms", ["system"])
-    arms = spark.read.parquet(f"{folder}/arms")
-    return spark.read.parquet(f"{folder}/ledger").join(F.broadcast(arms), "system").groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("rows"), F.min("kind").alias("arm"))
+        rows.append(part.select("row_id", "system", "seq"), ["row_id", "system", "seq"])
+        arms.append(part.select("system", "kind"), ["system"])
+    return rows.read().join(F.broadcast(arms.read()), "system").groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("rows"), F.min("kind").alias("arm"))
 
 
 @query("snk_09_report_lines", "select '| ' || split || ' | ' || count(*) || ' | ' || count(expected) || ' |' as line from records group by split union all select '| split | n | labelled |' union all select '|---|---|---|'")

@@ -13,7 +13,7 @@ from plumbline.functions import text as X
 from plumbline.operators import components
 from plumbline.operators.metrics import latest_per_key
 from plumbline.plans.catalog import proxy, query, table
-from plumbline.sources import folders
+from plumbline.sources.versioned import VersionedTable
 from plumbline.streaming.ledger import shared_folder
 
 NORM = r"trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
@@ -391,9 +391,10 @@ def examined_append(spark, sf):
     """Ids appended to a list that has some of them: what the list then has more."""
     led, folder = proxy(spark, sf, "ledger").select("row_id", "system"), shared_folder(spark, "examined")
     before = led.where("system = 'alpha' and row_id % 2 = 0").select("row_id").distinct()
-    folders.append_new(before, folder, ["row_id"])
-    folders.append_new(led.where("system = 'beta'").select("row_id"), folder, ["row_id"])
-    return spark.read.parquet(folder).exceptAll(before)
+    examined = VersionedTable(spark, folder)
+    examined.append(before, ["row_id"])
+    examined.append(led.where("system = 'beta'").select("row_id"), ["row_id"])
+    return examined.read().exceptAll(before)
 
 
 @query("set_01_union_of_ids", "select id, string_agg(role, ',' order by role) as roles from (select distinct doc_id as id, 'label' as role from labels union select distinct item_id, 'benchmark' from benchmark union select distinct conv_id, 'conversation' from conversations) group by id")

@@ -45,18 +45,6 @@ def published_folder(spark: SparkSession, path: str) -> str:
     return f"{path}/{max(found)[1]}"
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends to a ledger the rows whose key it doesn't have yet, each key once.
-
-    What is there is read by its keys alone. A run that dies leaves no part behind that a reader sees, since a part is
-    moved in place when it is whole; the next run appends what is missing."""
-    spark = rows.sparkSession
-    new = rows.dropDuplicates(keys)
-    if any(True for name, _ in _listed(spark, path) if name.endswith(".parquet")):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    new.write.mode("append").parquet(path)
-
-
 def markdown(table: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
     """(at, line) of a small table as Markdown, in ``order``; of a larger one the first ``most`` rows: a report."""
     cells = lambda names: F.concat(F.lit("| "), F.concat_ws(" | ", *names), F.lit(" |"))
