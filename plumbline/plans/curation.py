@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.functions.changes import described_changes
 from plumbline.operators import components, metrics, similarity
 from plumbline.operators.ranges import running_sums_within
 from plumbline.plans.catalog import proxy, query, table
@@ -309,24 +308,11 @@ def scrubbed_errors(spark, sf):
     return led.withColumn("said", said).select("row_id", "system", "seq", X.scrub(F.col("said"), F.col("text"), 8).alias("error"))
 
 
-def _described_changes(old: pd.Series, new: pd.Series) -> pd.Series:
-    """What a text's words became, the first four changes of each row."""
-
-    def one(a: str | None, b: str | None) -> str | None:
-        if a is None or b is None:
-            return None
-        x, y = a.split(), b.split()
-        codes = difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes()
-        return "; ".join([f"'{' '.join(x[i:j])}' -> '{' '.join(y[k:m])}'" for op, i, j, k, m in codes if op != "equal"][:4]) or "none"
-
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
-
-
 @query("str_27_described_changes", r"select item_id, case when length(text) = 0 then 'none' else '''' || regexp_extract(text, '^(\S+)', 1) || ''' -> ''changed''' end as change from benchmark where text is not null and len(string_split(text, ' ')) > 1")
 def described(spark, sf):
     """What differs between two versions of a text, in words: the first word of each was changed here."""
     b = table(spark, sf, "benchmark").where("text is not null").where(F.size(F.split("text", " ")) > 1)
-    return b.select("item_id", F.pandas_udf(_described_changes, "string")(F.col("text"), F.regexp_replace("text", r"\A\S+", "changed")).alias("change"))
+    return described_changes(b.withColumn("now", F.regexp_replace("text", r"\A\S+", "changed")), ["item_id"], "text", "now")
 
 
 @query("jsn_02_quoting_paths", "select id, path from (select id, unnest(['state.text', 'provenance.source', 'split']) as path, unnest([text, source, split]) as value from records) where value is not null and (contains(value, 'src') or contains(value, 'te'))")

@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def run_stream(stream: DataFrame, transform, folder: str, name: str) -> str:
+def run_stream(stream: DataFrame, transform, folder: str, name: str, mode: str = "append") -> str:
     """Runs a stream over all that is there now, each micro-batch appended as parquet in a folder of its own number,
     so that a batch that runs again overwrites itself; gives the folder."""
     out = f"{folder}/{name}"
@@ -23,7 +23,7 @@ def run_stream(stream: DataFrame, transform, folder: str, name: str) -> str:
     def append(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return out
 
