@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline.plans.catalog import proxy, query, table
-from plumbline.sources import folders, jsonl
+from plumbline.sources import folders, jsonl, loaders
 from plumbline.sources.versioned import VersionedTable
 from plumbline.streaming.ledger import shared_folder
 
@@ -172,3 +174,27 @@ def report_lines(spark, sf):
     """A small table as the lines of a report."""
     t = proxy(spark, sf, "records").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("expected").alias("labelled"))
     return folders.markdown(t, ["split"]).select("line")
+
+
+RAW_LINES = ["id", "split", "source", "expected", "text"]
+
+
+def lines_of_records(spark, sf) -> str:
+    folder = shared_folder(spark, "suite-lines")
+    jsonl.write_lines(proxy(spark, sf, "records").select(*RAW_LINES), folder)
+    return folder
+
+
+@query("udf_06_loaded_records", "select split, expected, count(*) as n, sum(length(text))::bigint as chars from records where expected is not null and split = 'dev' group by 1, 2")
+def loaded_records(spark, sf):
+    """A suite's loader as a data source: the condition on the split is checked where lines are read."""
+    r = loaders.load(spark, "labelled", lines_of_records(spark, sf), range_bytes=1 << 20).where("split = 'dev'")
+    return r.groupBy("split", "expected").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("udf_07_suite_records", "select suite, count(*) as n, sum(length(text))::bigint as chars from (select 'plain' as suite, text from records union all select 'labelled', text from records where expected is not null union all select 'prompts', string_split(text, chr(10))[1] from records where text <> '') group by 1")
+def suite_records(spark, sf):
+    """The same lines through the hooks of three suites."""
+    folder = lines_of_records(spark, sf)
+    r = reduce(lambda a, b: a.union(b), [loaders.load(spark, x, folder).select("suite", "text") for x in ("plain", "labelled", "prompts")])
+    return r.groupBy("suite").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
