@@ -10,6 +10,8 @@ from plumbline.plans.catalog import proxy, query, table
 from plumbline.plans.scoring import KEYS, rounded
 from plumbline.plans.statistics import DRAWS, REPLICATES, replicates, unit
 from plumbline.plans.views import BA, balanced
+from plumbline.sources.lookup import lookup, write_indexed
+from plumbline.streaming.ledger import shared_folder
 
 #: A lineage of versions: each pair of neighbours is a step, and the first and the last are compared too.
 VERSIONS = ("alpha", "beta", "gamma")
@@ -340,6 +342,14 @@ def index_lookup(spark, sf):
     return proxy(spark, sf, "latest").select("row_id", "system").join(index, "row_id", "left").select("row_id", "system", "found_group", "found_split", F.coalesce("basis", F.lit("id itself")).alias("basis"))
 
 
+@query("src_19_indexed_lookup", "select id, grp, split from records where id in (select row_id from latest where row_id % 9 = 0)")
+def indexed_lookup(spark, sf):
+    """Group and split of some ids, out of a table that is sorted by id with a Bloom filter in every row group."""
+    folder = shared_folder(spark, "indexed")
+    write_indexed(proxy(spark, sf, "records").select("id", "grp", "split"), folder, "id")
+    return lookup(spark, folder, proxy(spark, sf, "latest").where("row_id % 9 = 0").select(F.col("row_id").alias("id")), "id")
+
+
 @query("src_18_ledgers_with_sidecars", "select l.system, l.seq as ledger, s.config, count(*) as n from ledger l left join (select 'alpha' as system, 'api v1' as config union all select 'gamma', 'two cards') s on s.system = l.system group by 1, 2, 3")
 def ledgers_with_sidecars(spark, sf):
     """Several ledgers as one table that knows which it came from, with the sidecar of each arm."""
