@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, StringType
 SPACES = r"[ \t\n\x0b\f\r]+"
 WORD = r"[\p{L}\p{N}_]+"
 #: Function words that mark English and German text.
-ENGLISH = ("the", "and", "of", "to", "in", "is", "that", "for", "with", "this", "are", "was", "on", "as", "be", "it")
-GERMAN = ("der", "die", "das", "und", "nicht", "ist", "ein", "eine", "mit", "von", "auf", "zu", "den", "sich")
+#: German function words by which a text is suspected.
+GERMAN = tuple("und nicht ich der die das ist wie sie mir ein eine auf zu mit vergiss alle bitte".split())
 
 
 def normalise(t: Column) -> Column:

@@ -113,16 +113,41 @@ def lexicon_runs(spark, sf):
     return out.withColumn("reason", reason)
 
 
-@query("xtr_65_context_checks", "select id, regexp_matches(lower(substr(text, greatest(instr(text, '@') - 80, 1), instr(text, '@') - greatest(instr(text, '@') - 80, 1))), 'mail|contact') as labelled, regexp_matches(lower(substr(text, greatest(instr(text, '@') - 40, 1), instr(text, '@') - greatest(instr(text, '@') - 40, 1))), 'example|such as|hash') as doubtful from records where contains(text, '@')")
-def context_checks(spark, sf):
-    """Whether what stands right before a value names it, and whether it makes the value doubtful."""
-    r = proxy(spark, sf, "records").where(F.col("text").contains("@")).select("id", "text", F.instr("text", F.lit("@")).alias("at"))
+#: What names a driver's licence, what may not stand between it and the number, and what makes a value's type doubtful.
+LICENCE = "driv(?:er|ing)?[’']?s?[\\s_-]*(?:licen[cs]e|lic\\b|permit)|driverlicen|\\bD\\.?L\\.?\\s*(?:#|no\\b|number)|\\bdriver[\\s_-]*(?:id\\b|no\\b|number|#)"
+BETWEEN = "plate|passport|national|vehicle|,|;"
+DOUBTFUL = {"PASSWORD": "hash|token|salt|digest|encrypt|cipher|example|e\\.g\\.|such as|like '", "USERNAME": "ssid|network name|wi-?fi|example|e\\.g\\.|password", "DRIVER_ID": "example|e\\.g\\.|such as"}
+#: Values with what stands before them, by a row's id: the end of its text follows a field of some kind.
+BEFORE = ("Driver's license: ", "driver license, passport or national id ", "DL # ", "Password hash = ", "password: ", "Wi-Fi login ", "user name ", "Driver ID such as ", "driving permit of the named holder of this card ", "")
+BEFORE_SQL = "case id % 10 " + " ".join("when {} then '{}'".format(k, t.replace("'", "''")) for k, t in enumerate(BEFORE)) + " end"
+QUOTED = {k: v.replace("'", "''") for k, v in {"LICENCE": LICENCE, **DOUBTFUL}.items()}
+
+
+def licence_context(before: Column) -> Column:
+    """Whether a number is a driver's licence's by the 80 characters before it: they name one, and after the last name
+    stand at most 30 characters, none of another document or the next item of a list."""
+    context = F.substring(before, -80, 80)
+    gap = F.regexp_extract(context, f"(?is)^.*(?:{LICENCE})(.*)$", 1)
+    return context.rlike(f"(?i){LICENCE}") & (F.length(gap) <= 30) & ~gap.rlike(f"(?i){BETWEEN}")
 
-    def before(n: int) -> Column:
-        begin = F.greatest(F.col("at") - n, F.lit(1))
-        return F.lower(F.substring("text", begin, F.col("at") - begin))
 
-    return r.select("id", before(80).rlike("mail|contact").alias("labelled"), before(40).rlike("example|such as|hash").alias("doubtful"))
+def doubtful_context(label: str, before: Column) -> Column:
+    """Whether the 40 characters before a value make its type doubtful."""
+    return F.substring(before, -40, 40).rlike(f"(?i){DOUBTFUL[label]}")
+
+
+@query(
+    "xtr_65_context_checks",
+    f"""with b as (select id, right(text, 60) || ' ' || {BEFORE_SQL} as before from records where text is not null), c as (select id, right(before, 80) as wide, right(before, 40) as near from b)
+    select id, regexp_matches(wide, '(?i){QUOTED['LICENCE']}') and length(regexp_extract(wide, '(?is)^.*(?:{QUOTED['LICENCE']})(.*)$', 1)) <= 30 and not regexp_matches(regexp_extract(wide, '(?is)^.*(?:{QUOTED['LICENCE']})(.*)$', 1), '(?i){BETWEEN}') as licence,
+      {", ".join(f"regexp_matches(near, '(?i){QUOTED[k]}') as doubtful_{k.lower()}" for k in DOUBTFUL)} from c""",
+)
+def context_checks(spark, sf):
+    """Whether what stands right before a value names it, and whether it makes the value doubtful."""
+    field = reduce(lambda c, x: c.when(F.col("id") % 10 == x[0], x[1]), enumerate(BEFORE), F)
+    before = F.concat(F.substring("text", -60, 60), F.lit(" "), field)
+    r = proxy(spark, sf, "records").where("text is not null").select("id", before.alias("before"))
+    return r.select("id", licence_context(F.col("before")).alias("licence"), *[doubtful_context(k, F.col("before")).alias(f"doubtful_{k.lower()}") for k in DOUBTFUL])
 
 
 @query("xtr_66_reference_invariants", f"select 'ids twice' as invariant, (select count(*) from (select id from records group by 1 having count(*) > 1)) as violations union all select 'kinds without text', (select count(*) from records where text is null and len({KINDS_SQL}) > 0) union all select 'group in two splits', (select count(*) from (select grp from records group by 1 having count(distinct split) > 1)) union all select 'label of excluded', (select count(*) from records where exclude_reason is not null and expected is not null)")
@@ -241,11 +266,36 @@ def nuisance_features(spark, sf):
     return proxy(spark, sf, "records").where("text is not null").select("id", x.alias("x")).select("id", "x.*")
 
 
-@query("xtr_78_subtask_routing", "select id, case when regexp_matches(lower(text), 'ignore|system prompt|password') then 'override' when ('0x' || substr(sha1(text), 1, 8))::bigint % 2 = 0 then 'leak' else 'roleplay' end as route from records where text is not null")
+#: What talks about prompts, what is a template's gap and not such talk, and what names a secret or a persona. Boundaries take
+#: a character each, so characters that are no word's are doubled before they are matched.
+PROMPTISH = r"(?i)(?:^|[^\[{\w])(?:prompts?|system\s+messages?|prompt\s+engineer\w*|midjourney|stable\s+diffusion)(?:$|[^\]}\w])"
+PLACEHOLDER, SECRETISH = r"(?i)\[+(?:PROMPT|TARGETLANGUAGE|KEYWORD)\]", "(?i)password|secret|pwd|passphrase|passcode"
+PERSONA = r"(?i)\b(?:act as|acting as|you are|you're|role ?play|pretend|persona|character|i want you to)\b"
+#: Talk of these kinds in front of some rows' texts.
+TALK = ("Write a prompt that improves prompts. ", "[PROMPT] prompt prompt ", "My password is ", "You are a pirate. ", "One prompt. ", "Pretend, with system messages and a prompt engineer: ")
+TALK_SQL = "case id % 11 " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(TALK)) + " else '' end"
+
+
+def benign_route(text: Column) -> Column:
+    """A harmless row's job: talk about prompts (two mentions, none of them a template's gap) or secrets beside leaks, a
+    persona beside jailbreaks, and the others by the parity of their text's hash, so that no word gives the class away."""
+    doubled = F.regexp_replace(text, r"(\W)", "$1$1")
+    mentions = F.size(F.regexp_extract_all(doubled, F.lit(PROMPTISH), F.lit(0)))
+    odd = F.conv(F.substring(F.sha1(text), 10, 1), 16, 10).cast("int") % 2 == 1
+    leak = ((mentions >= 2) & ~text.rlike(PLACEHOLDER)) | text.rlike(SECRETISH)
+    return F.when(leak, "leakage").when(text.rlike(PERSONA), "jailbreak").when(odd, "leakage").otherwise("injection")
+
+
+@query(
+    "xtr_78_subtask_routing",
+    rf"""with t as (select id, {TALK_SQL} || text as text from records where text is not null)
+    select id, case when len(regexp_extract_all(regexp_replace(text, '(\W)', '\1\1', 'g'), '{PROMPTISH}')) >= 2 and not regexp_matches(text, '{PLACEHOLDER}') or regexp_matches(text, '{SECRETISH}') then 'leakage'
+      when regexp_matches(text, '{PERSONA.replace("'", "''")}') then 'jailbreak' when ('0x' || substr(sha1(text), 10, 1))::int % 2 = 1 then 'leakage' else 'injection' end as route from t""",
+)
 def subtask_routing(spark, sf):
-    """A row's job by pattern, else by the parity of its text's hash."""
-    even = F.conv(F.substring(F.sha1("text"), 1, 8), 16, 10).cast("long") % 2 == 0
-    return proxy(spark, sf, "records").where("text is not null").select("id", F.when(F.lower("text").rlike("ignore|system prompt|password"), "override").when(even, "leak").otherwise("roleplay").alias("route"))
+    """A harmless row's job by ``benign_route``."""
+    talk = reduce(lambda c, x: c.when(F.col("id") % 11 == x[0], x[1]), enumerate(TALK), F).otherwise("")
+    return proxy(spark, sf, "records").where("text is not null").select("id", benign_route(F.concat(talk, F.col("text"))).alias("route"))
 
 
 @query("xtr_79_label_of_tags", "with g as (select conv_id, list_sort(list(distinct role)) as tags from conversations where role is not null group by 1) select conv_id, array_to_string(tags, ',') as tags, case when tags = ['assistant', 'user'] then 'yes' when tags = ['user'] then 'no' end as label from g")

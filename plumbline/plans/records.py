@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 
 import pyarrow as pa
 from pyspark.sql import Window
@@ -155,9 +156,23 @@ def judged_texts(spark, sf):
     return c.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "|").alias("texts"), F.size("t").cast("long").alias("n_turns"))
 
 
-@query("flt_16_predicate", "select page_id, regexp_matches(lower(url), '(casino|pills|spam)') as flagged from pages")
-def page_predicate(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.lower("url").rlike("(casino|pills|spam)").alias("flagged"))
+#: Categories of adult content, and how a source's own label names it. "sexuality" is no such label.
+ADULT_CATEGORIES = ["sexual_content", "sex_related_crimes", "child_sexual_exploitation"]
+ADULT_LABEL = r"(?i)\bsexual\b|sexually_explicit|adult_content|child_abuse"
+#: Category labels of a row: a main one, a finer one, and the label of its source; some of each kind.
+LABELS = """case id % 9 when 0 then 'SEXUAL' when 1 then 'VIOLENCE' when 2 then 'HATE' end as main, case id % 11 when 0 then 'sex_related_crimes' when 1 then 'sexual_content' when 2 then 'weapons' when 3 then 'child_sexual_exploitation' end as fine,
+  case id % 13 when 0 then 'Sexual harassment' when 1 then 'sexuality' when 2 then 'sexually_explicit_2' when 3 then 'homosexual' when 4 then 'ADULT_CONTENT' when 5 then 'bisexual rights' when 6 then 'child_abuse' else source end as source_label"""
+
+
+@query(
+    "flt_16_predicate",
+    f"""with l as (select id, {LABELS} from records) select id, coalesce(main = 'SEXUAL', false) or coalesce(fine in ({", ".join(f"'{x}'" for x in ADULT_CATEGORIES)}), false) or regexp_matches(coalesce(source_label, ''), '{ADULT_LABEL}') as flagged from l""",
+)
+def adult_content(spark, sf):
+    """Rows whose text is never shown: adult content by a row's own category labels, not by words of its text."""
+    main, fine, label = (F.expr(x.rsplit(" as ", 1)[0]) for x in re.split(r",\s+(?=case)", LABELS))
+    flagged = F.coalesce(main == "SEXUAL", F.lit(False)) | F.coalesce(fine.isin(ADULT_CATEGORIES), F.lit(False)) | F.coalesce(label, F.lit("")).rlike(ADULT_LABEL)
+    return proxy(spark, sf, "records").select("id", flagged.alias("flagged"))
 
 
 @query("flt_17_refusals", "select system, count(*) as n from ledger where error is not null and regexp_matches(error, '^refused') group by system")

@@ -12,8 +12,7 @@ COUNTS = {c: f"len(list_filter(v, lambda x: x in ({', '.join(chr(39) + w + chr(3
 ENGLISH_SQL = rf"""(select case when letters = 0 then false else not ({' or '.join(f"(({c} >= 2 and {c} > en) or ({c} >= 1 and en = 0))" for c in X.COMMON_OTHER)}) and not (en = 0 and n >= 4 and share < 0.98) and (share >= 0.9 or (share >= 0.6 and en >= 2)) end
   from (select letters, ascii / letters::double as share, len(v) as n, {', '.join(f"{q} as {c}" for c, q in COUNTS.items())} from (select length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) as letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as ascii,
     list_transform(list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''), lambda x: lower(trim(x, '{X.EDGES.replace("'", "''")}'))) as v)))"""
-ENG = "('the','and','of','to','in','is','that','for','with','this','are','was','on','as','be','it')"
-GER = "('der','die','das','und','nicht','ist','ein','eine','mit','von','auf','zu','den','sich')"
+GER = "(" + ", ".join(f"'{w}'" for w in X.GERMAN) + ")"
 LOOSE = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))"
 NORM = r"trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
 ASCII = r"length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::double / nullif(length(regexp_replace(text, '[ \t\n\x0b\f\r]', '', 'g')), 0)"

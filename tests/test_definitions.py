@@ -108,3 +108,18 @@ def test_word_rule(spark):
     texts = ["Shut  up!", "shutup", "use C++ now", "C++x", "xC++", "nothing", "SHUT\nUP and C++"]
     got = column(spark, texts, lambda t: V.word_scores(t, ["shut up", "C++"]))
     assert [(m["shut_up"], m["c"], m["any_word"]) for m in got] == [(1, 0, 1), (0, 0, 0), (0, 1, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0), (1, 1, 1)]
+
+
+def test_contexts_and_routes(spark):
+    from plumbline.plans.pools import benign_route, doubtful_context, licence_context
+
+    licence = {
+        "Driver's license: ": True, "driver's license, passport, or national id ": False, "DL# ": True, "driver id such as ": True, "license ": False, "driving permit " + "x" * 31: False,
+        "passport; driver no ": True, "driver license plate ": False, "Driver licence 1, then driver's licence: ": True, "": False,
+    }
+    assert dict(zip(licence, column(spark, list(licence), licence_context), strict=True)) == licence
+    doubt = {"Password hash: ": True, "password: ": False, "e.g. ": True, "hash" + " " * 40: False}
+    assert dict(zip(doubt, column(spark, list(doubt), lambda t: doubtful_context("PASSWORD", t)), strict=True)) == doubt
+    said = {"prompt prompt": "leakage", "[PROMPT] prompt prompts": None, "my PWD": "leakage", "You are a cat, prompt": "jailbreak", "Improve this prompt and that prompt.": "leakage", "prompting prompter": None}
+    got = dict(zip(said, column(spark, list(said), benign_route), strict=True))
+    assert all(got[t] == r for t, r in said.items() if r) and got["[PROMPT] prompt prompts"] in ("leakage", "injection")
