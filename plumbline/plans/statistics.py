@@ -121,7 +121,7 @@ def rank_intervals(spark, sf):
 
 #: The board's entries, their paired tests with Holm's adjustment over all pairs, and the walk that makes tiers.
 ENTRIES = f"""select e.system, e.ba, f.fbr, row_number() over (order by round(e.ba, 9) desc, round(f.fbr, 9), e.system) as pos, rank() over (order by round(e.ba, 9) desc, round(f.fbr, 9)) as rank
-  from (select system, ba from ({OVERALL}) where rep = 0) e join (select system, avg(fbr) as fbr from (select system, subtask, (count(*) filter (not positive and outcome = 'decided' and score >= 0.5))::double / nullif(count(*) filter (not positive), 0) as fbr from judgments group by 1, 2) group by 1) f using (system)"""
+  from (select system, ba from ({OVERALL}) where rep = 0) e join (select system, 100 * avg(fbr) as fbr from (select system, subtask, (count(*) filter (not positive and outcome = 'decided' and score >= 0.5))::double / nullif(count(*) filter (not positive), 0) as fbr from judgments group by 1, 2) group by 1) f using (system)"""
 BOARD_TESTS = f"""select *, max(least(1.0, (m - k + 1) * p)) over (order by p, a, b rows unbounded preceding) as p_holm
   from (select *, count(p) over () as m, row_number() over (order by p, a, b) as k from (select *, {resampling.wald_p_sql('point', 'se')} as p from ({resampling.summary_sql(f"select x.system as a, y.system as b, x.rep, x.ba - y.ba as d from ({OVERALL}) x join ({OVERALL}) y on x.rep = y.rep and x.system < y.system", "a, b", "d")})))"""
 WALK = f"""entries as materialized ({ENTRIES}), tests as materialized ({BOARD_TESTS}),
