@@ -146,9 +146,9 @@ def minhash_links(sets: DataFrame, jaccard: float = 0.6, cap: int = 32, bands: i
 
 
 def ngram_rows(df: DataFrame, id_col: str, n: int, text_col: str = "text") -> DataFrame:
-    """(id, gram, total): the distinct word n-grams of texts that have as many words, hashed."""
+    """(id, gram, total): the distinct word n-grams of texts that have as many words, hashed over their words unjoined."""
     w = X.words(F.coalesce(F.col(text_col), F.lit("")))
-    grams = X.let(w, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))).otherwise(F.array().cast("array<bigint>")))
+    grams = X.let(w, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))).otherwise(F.array().cast("array<bigint>")))
     return df.select(F.col(id_col).alias("id"), grams.alias("g")).select("id", F.size("g").alias("total"), F.explode("g").alias("gram"))
 
 
@@ -162,7 +162,7 @@ def contained(texts: DataFrame, needles: DataFrame, n: int = 6) -> DataFrame:
     """(id, needle_id) where a text holds a needle as a run of words: a probe of ``n`` words from the needle's middle
     meets the texts' n-grams in an equi-join, and only what meets is verified on the whole texts."""
     squeeze = lambda c: F.concat(F.lit(" "), F.array_join(X.words(c), " "), F.lit(" "))
-    p = needles.select(F.col("id").alias("needle_id"), squeeze(F.col("text")).alias("needle"), F.xxhash64(X.probe(F.col("text"), n)).alias("gram")).where(F.size(F.split("needle", " ")) >= n + 2)
+    p = needles.select(F.col("id").alias("needle_id"), squeeze(F.col("text")).alias("needle"), F.xxhash64(F.split(X.probe(F.col("text"), n), " ")).alias("gram")).where(F.size(F.split("needle", " ")) >= n + 2)
     grams = ngram_rows(texts, "id", n).select("id", "gram").join(p.select("gram", "needle_id"), "gram").select("id", "needle_id").distinct()
     v = grams.join(texts.select("id", squeeze(F.col("text")).alias("hay")), "id").join(p.select("needle_id", "needle"), "needle_id")
     return v.where(F.contains("hay", "needle")).select("id", "needle_id")
