@@ -21,15 +21,13 @@ def lookup(spark: SparkSession, path: str, ids: DataFrame, key: str, listed: int
     """The rows of an indexed table whose ``key`` is one of ``ids`` (a column of that name).
 
     Up to ``listed`` different ids (counted first) go to the scan as a list: row groups outside of their range, or whose
-    Bloom filter has none of them, are not read, nor pages without one. More ids are joined; the table's own order then
-    spares a sort of equal ranges, and Spark's Bloom filter of the join the rest. Null ids find nothing.
+    Bloom filter has none of them, are not read, nor pages outside of their range. A list longer than Spark's
+    ``inFilterThreshold`` reaches Parquet as one set, not as a chain of comparisons that would overflow a task's
+    stack; that setting stays as it is. More ids are joined. Null ids find nothing.
     """
     ids = ids.select(key).where(F.col(key).isNotNull()).distinct()
     some = ids.limit(listed + 1).collect()
     table = spark.read.parquet(path)
     if len(some) > listed:
         return table.join(ids, key, "left_semi")
-    threshold = "spark.sql.parquet.pushdown.inFilterThreshold"
-    if int(spark.conf.get(threshold, "10")) < listed:
-        spark.conf.set(threshold, str(listed))  # which row groups are read, not which rows come
     return table.where(F.col(key).isin([r[0] for r in some]))

@@ -48,3 +48,12 @@ def test_few_rows_are_read(spark, indexed):
     assert records < N / 20 and read < size / 4
     absent = lookup(spark, indexed, spark.createDataFrame([(600_001,), (30_002,)], "id long"), "id")
     assert read_of(spark, lambda: absent.select(F.max("v")).collect())[0] < N / 50
+
+
+def test_a_long_list_is_one_set(spark, indexed):
+    """Thousands of listed ids: as a chain of comparisons they overflowed the stack of a task."""
+    ids = spark.range(0, 3 * N, 3 * 41).select("id")
+    assert 5_000 < ids.count() <= 10_000
+    got = lookup(spark, indexed, ids, "id").agg(F.count("id"), F.sum("id"), F.count("v")).first()
+    want = range(0, 3 * N, 3 * 41)
+    assert tuple(got) == (len(want), sum(want), len(want))
