@@ -92,11 +92,15 @@ def variants(prints: DataFrame, distance: int = 3) -> DataFrame:
     return out.select(key.alias("key"), "fp", "rep")
 
 
+def edges_of(prints: DataFrame, distance: int = 3, cap: int = 2048) -> DataFrame:
+    """(a, b): links of distinct fingerprints (fp, rep) within ``distance`` bits, enough to join all that are."""
+    grouped = block_pairs(variants(prints, distance), "key", "fp", cap)
+    return sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "fp", "rep").mapInArrow(_edges(distance), "a long, b long")
+
+
 def components(prints: DataFrame, distance: int = 3, cap: int = 2048) -> DataFrame:
     """(rep, component_id) of distinct fingerprints (fp, rep) that link with another one."""
-    grouped = block_pairs(variants(prints, distance), "key", "fp", cap)
-    edges = sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "fp", "rep").mapInArrow(_edges(distance), "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
+    return connected_components(edges_of(prints, distance, cap)).select(F.col("node").alias("rep"), F.col("root").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, cap: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,10 +145,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def _min_hasher(words: int, bands: int, rows: int):
-    """(hash of the word sequence, a key for each band of ``rows`` min-hashes of the shingles, one bit of each of the
-    first 128 min-hashes in two halves)."""
+    """(hash of the word sequence, its SimHash, a key for each band of ``rows`` min-hashes of the shingles, one bit of
+    each of the first 128 min-hashes in two halves)."""
     from xxhash import xxh3_128_hexdigest
 
+    fingerprint = _fingerprinter(3)
+
     salt, odd, weight, mix = np.random.default_rng(42).integers(0, 2**64, (4, bands * rows), np.uint64)
     odd, mix = odd | np.uint64(1), mix | np.uint64(1)
 
@@ -152,13 +158,15 @@ def _min_hasher(words: int, bands: int, rows: int):
         w = (text or "").encode("utf-8", "surrogatepass").lower().split()
         content, found = xxh3_128_hexdigest(b" ".join(w)), shingle_set(text, words)
         if not len(found):
-            return content, [], 0, 0
+            return content, 0, [], 0, 0
+        if not bands:
+            return content, *fingerprint(text), [], 0, 0
         low = np.full(bands * rows, 2**64 - 1, np.uint64)
         for k in range(0, len(found), 256):  # stays in the cache
             np.minimum(low, ((found[k : k + 256, None] ^ salt) * odd).min(axis=0), out=low)
         keys = (low * weight).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
         data = np.packbits(((low * mix)[:128] >> np.uint64(63)).astype(np.uint8)).tobytes()
-        return content, keys.view(np.int64).tolist(), int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:16], "big", signed=True)
+        return content, *fingerprint(text), keys.view(np.int64).tolist(), int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:16], "big", signed=True)
 
     return one
 
@@ -232,26 +240,35 @@ def _alike(similarity: float):
     return run
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 32, cap: int = 1024,
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, distance: int = 32, cap: int = 1024, simhash_distance: int = 3,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every document whose shingle set has a Jaccard similarity of ``similarity`` or more with
     another's; of equal word sequences those that aren't the one with the smallest id.
 
-    Equal word sequences collapse first. Two shingle sets share each of their min-hashes with a probability equal to
-    their similarity J, wherever the copy was changed and however long it is. ``bands`` of ``rows`` min-hashes are an
-    index: a pair meets in none with probability (1 - J^rows)^bands, 5 in 10^8 at 0.8. One bit of each of 128
-    min-hashes is a sketch, of which a pair differs in (1 - J) / 2 of the bits, 12.8 at 0.8, and in more than
-    ``distance`` less than once in 10^6. Pairs within ``distance`` bits join loose components, and inside these, in
-    blocks of about ``cap`` rows that meet pairwise, exact similarities decide.
+    Equal word sequences collapse first. SimHash fingerprints then meet by deletion variants, as in
+    ``simhash_components``: those within ``simhash_distance`` bits join loose components, as do equal ones. A copy with a block more or less is farther
+    away than that, so min-hashes find what SimHash leaves: two shingle sets share each of their min-hashes with a
+    probability equal to their similarity J, wherever the copy was changed and however long it is. ``bands`` of
+    ``rows`` min-hashes are a second index (none with 0 bands): a pair meets in none with probability
+    (1 - J^rows)^bands, 5 in 10^8 at 0.8. One bit of each of 128 min-hashes is a sketch, of which a pair differs in
+    (1 - J) / 2 of the bits, 12.8 at 0.8, and in more than ``distance`` less than once in 10^6. Pairs within
+    ``distance`` bits join loose components too, and inside all these, in blocks of about ``cap`` rows that meet
+    pairwise, exact similarities decide.
 
     Defined cases: texts without words are copies of one another; fewer words than a shingle count as one shingle;
     null ids take no part; an empty table gives an empty table; other columns are ignored.
     """
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    own = cut_lineage(map_texts(texts, lambda: _min_hasher(words, bands, rows), "content string, keys array<bigint>, hi bigint, lo bigint", ["id"]))
-    prints = own.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
-    grouped = block_pairs(prints.select(F.explode("keys").alias("key"), "hi", "lo", "rep"), "key", "rep", 2 * cap)
-    loose = connected_components(sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "hi", "lo", "rep").mapInArrow(_close(distance), "a long, b long"))
+    own = cut_lineage(map_texts(texts, lambda: _min_hasher(words, bands, rows), "content string, fp bigint, keys array<bigint>, hi bigint, lo bigint", ["id"]))
+    prints = own.groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    # Texts of one fingerprint are a star; the fingerprints themselves meet by their variants.
+    heads = prints.groupBy("fp").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("several"))
+    near = edges_of(heads.select("fp", F.col("head").alias("rep")), simhash_distance)
+    near = near.union(spread_join(prints.select("fp", "rep"), heads.where("several > 1").select("fp", "head"), ["fp"], "rep").select("head", "rep").where("head <> rep"))
+    if bands:
+        grouped = block_pairs(prints.select(F.explode("keys").alias("key"), "hi", "lo", "rep"), "key", "rep", 2 * cap)
+        near = near.union(sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "hi", "lo", "rep").mapInArrow(_close(distance), "a long, b long"))
+    loose = connected_components(near)
     wanted = bounded(loose)
     sets = map_texts(texts.join(wanted, texts["id"] == wanted["node"]).select("id", "root", "text"), lambda: lambda t: (shingle_set(t, words).tobytes(),), "shingles binary", ["id", "root"])
     # A repeated id with several texts is compared by each of them.

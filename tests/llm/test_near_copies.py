@@ -6,7 +6,7 @@ import random
 
 from test_llm_brute import components
 
-from plumbline.llm.simhash import near_dedup
+from plumbline.llm.simhash import near_copies, near_dedup
 
 
 def shingles(text):
@@ -64,3 +64,18 @@ def test_recall_by_similarity_step(spark):
         pairs = [k for k, s in steps.items() if s == step]
         assert all(k in kept for k in pairs)
         assert sum(k + 1 not in kept for k in pairs) >= 0.99 * len(pairs), step
+
+
+def test_simhash_variants_are_an_index_of_their_own(spark):
+    """Long texts with one word changed meet by their SimHash alone, without any band of min-hashes; the exact
+    similarity still decides."""
+    r = random.Random(5)
+    docs = {}
+    for k in range(0, 80, 2):
+        w = [f"w{r.randrange(10**9)}" for _ in range(800)]
+        docs[k], docs[k + 1] = " ".join(w), " ".join([*w[:400], "other", *w[401:]])
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {row.id: row.component_id for row in near_copies(table, bands=0).collect()}
+    assert sum(found.get(k + 1) == k for k in range(0, 80, 2)) >= 36
+    assert all(root == k - k % 2 for k, root in found.items())
+    assert near_copies(table, bands=0, similarity=0.999).count() == 0
