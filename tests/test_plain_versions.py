@@ -87,3 +87,15 @@ def test_running_sums_equal_plain_ones(spark):
         inner[i] = sums[p]
     assert {r.id: r.upto for r in running_sums_within(df, ["part"], order, upto=df.n).collect()} == inner
     assert running_sums(df.limit(0), order, upto=df.n).count() == 0 and X.WORD
+
+
+def test_words_are_made_in_slices_of_bytes():
+    """However long the texts of a batch, few of them are Python objects at once, and all rows come out."""
+    import numpy as np
+
+    from plumbline.functions.text import _parts
+
+    sizes = np.array([5, 0, 3, 40, 1, 1, 10, 9, 2])
+    parts = list(_parts(sizes, 10))
+    assert [k for lo, hi in parts for k in range(lo, hi)] == list(range(len(sizes)))
+    assert all(sizes[lo:hi].sum() <= 10 or hi == lo + 1 for lo, hi in parts) and not list(_parts(sizes[:0], 10))
