@@ -67,3 +67,13 @@ def test_probe_and_nuisance_models(spark):
     for trees in (False, True):
         out = S.out_of_fold(rows.withColumn("fold", F.col("id").cast("int") % 3), lambda t, trees=trees: S.nuisance_model(t, ["source"], trees))
         assert auroc(out) > 0.8
+
+
+def test_hashed_rows_hold_no_strings_and_score_the_same(spark):
+    rows = texts(spark, True)
+    made = S.hashed(rows.select("id", "y", "fold", "inner", "words", "chars"), ["char", "word"], 1 << 14)
+    assert set(made.columns) == {"id", "y", "fold", "inner", "tf_char", "tf_word"}
+    assert not any(f.dataType.simpleString() in ("array<string>", "string") for f in made.schema.fields)
+    plain, quick = (S.chosen_model(x, "word").transform(x).select("id", S.vector_to_array("probability")[1].alias("p")) for x in (rows, made))
+    apart = plain.join(quick.withColumnRenamed("p", "q"), "id").agg(F.count("id"), F.max(F.abs(F.col("p") - F.col("q")))).first()
+    assert apart[0] == 240 and apart[1] < 1e-6
