@@ -40,3 +40,32 @@ def test_greedy_buckets_equal_the_plain_loop(spark):
 
 def test_dataset_hash_holds_no_split(spark, sf_dir):
     assert "collect_list" not in dataset_hash(spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_similarity_join_carries_on_only_tokens_that_can_meet(spark):
+    """Tokens that one set alone has are written nowhere but in their set; pairs and overlaps are those of brute force."""
+    import random
+
+    from plumbline.operators import similarity as S
+
+    r = random.Random(3)
+    sets = {k: set(r.sample(range(10**9), 40)) for k in range(0, 60, 2)}
+    sets |= {k + 1: set(list(s)[: r.choice([34, 37, 40])]) | set(r.sample(range(10**9), r.choice([0, 3, 30]))) for k, s in list(sets.items())}
+    df = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "id long, tokens array<long>")
+    written, cut = [], S.cut_lineage
+    S.cut_lineage = lambda d: (written.append(d), cut(d))[1]
+    try:
+        for mode, least in (((0.8, 0.8), 10), ((0.8, 1.0), S.NO_CONTAINMENT)):
+            got = {(x.left_id, x.right_id, x.overlap) for x in S.similarity_join(df, df, *mode, least, itself=True).collect()}
+            want = set()
+            for a in sets:
+                for b in (b for b in sets if a < b):
+                    o, n = len(sets[a] & sets[b]), min(len(sets[a]), len(sets[b]))
+                    if o >= 0.8 * len(sets[a] | sets[b]) - 1e-9 or (n >= least and o >= mode[1] * n - 1e-9):
+                        want.add((a, b, o))
+            assert got == want and want
+    finally:
+        S.cut_lineage = cut
+    lonely = {t for s in sets.values() for t in s if sum(t in x for x in sets.values()) == 1}
+    kept = [t for d in written if d.columns == ["side", "id", "size", "tokens"] for x in d.collect() for t in x.tokens]
+    assert kept and not lonely & set(kept)
