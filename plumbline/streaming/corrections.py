@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State lives in a store on disk that is checkpointed to the shared folder, not in the memory of an executor.
@@ -67,6 +68,14 @@ def corrections(stream: DataFrame, keys: list[str], keep_ms: int | None = None)
     return stream.groupBy(*keys).transformWithStateInPandas(Corrections(keep_ms, keys), f"{kinds}, seq long, ok boolean, change long", "Update", "None" if keep_ms is None else "EventTime")
 
 
+def best_records(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq, ok): in each micro-batch the best record so far of every key that it has records of, from a stream of
+    (keys, seq, ok), in update mode. For keys that are never forgotten and changes that need no number of their own: state is
+    that of an aggregate, with no call of Python a key. Of a key's rows the one of the latest batch stands."""
+    best = F.max(F.struct("ok", "seq")).alias("best")
+    return stream.groupBy(*keys).agg(best).select(*keys, "best.seq", "best.ok")
+
+
 def use_disk_state(spark: SparkSession) -> None:
     """Typed state needs the store on disk; a setting that is there stays."""
     key = "spark.sql.streaming.stateStore.providerClass"

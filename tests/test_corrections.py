@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.streaming.corrections import corrections, use_disk_state
+from plumbline.streaming.corrections import best_records, corrections, use_disk_state
 
 BASE = datetime.datetime(2024, 1, 1)
 
@@ -77,3 +77,22 @@ def test_keys_are_forgotten_and_opened_anew(spark, tmp_path):
     changes = run(spark, tmp_path, "e", make)
     assert (1, 3, False, 0) in {(r.k, r.seq, r.ok, r.change) for r in changes}, "forgotten: opened anew"
     assert (3, 2, True, 1) in {(r.k, r.seq, r.ok, r.change) for r in changes}, "kept: a correction"
+
+
+def test_best_records_over_restarts(spark, tmp_path):
+    """Worse and later records in later batches: of a key's rows the last batch's stands, and no Python runs a key."""
+    use_disk_state(spark)
+    rng = random.Random(5)
+    done = []
+    make = lambda: best_records(stream(spark, tmp_path).select("k", "seq", "ok"), ["k"])
+    for n in range(2):
+        part = [(rng.randrange(40), rng.randrange(100), rng.random() < 0.4, BASE) for _ in range(100)]
+        done += part
+        put(spark, tmp_path, part, n)
+        run(spark, tmp_path, "b", make)
+        rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/b-out").collect()
+        last = {}
+        for r in sorted(rows, key=lambda r: r.batch):
+            last[r.k] = (r.seq, r.ok)
+        assert last == best(done)
+    assert "InPandas" not in make()._jdf.queryExecution().analyzed().toString()
