@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import random
 
 from plumbline.operators import sampling as S
@@ -69,3 +71,20 @@ def test_similarity_join_carries_on_only_tokens_that_can_meet(spark):
     lonely = {t for s in sets.values() for t in s if sum(t in x for x in sets.values()) == 1}
     kept = [t for d in written if d.columns == ["side", "id", "size", "tokens"] for x in d.collect() for t in x.tokens]
     assert kept and not lonely & set(kept)
+
+
+def test_pairs_of_one_host_are_dealt_over_tasks(spark, tmp_path):
+    """All pages are of one host: no task makes most of the pairs."""
+    from plumbline.plans.registry import QUERIES
+
+    spark.createDataFrame([(k, f"http://one.org/a{k}/b") for k in range(120)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        n = [r["count"] for r in QUERIES["set_06_set_similarity"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(n) == 120 * 119 // 2 and max(n) < 0.6 * sum(n)
