@@ -13,7 +13,7 @@ from plumbline.operators.matching import found_in
 from plumbline.plans.catalog import proxy, query, table
 from plumbline.plans.curation import KINDS_SQL, WORDS_SQL, kinds
 from plumbline.plans.records import NORM
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, written
 from plumbline.streaming.ledger import shared_folder
 
 def digest(c):
@@ -384,9 +384,10 @@ def fast_leak_check(spark, sf):
     """Private rows that a public text gives away: by a run of eight words, or, for texts of four to seven words, whole."""
     t = table(spark, sf, "documents").where("text is not null")
     public, private = t.where("doc_id % 10 < 8"), t.where("doc_id % 10 >= 8")
-    runs = similarity.ngram_rows(private, "doc_id", RUN).join(similarity.ngram_rows(public, "doc_id", RUN).select("gram").distinct(), "gram", "left_semi").select("id")
+    runs = similarity.shared_runs(private.select(F.col("doc_id").alias("id"), "text"), public, RUN)
     w = X.words(F.col("text"))
     short = private.select(F.col("doc_id").alias("needle_id"), w.alias("w")).where(F.size("w").between(LEAST_RUN, RUN - 1)).select("needle_id", F.array_join("w", " ").alias("needle"))
+    short = written(short)  # few rows of few words; private texts are read for them once
     blobs = public.select(F.col("doc_id").alias("id"), F.array_join(w, " ").alias("text"))
     return runs.union(found_in(blobs, short).select("needle_id")).distinct()
 
