@@ -96,19 +96,20 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     return left.join(F.broadcast(right), on, how) if right.count() <= BROADCAST_ROWS else salted_join(left, right, on, spread, how)
 
 
-def block_pairs(df: DataFrame, key: str, spread: str, cap: int) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, spread: str, cap: int, exploded: bool = False) -> DataFrame:
     """Rows of every ``key`` that has two rows or more, dealt into groups of bounded size that still meet pairwise.
 
     A key of ``n`` rows is cut into ``ceil(n / cap)`` blocks by a hash of ``spread``, and each row goes to every
     pair of blocks that its own takes part in: group (key, bi, bj) holds the rows to compare with one another where
     bi = bj, or the rows of ``bi`` to compare with those of ``bj``. So no task holds more than about ``2 * cap`` rows
     of a key, and every pair of rows of a key meets exactly once. Added columns: bi, bj, side (which block it is of).
+    ``exploded``: an explode has multiplied the rows of ``df`` (see ``salted_join``).
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")  # the keys that meet, dealt salted
     blocks = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
     mine = F.pmod(F.xxhash64(spread), blocks).cast("int")
     return (
-        salted_join(df, counts, [key], spread)
+        salted_join(df, counts, [key], spread, exploded=exploded)
         .withColumn("_b", F.when(blocks == 1, F.lit(0)).otherwise(mine))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("bi", F.least("_b", "_o"))

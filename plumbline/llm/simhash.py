@@ -94,7 +94,7 @@ def variants(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 def edges_of(prints: DataFrame, distance: int = 3, cap: int = 2048) -> DataFrame:
     """(a, b): links of distinct fingerprints (fp, rep) within ``distance`` bits, enough to join all that are."""
-    grouped = block_pairs(variants(prints, distance), "key", "fp", cap)
+    grouped = block_pairs(variants(prints, distance), "key", "fp", cap, exploded=True)
     return sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "fp", "rep").mapInArrow(_edges(distance), "a long, b long")
 
 
