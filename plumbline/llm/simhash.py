@@ -266,7 +266,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands:
     near = edges_of(heads.select("fp", F.col("head").alias("rep")), simhash_distance)
     near = near.union(spread_join(prints.select("fp", "rep"), heads.where("several > 1").select("fp", "head"), ["fp"], "rep").select("head", "rep").where("head <> rep"))
     if bands:
-        grouped = block_pairs(prints.select(F.explode("keys").alias("key"), "hi", "lo", "rep"), "key", "rep", 2 * cap)
+        grouped = block_pairs(prints.select(F.explode("keys").alias("key"), "hi", "lo", "rep"), "key", "rep", 2 * cap, exploded=True)
         near = near.union(sorted_groups(grouped, ["key", "bi", "bj"]).select("key", "bi", "bj", "side", "hi", "lo", "rep").mapInArrow(_close(distance), "a long, b long"))
     loose = connected_components(near)
     wanted = bounded(loose)
